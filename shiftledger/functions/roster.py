@@ -2,52 +2,78 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shiftledger import dims
 
 
+def sql_literal(v) -> str:
+    return str(v) if isinstance(v, int) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_map(mapping: dict) -> str:
+    return "map(" + ", ".join(sql_literal(x) for kv in mapping.items() for x in kv) + ")"
+
+
 def lookup(mapping: dict, key: Column) -> Column:
     """Literal map lookup that yields null for a missing key (ANSI-safe)."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(F.expr(sql_map(mapping)), key)
 
 
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(dims.WHITESPACE))
 
 
-def day_words(codes: Column) -> Column:
-    """14 codes -> 14 counter words (``dims.FIELDS``); cells with the exact spelling take one lookup."""
-    def word(i: Column) -> Column:
-        c = F.coalesce(F.get(codes, i), F.lit(""))
-        return F.coalesce(
-            lookup(dims.EXACT_WORDS, c), lookup(dims.EXACT_WORDS, strip(c)),
-            lookup(dims.FOLDED_WORDS, F.upper(strip(c))), F.lit(dims.UNKNOWN_WORD))
-    return F.transform(F.sequence(F.lit(0), F.lit(13)), word)
+WHITESPACE_SQL = "' \\t\\n\\r\\u000b\\u000c'"
+
+
+def day_words_sql(codes: str = "codes") -> str:
+    """14 codes -> 14 counter words (``dims.FIELDS``); cells with the exact spelling take one lookup.
+
+    The builders ending in ``_sql`` return expression text: a rule set has thousands of nodes, and one
+    parsed text is built far faster than as many single calls into the JVM.
+    """
+    exact, folded = sql_map(dims.EXACT_WORDS), sql_map(dims.FOLDED_WORDS)
+    c = f"coalesce(get({codes}, i), '')"
+    bare = f"trim(BOTH {WHITESPACE_SQL} FROM {c})"
+    return (f"transform(sequence(0, 13), i -> coalesce(try_element_at({exact}, {c}), try_element_at({exact}, {bare}), "
+            f"try_element_at({folded}, upper({bare})), {dims.UNKNOWN_WORD}L))")
 
 
-def field(word: Column, name: str) -> Column:
+def field_sql(word: str, name: str) -> str:
     """One counter out of a word or a sum of words."""
     shift, mask = dims.FIELDS[name]
-    return F.shiftright(word, shift).bitwiseAND(F.lit(mask)).cast("int")
+    return f"cast(shiftright({word}, {shift}) & {mask}L as int)"
 
 
-def add_up(words: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, words)
+def rd_counts(codes: Column) -> Column:
+    """struct(a, b): literal rest days per week."""
+    def n(first: int) -> Column:
+        return F.size(F.filter(F.slice(codes, first, 7), lambda c: F.upper(strip(c)) == "RD"))
+    return F.struct(n(1).alias("a"), n(8).alias("b"))
 
 
-def split_words(words: Column) -> list[Column]:
-    """The 14 elements of a word array as non-null BIGINT columns."""
-    return [F.coalesce(F.get(words, F.lit(i)), F.lit(0).cast("bigint")) for i in range(14)]
+def detect_matrix_sql(total: str = "word_a + word_b", sig: str = "sig") -> str:
+    """Work pattern ``4-3`` / ``5-2`` / ``6-1`` from the 14-day word sum and the signature."""
+    n43, n61, rd, extra = (field_sql(f"({total})", f) for f in ("long", "short", "rd", "extra"))
+    rest = dims.symbols_of(dims.REST_EQUIVALENT)
+    return f"""case
+        when {n43} > 0 and {n61} > 0 then case when {n43} > {n61} or {rd} >= 4 then '4-3' else '6-1' end
+        when {n43} > 0 or ({n61} = 0 and {rd} + {extra} >= 6) then '4-3'
+        when {sig} rlike '^.{{5}}[{rest}]{{2}}.{{5}}[{rest}]{{2}}$' and not {sig} rlike '^(.{{0,4}}|.{{7,11}})R' then '5-2'
+        else '6-1' end"""
+
+
+def overtime_sql(week_word: str, matrix: str = "matrix") -> str:
+    """Overtime hours of one week under the pattern's own rule."""
+    extra_days = f"greatest({field_sql(week_word, 'worked')} - {dims.OT_FREE_DAYS_43}, 0)"
+    return (f"case when {matrix} = '4-3' then {extra_days} * {dims.OT_HOURS_43} "
+            f"else {field_sql(week_word, 'long')} * {dims.OT_HOURS_PER_LONG_SHIFT} end")
 
 
-def signature(words: list[Column]) -> Column:
-    """The 14 day symbols as one string."""
-    return F.concat(*[F.chr(field(w, "symbol")) for w in words])
+def day_key_sql(i: str) -> str:
+    return "get(array(" + ", ".join(f"'{d}'" for d in dims.DAYS) + f"), {i})"
 
 
 def fill_codes(codes: Column) -> Column:
@@ -61,10 +87,6 @@ def day_hours(codes: Column) -> Column:
     return F.transform(codes, lambda c: F.coalesce(lookup(hours, strip(c)), F.lit(0)))
 
 
-def week(sig: Column, which: str) -> Column:
-    return F.substring(sig, 1 if which == "A" else 8, 7)
-
-
 def week_hours(hours: Column) -> Column:
     """struct(a, b, total) from 14 daily hours."""
     def total(start: int) -> Column:
@@ -72,32 +94,6 @@ def week_hours(hours: Column) -> Column:
     return F.struct(total(1).alias("a"), total(8).alias("b"), (total(1) + total(8)).alias("total"))
 
 
-def rd_counts(codes: Column) -> Column:
-    """struct(a, b): literal rest days per week."""
-    w = split_words(day_words(codes))
-    return F.struct(field(add_up(w[:7]), "rd").alias("a"), field(add_up(w[7:]), "rd").alias("b"))
-
-
-def detect_matrix(total: Column, sig: Column) -> Column:
-    """Work pattern ``4-3`` / ``5-2`` / ``6-1`` from the 14-day word sum and the signature."""
-    n43, n61, rd = field(total, "long"), field(total, "short"), field(total, "rd")
-    rest = dims.symbols_of(dims.REST_EQUIVALENT)
-    weekends_off = sig.rlike(f"^.{{5}}[{rest}]{{2}}.{{5}}[{rest}]{{2}}$") & ~sig.rlike("^(.{0,4}|.{7,11})R")
-    five_two = F.when(weekends_off, "5-2").otherwise("6-1")
-    return (
-        F.when((n43 > 0) & (n61 > 0), F.when((n43 > n61) | (rd >= 4), "4-3").otherwise("6-1"))
-        .when((n43 > 0) | ((n61 == 0) & (rd + field(total, "extra") >= 6)), "4-3")
-        .otherwise(five_two)
-    )
-
-
-def overtime(week_word: Column, matrix: Column) -> Column:
-    """Overtime hours of one week under the pattern's own rule."""
-    extra_days = F.greatest(field(week_word, "worked") - dims.OT_FREE_DAYS_43, F.lit(0))
-    return (F.when(matrix == "4-3", extra_days * dims.OT_HOURS_43)
-            .otherwise(field(week_word, "long") * dims.OT_HOURS_PER_LONG_SHIFT))
-
-
 def rest_gap(codes: Column) -> Column:
     """13 gaps in hours between consecutive shifts; null where either side has no times."""
     start = {c: s for c, (_, s, _) in dims.SHIFTS.items() if s is not None}
@@ -110,7 +106,7 @@ def rest_gap(codes: Column) -> Column:
 
 def day_key(i: Column) -> Column:
     """0-based day index -> ``Mon_A`` .. ``Sun_B``."""
-    return F.get(F.array(*[F.lit(d) for d in dims.DAYS]), i)
+    return F.get(F.expr("array(" + ", ".join(f"'{d}'" for d in dims.DAYS) + ")"), i)
 
 
 def week_dates(d: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +22,8 @@ REDACTIONS = [
     (r"(?iU)\b(password|passwd|secret|token|api[_\-]?key)\s*=\s*\"?[^\s\"']+\"?", '$1="***"'),
 ]
 REDACTION_EMAIL = (r"(?U)\b[\w.+\-]+@[\w\-]+\.[\w.\-]+\b", "***@***")
-# Cheap test that a line can hold anything to redact at all; every pattern above needs one of these.
-REDACTION_HINT = r"(?iu)bearer|eyj|code=|secret|token|code_verifier|client_assertion|passw|api[_\-]?key"
+# Every pattern above needs one of these words, so a line without any is passed through unmatched.
+REDACTION_WORDS = ["bearer", "eyj", "code=", "secret", "token", "code_verifier", "client_assertion", "passw", "api"]
 
 
 def scrub_ctrl(c: Column, quotes: bool = False, limit: int | None = None) -> Column:
@@ -49,7 +51,10 @@ def redact(c: Column, mask_pii: bool = False) -> Column:
     out = c
     for pattern, replacement in REDACTIONS:
         out = F.regexp_replace(out, pattern, replacement)
-    out = F.when(c.rlike(REDACTION_HINT), out).otherwise(c)
+    # Long s and the Kelvin sign equal s and k when case is ignored.
+    low = F.lower(F.replace(F.replace(c, F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k")))
+    hinted = reduce(lambda a, b: a | b, [low.contains(w) for w in REDACTION_WORDS])
+    out = F.when(hinted, out).otherwise(c)
     if mask_pii:
         pattern, replacement = REDACTION_EMAIL
         out = F.when(F.instr(out, "@") > 0, F.regexp_replace(out, pattern, replacement)).otherwise(out)

@@ -12,46 +12,53 @@ from pyspark.sql import functions as F
 from shiftledger import dims
 from shiftledger.functions import text as X
 from shiftledger.operators.ordering import carry, ordinal_bucket
+from shiftledger.operators.rules import pinned
 
-# --- fixed values: the two text line formats and the JSON fields -------------------------------
-TEXT_LINE = (r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s*\|\s*([A-Z]+)\s*\|\s*([^|]+?)\s*\|\s*"
+# --- fixed values: the text line formats and the JSON fields -----------------------------------
+# One pattern for both: `ts | LEVEL | logger | trace_id=.. | message` and, without a logger,
+# `ts | AUDIT | trace_id=.. | message`.
+TEXT_LINE = (r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s*\|\s*([A-Z]+)\s*\|\s*(?:([^|]+?)\s*\|\s*)?"
              r"trace_id=(\S+)\s*\|\s*(.*)$")
-AUDIT_LINE = (r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s*\|\s*AUDIT\s*\|\s*trace_id=(\S+)\s*\|\s*(.*)$")
 JSON_FIELDS = "ts STRING, level STRING, logger STRING, trace_id STRING, message STRING"
 PARSED = ["ts", "level", "logger", "trace_id", "message"]
+SEPARATOR = "\x01"
 BIN_SECONDS = [
     1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 10800, 21600, 43200, 86400,
     2 * 86400, 7 * 86400, 14 * 86400, 30 * 86400, 90 * 86400, 365 * 86400, 3650 * 86400, 36500 * 86400,
 ]
 
 
-def _fields(*cols: Column) -> Column:
-    return F.struct(*[c.alias(n) for c, n in zip(cols, PARSED)])
-
-
 def parse_log(lines: DataFrame, audit_logger: str = "audit") -> DataFrame:
     """Add ts, level, logger, trace_id, message, raw; a line of no known format is its own message.
 
-    ``audit_logger`` is the logger name given to text audit lines, which carry none.
+    Each line is matched once: JSON is decoded into one struct, a text line is rewritten into its five
+    fields by a single replacement and split. The fields are pinned, so a later filter on one of them
+    does not parse again. ``audit_logger`` is the logger given to text audit lines, which carry none.
     """
     v = F.col("value")
-    json = F.from_json(v, JSON_FIELDS, {"mode": "PERMISSIVE", "allowSingleQuotes": "false",
-                                        "columnNameOfCorruptRecord": "_bad"})
-    # A broken object parses to all nulls; it is then read as text, like any other line.
-    is_json = F.ltrim(v).startswith("{") & F.rtrim(v).endswith("}")
-    blank = F.lit("")
-    parsed = F.when(is_json, json)
-    some = F.coalesce(*[parsed[f] for f in PARSED])
-    from_json = F.when(some.isNotNull(), _fields(*[F.coalesce(parsed[f], blank) for f in PARSED]))
-
-    def group(pattern: str, i: int) -> Column:
-        return F.regexp_extract(v, pattern, i)
-    from_text = F.when(v.rlike(TEXT_LINE), _fields(*[group(TEXT_LINE, i) for i in range(1, 6)]))
-    from_audit = F.when(v.rlike(AUDIT_LINE), _fields(
-        group(AUDIT_LINE, 1), F.lit("INFO"), F.lit(audit_logger), group(AUDIT_LINE, 2), group(AUDIT_LINE, 3)))
-    out = lines.withColumn("_p", F.coalesce(
-        from_json, from_text, from_audit, _fields(blank, blank, blank, blank, v)))
-    return out.select(*lines.columns, "_p.*", v.alias("raw")).drop("value")
+    as_json = F.ltrim(v).startswith("{") & F.rtrim(v).endswith("}")
+    decoded = F.from_json(v, JSON_FIELDS, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+    groups = [F.regexp_extract(v, TEXT_LINE, i) for i in range(1, 6)]
+    # The separator cannot come from the line itself, except where it holds that control character.
+    replaced = F.split(F.regexp_replace(v, TEXT_LINE, SEPARATOR.join(f"${i}" for i in range(1, 6))), SEPARATOR)
+    in_text = F.when(~v.contains(SEPARATOR), replaced).when(v.rlike(TEXT_LINE), F.array(*groups))
+    df = lines.withColumns({"_json": F.when(as_json, decoded), "_text": in_text})
+    json, text = F.col("_json"), F.col("_text")
+    # A broken object decodes to all nulls; it is then read as text, like any other line.
+    is_json = F.coalesce(*[json[f] for f in PARSED]).isNotNull()
+    no_logger = F.get(text, F.lit(2)) == ""
+    is_text = (F.size(text) == 5) & (~no_logger | (F.get(text, F.lit(1)) == "AUDIT"))
+    audit = {"level": F.lit("INFO"), "logger": F.lit(audit_logger)}
+    fields = {}
+    for i, f in enumerate(PARSED):
+        group = F.get(text, F.lit(i))
+        if f in audit:
+            group = F.when(no_logger, audit[f]).otherwise(group)
+        fields[f] = F.when(is_json, F.coalesce(json[f], F.lit(""))).when(is_text, group).otherwise(
+            v if f == "message" else F.lit(""))
+    kept = [c for c in lines.columns if c != "value"]
+    out = df.select(*kept, *[c.alias(f) for f, c in fields.items()], v.alias("raw"))
+    return pinned(out, [*PARSED, "raw"])
 
 
 def log_records(lines: DataFrame, mask_pii: bool = False, json_first: bool = False,

@@ -10,7 +10,8 @@ recompute the features once per reference; it does not push below a generator, s
 once, and a filter on a flag still runs before any message is built. Messages use array lambdas and
 are evaluated only for rows that fail the rule.
 
-A rule is a function ``(Row features, Policy) -> Rule`` registered by key; ``register_rule`` adds more.
+A rule is a function ``Policy -> Rule`` (SQL text over the feature columns) registered by key;
+``register_rule`` adds more.
 """
 
 from __future__ import annotations
@@ -35,178 +36,150 @@ def pinned(df: DataFrame, names: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Policy:
-    max_week: Column
-    min_week: Column
-    max_rolling: Column
-    nw_credit: Column
+    """SQL text of each threshold: a literal, or the column a policy join brought in."""
+    max_week: str
+    min_week: str
+    max_rolling: str
+    nw_credit: str
 
 
 @dataclass(frozen=True)
 class Rule:
-    passed: Column
-    message: Column
-    items: Column | None = None
+    """SQL text: does the row pass, its message, and (for the two list rules) the single findings."""
+    passed: str
+    message: str
+    items: str | None = None
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
+NO_ITEMS = "cast(array() as array<string>)"
 
 
-def _verdict(passed: Column, detail: Column) -> Column:
-    return F.when(passed, dims.PASS_MARK).otherwise(F.concat(F.lit(dims.FAIL_MARK), detail))
+def _verdict(passed: str, detail: str) -> str:
+    return f"case when {passed} then '{dims.PASS_MARK}' else concat('{dims.FAIL_MARK}', {detail}) end"
 
 
-def _codes() -> Column:
-    return F.col("codes")
+def _weekly(bad_a: str, text_a: str, bad_b: str, text_b: str, sep: str = ", ") -> str:
+    return f"concat_ws('{sep}', case when {bad_a} then {text_a} end, case when {bad_b} then {text_b} end)"
 
 
-def _weekly(bad_a: Column, text_a: Column, bad_b: Column, text_b: Column, sep: str = ", ") -> Column:
-    return F.concat_ws(sep, F.when(bad_a, text_a), F.when(bad_b, text_b))
+def _hours(label: str, hours: str) -> str:
+    return f"concat('{label}: ', {hours}, 'h')"
+
+
+def _any(symbols: str) -> str:
+    return f"[{symbols}]"
+
+
+def _map_of(part: int) -> str:
+    return R.sql_map({c: v[part] for c, v in dims.SHIFTS.items() if v[part] is not None})
+
+
+def _bare(code: str) -> str:
+    return f"trim(BOTH {R.WHITESPACE_SQL} FROM {code})"
 
 
 def rule_max_day(p: Policy) -> Rule:
-    sig, matrix = F.col("sig"), F.col("matrix")
-    odd = "".join(dims.symbols_with_hours(h) for h in dims.WORK_HOURS if h != 12)
-    outside_61 = "".join(dims.symbols_with_hours(h) for h in dims.WORK_HOURS if h < 8 or h > 12)
-    not9 = "".join(dims.symbols_with_hours(h) for h in dims.WORK_HOURS if h != 9)
-    not8 = "".join(dims.symbols_with_hours(h) for h in dims.WORK_HOURS if h != 8)
-    bad_52 = (
-        sig.rlike(f"^(.{{0,3}}|.{{7,10}})[{not9}]")
-        | sig.rlike(f"^(.{{4}}|.{{11}})[{not8}]")
-        | sig.rlike(f"^(.{{5,6}}|.{{12,13}})[{dims.WORKED}]")
-    )
-    bad_61 = sig.rlike(f"[{outside_61}]") if outside_61 else F.lit(False)
-    passed = ~F.when(matrix == "5-2", bad_52).when(matrix == "4-3", sig.rlike(f"[{odd}]")).otherwise(bad_61)
-
-    def item(h: Column, i: Column) -> Column:
-        dow = F.pmod(i, F.lit(7))
-        expected = F.when(dow <= 3, F.when(h != 9, "9h")).when(dow == 4, F.when(h != 8, "8h")).otherwise("RD")
-        lowest = F.when(matrix == "4-3", 12).otherwise(8)
-        head = F.concat(R.day_key(i), F.lit("("), _text(h), F.lit("h"))
-        return F.when(h > 0, F.when(
-            matrix == "5-2", F.concat(head, F.lit(", expected "), expected, F.lit(")"))
-        ).when((h < lowest) | (h > 12), F.concat(head, F.lit(")"))))
-
-    items = F.array_compact(F.transform(R.day_hours(_codes()), item))
-    items = F.when(passed, F.array().cast("array<string>")).otherwise(items)
-    return Rule(passed, _verdict(passed, F.array_join(items, ", ")), items)
+    def other_than(h: int) -> str:
+        return _any("".join(dims.symbols_with_hours(x) for x in dims.WORK_HOURS if x != h))
+    out_of_61 = "".join(dims.symbols_with_hours(h) for h in dims.WORK_HOURS if h < 8 or h > 12)
+    passed = f"""not case matrix
+        when '5-2' then sig rlike '^(.{{0,3}}|.{{7,10}}){other_than(9)}' or sig rlike '^(.{{4}}|.{{11}}){other_than(8)}'
+          or sig rlike '^(.{{5,6}}|.{{12,13}}){_any(dims.WORKED)}'
+        when '4-3' then sig rlike '{other_than(12)}'
+        else {f"sig rlike '{_any(out_of_61)}'" if out_of_61 else "false"} end"""
+    expected = "case when i % 7 <= 3 then if(h <> 9, '9h', null) when i % 7 = 4 then if(h <> 8, '8h', null) else 'RD' end"
+    head = f"{R.day_key_sql('i')}, '(', h, 'h'"
+    item = f"""case when h = 0 then null
+        when matrix = '5-2' then concat({head}, ', expected ', {expected}, ')')
+        when h < if(matrix = '4-3', 12, 8) or h > 12 then concat({head}, ')') end"""
+    hours = f"transform(codes, c -> coalesce(try_element_at({_map_of(0)}, {_bare('c')}), 0))"
+    found = f"array_compact(transform({hours}, (h, i) -> {item}))"
+    items = f"case when {passed} then {NO_ITEMS} else {found} end"
+    return Rule(passed, _verdict(passed, f"array_join({found}, ', ')"), items)
 
 
 def rule_max_week(p: Policy) -> Rule:
-    a, b = F.col("hrs_a"), F.col("hrs_b")
-    bad_a, bad_b = a > p.max_week, b > p.max_week
-    detail = F.concat(
-        _weekly(bad_a, F.concat(F.lit("Wk A: "), _text(a), F.lit("h")),
-                bad_b, F.concat(F.lit("Wk B: "), _text(b), F.lit("h"))),
-        F.lit(" exceeds max "), _text(p.max_week), F.lit("h"),
-    )
-    passed = ~(bad_a | bad_b)
-    return Rule(passed, _verdict(passed, detail))
+    bad_a, bad_b = f"hrs_a > {p.max_week}", f"hrs_b > {p.max_week}"
+    weeks = _weekly(bad_a, _hours("Wk A", "hrs_a"), bad_b, _hours("Wk B", "hrs_b"))
+    passed = f"not ({bad_a} or {bad_b})"
+    return Rule(passed, _verdict(passed, f"{weeks}, ' exceeds max ', {p.max_week}, 'h'"))
 
 
 def rule_max_rolling_7d(p: Policy) -> Rule:
     # roll = hours * 8 + (7 - start): one maximum gives the worst window and, on ties, the first.
-    worst = F.shiftright(F.col("roll"), 3)
-    start = F.lit(7) - F.col("roll").bitwiseAND(F.lit(7))
-    passed = worst <= p.max_rolling
-    detail = F.concat(
-        _text(worst), F.lit("h in "), R.day_key(start), F.lit("→"), R.day_key(start + 6),
-        F.lit(" (max "), _text(p.max_rolling), F.lit("h rolling 7d)"),
-    )
-    return Rule(passed, _verdict(passed, detail))
+    worst, start = "shiftright(roll, 3)", "(7 - (roll & 7))"
+    passed = f"{worst} <= {p.max_rolling}"
+    return Rule(passed, _verdict(passed, (
+        f"{worst}, 'h in ', {R.day_key_sql(start)}, '→', {R.day_key_sql(start + ' + 6')}, ' (max ', {p.max_rolling}, 'h rolling 7d)'")))
 
 
 def rule_min_week(p: Policy) -> Rule:
-    floor = F.when((F.col("matrix") == "5-2") & (p.min_week == dims.FLOOR_DEFAULT), dims.FLOOR_52).otherwise(p.min_week)
-
-    def effective(x: str) -> Column:
-        nw = F.when(p.nw_credit > 0, p.nw_credit * F.col(f"nw_{x}")).otherwise(0)
-        return F.col(f"hrs_{x}") + F.col(f"credit_{x}") + nw
-    a, b = effective("a"), effective("b")
-    bad_a, bad_b = a < floor, b < floor
-    detail = F.concat(
-        _weekly(bad_a, F.concat(F.lit("Wk A: "), _text(a), F.lit("h")),
-                bad_b, F.concat(F.lit("Wk B: "), _text(b), F.lit("h"))),
-        F.lit(" below min "), _text(floor), F.lit("h"),
-    )
-    passed = ~(bad_a | bad_b)
-    return Rule(passed, _verdict(passed, detail))
+    floor = f"if(matrix = '5-2' and {p.min_week} = {dims.FLOOR_DEFAULT}, {dims.FLOOR_52}, {p.min_week})"
+    a, b = (f"(hrs_{x} + credit_{x} + greatest({p.nw_credit}, 0) * nw_{x})" for x in "ab")
+    bad_a, bad_b = f"{a} < {floor}", f"{b} < {floor}"
+    passed = f"not ({bad_a} or {bad_b})"
+    weeks = _weekly(bad_a, _hours("Wk A", a), bad_b, _hours("Wk B", b))
+    return Rule(passed, _verdict(passed, f"{weeks}, ' below min ', {floor}, 'h'"))
 
 
 def rule_max_consecutive(p: Policy) -> Rule:
-    six_one = F.col("matrix") == "6-1"
-    work = f"[{dims.WORKED}]"
-    passed = ~F.when(six_one, F.col("sig").rlike(f"{work}{{7}}")).otherwise(F.col("sig").rlike(f"{work}{{6}}"))
-    bits = F.translate(F.col("sig"), dims.WORKED, "1" * len(dims.WORKED))
-    runs = F.transform(F.regexp_extract_all(bits, F.lit("1+"), F.lit(0)), lambda x: F.length(x))
-    longest = F.array_max(runs)
-    first = F.instr(bits, F.repeat(F.lit("1"), longest)) - 1
-    last = first + longest - 1
-    where = (
-        F.when((first <= 6) & (last >= 7), "Wk A & Wk B (cross-week)").when(first <= 6, "Wk A").otherwise("Wk B")
-    )
-    detail = F.concat(_text(longest), F.lit(" consecutive work days in "), where, F.lit(" (Max "),
-                      F.when(six_one, "6").otherwise("5"), F.lit(")"))
-    return Rule(passed, _verdict(passed, detail))
+    work = _any(dims.WORKED)
+    passed = f"not if(matrix = '6-1', sig rlike '{work}{{7}}', sig rlike '{work}{{6}}')"
+    bits = f"translate(sig, '{dims.WORKED}', '{'1' * len(dims.WORKED)}')"
+    longest = f"array_max(transform(regexp_extract_all({bits}, '1+', 0), x -> length(x)))"
+    first = f"instr({bits}, repeat('1', {longest}))"
+    where = (f"case when {first} <= 7 and {first} + {longest} - 1 >= 8 then 'Wk A & Wk B (cross-week)' "
+             f"when {first} <= 7 then 'Wk A' else 'Wk B' end")
+    return Rule(passed, _verdict(
+        passed, f"{longest}, ' consecutive work days in ', {where}, ' (Max ', if(matrix = '6-1', 6, 5), ')'"))
 
 
 def rule_valid_codes(p: Policy) -> Rule:
-    known = [c.upper() for c in dims.SHIFTS]
-    passed = F.instr(F.col("sig"), dims.UNKNOWN_SYMBOL) == 0
-    items = F.array_compact(F.transform(_codes(), lambda c, i: F.when(
-        ~F.upper(R.strip(c)).isin(*known), F.concat(R.day_key(i), F.lit("("), c, F.lit(")")))))
-    return Rule(passed, _verdict(passed, F.concat(F.lit("Invalid: "), F.array_join(items, ", "))))
+    known = ", ".join(f"'{c.upper()}'" for c in dims.SHIFTS)
+    passed = f"instr(sig, '{dims.UNKNOWN_SYMBOL}') = 0"
+    item = f"if(upper({_bare('c')}) in ({known}), null, concat({R.day_key_sql('i')}, '(', c, ')'))"
+    return Rule(passed, _verdict(
+        passed, f"'Invalid: ', array_join(array_compact(transform(codes, (c, i) -> {item})), ', ')"))
 
 
 def rule_min_rd(p: Policy) -> Rule:
-    def need(x: str) -> Column:
-        return (F.when(F.col("matrix") == "4-3", F.when(F.col(f"ot_{x}") > 0, 2).otherwise(3))
-                .when(F.col("matrix") == "5-2", 2).otherwise(1))
-
-    def text(x: str) -> Column:
-        return F.concat(F.lit(f"Wk {x.upper()}: "), _text(F.col(f"rest_{x}")), F.lit(" RDs (need "),
-                        _text(need(x)), F.lit(")"))
-    bad_a, bad_b = F.col("rest_a") < need("a"), F.col("rest_b") < need("b")
-    passed = ~(bad_a | bad_b)
+    def need(x: str) -> str:
+        return f"case matrix when '4-3' then if(ot_{x} > 0, 2, 3) when '5-2' then 2 else 1 end"
+
+    def text(x: str) -> str:
+        return f"concat('Wk {x.upper()}: ', rest_{x}, ' RDs (need ', {need(x)}, ')')"
+    bad_a, bad_b = f"rest_a < {need('a')}", f"rest_b < {need('b')}"
+    passed = f"not ({bad_a} or {bad_b})"
     return Rule(passed, _verdict(passed, _weekly(bad_a, text("a"), bad_b, text("b"))))
 
 
 def rule_broken_rd(p: Policy) -> Rule:
     clear = dims.symbols_of(dims.REST_EXTRA)
-
-    def broken(x: str) -> Column:
-        return R.week(F.col("sig"), x).rlike(f"R[{clear}]*[^R{clear}][^R]*R")
-    bad_a, bad_b = broken("A"), broken("B")
-    passed = ~(F.col("matrix").isin("4-3", "5-2") & (bad_a | bad_b))
-    detail = F.concat(F.lit("Broken Rest Days in "), _weekly(bad_a, F.lit("Wk A"), bad_b, F.lit("Wk B"), " & "),
-                      F.lit(" (Must be consecutive)"))
-    return Rule(passed, _verdict(passed, detail))
+    # A second block: RD, transparent days, a day that is neither, and RD again later in the week.
+    broken = f"R[{clear}]*[^R{clear}][^R]*R"
+    bad_a, bad_b = f"substring(sig, 1, 7) rlike '{broken}'", f"substring(sig, 8, 7) rlike '{broken}'"
+    passed = f"not (matrix <> '6-1' and ({bad_a} or {bad_b}))"
+    weeks = _weekly(bad_a, "'Wk A'", bad_b, "'Wk B'", " & ")
+    return Rule(passed, _verdict(passed, f"'Broken Rest Days in ', {weeks}, ' (Must be consecutive)'"))
 
 
 def rule_shift_gap(p: Policy) -> Rule:
-    passed = ~F.col("sig").rlike(dims.short_gap_pattern())
-    codes = _codes()
-
-    def item(gap: Column, i: Column) -> Column:
-        return F.when(gap < dims.MIN_GAP_HOURS, F.concat(
-            R.day_key(i), F.lit("→"), R.day_key(i + 1), F.lit(" ("), R.strip(F.get(codes, i)), F.lit("→"),
-            R.strip(F.get(codes, i + 1)), F.lit(", "), _text(gap), F.lit(f"h gap, min {dims.MIN_GAP_HOURS}h)")))
-    items = F.array_compact(F.transform(R.rest_gap(codes), item))
-    items = F.when(passed, F.array().cast("array<string>")).otherwise(items)
-    return Rule(passed, _verdict(passed, F.array_join(items, "; ")), items)
+    passed = f"not sig rlike '{dims.short_gap_pattern()}'"
+    this, nxt = _bare("get(codes, i)"), _bare("get(codes, i + 1)")
+    gap = f"(24 + try_element_at({_map_of(1)}, {nxt}) - try_element_at({_map_of(2)}, {this}))"
+    item = (f"if({gap} < {dims.MIN_GAP_HOURS}, concat({R.day_key_sql('i')}, '→', {R.day_key_sql('i + 1')}, ' (', {this}, '→', {nxt}, "
+            f"', ', {gap}, 'h gap, min {dims.MIN_GAP_HOURS}h)'), null)")
+    found = f"array_compact(transform(sequence(0, 12), i -> {item}))"
+    items = f"case when {passed} then {NO_ITEMS} else {found} end"
+    return Rule(passed, _verdict(passed, f"array_join({found}, '; ')"), items)
 
 
 def rule_holiday_pay(p: Policy) -> Rule:
-    sig = F.col("sig")
-
-    def days(symbol: str) -> Column:
-        found = F.filter(F.sequence(F.lit(0), F.lit(13)), lambda i: F.substr(sig, i + 1, F.lit(1)) == symbol)
-        return F.array_join(F.transform(found, R.day_key), ", ")
-    has_rh, has_sph = F.instr(sig, "H") > 0, F.instr(sig, "S") > 0
-    parts = F.concat_ws("; ", F.when(has_rh, F.concat(F.lit("RH 200%: "), days("H"))),
-                        F.when(has_sph, F.concat(F.lit("SPH 130%: "), days("S"))))
-    message = F.when(has_rh | has_sph, F.concat(F.lit(dims.INFO_MARK), parts)).otherwise(dims.PASS_MARK)
-    return Rule(F.lit(True), message)
+    def part(label: str, symbol: str) -> str:
+        days = f"transform(filter(sequence(0, 13), i -> substring(sig, i + 1, 1) = '{symbol}'), i -> {R.day_key_sql('i')})"
+        return f"if(instr(sig, '{symbol}') > 0, concat('{label}: ', array_join({days}, ', ')), null)"
+    found = f"concat_ws('; ', {part('RH 200%', 'H')}, {part('SPH 130%', 'S')})"
+    return Rule("true", f"if(sig rlike '[HS]', concat('{dims.INFO_MARK}', {found}), '{dims.PASS_MARK}')")
 
 
 RuleFunction = Callable[[Policy], Rule]
@@ -216,7 +189,7 @@ REGISTRY: dict[str, tuple[str, RuleFunction]] = {
 
 
 def register_rule(key: str, name: str, fn: RuleFunction) -> None:
-    """Add a user rule; it may read the roster columns, ``sig`` and every feature of ``features``."""
+    """Add a user rule; its SQL text may use the roster columns and every column of ``features``."""
     REGISTRY[key] = (name, fn)
 
 
@@ -231,36 +204,41 @@ def active_rules_column(keys: Column) -> Column:
 
 
 def features(roster: DataFrame) -> DataFrame:
-    """Roster plus signature, pattern, hours, overtime, rest and credit counts (one pass, narrow)."""
-    keep = list(roster.columns)
+    """Roster plus signature, pattern, hours, overtime, rest and credit counts (one pass, narrow).
+
+    The codes array is cut or filled to 14 days here, so rules may index it freely.
+    """
+    keep = [f"`{c}`" for c in roster.columns]
     days = [f"word_{i}" for i in range(14)]
-    df = roster.withColumn("words", R.day_words(_codes()))
-    df = df.select(*keep, *[c.alias(n) for n, c in zip(days, R.split_words(F.col("words")))])
-    w = [F.col(n) for n in days]
 
-    def credit52(first: int) -> Column:
+    def total(first: int, last: int) -> str:
+        return "(" + " + ".join(days[first:last]) + ")"
+
+    def credit52(first: int) -> str:
         """Leave credit of a 5-2 week: 9h Monday to Thursday, 8h Friday, nothing at the weekend."""
-        return (R.field(R.add_up(w[first:first + 4]), "credited") * 9 + R.field(w[first + 4], "credited") * 8)
-    windows = [R.field(R.add_up(w[i:i + 7]), "hours") * 8 + (7 - i) for i in range(8)]
+        return (f"{R.field_sql(total(first, first + 4), 'credited')} * 9 + {R.field_sql(days[first + 4], 'credited')} * 8")
+    windows = ", ".join(f"{R.field_sql(total(i, i + 7), 'hours')} * 8 + {7 - i}" for i in range(8))
     base = {
-        "sig": R.signature(w), "word_a": R.add_up(w[:7]), "word_b": R.add_up(w[7:]),
-        "roll": F.greatest(*windows), "credit52_a": credit52(0), "credit52_b": credit52(7),
+        "sig": "concat(" + ", ".join(f"chr({R.field_sql(d, 'symbol')})" for d in days) + ")",
+        "word_a": total(0, 7), "word_b": total(7, 14), "roll": f"greatest({windows})",
+        "credit52_a": credit52(0), "credit52_b": credit52(7),
     }
-    df = df.select(*keep, *[c.alias(n) for n, c in base.items()])
-    df = df.withColumn("matrix", R.detect_matrix(F.col("word_a") + F.col("word_b"), F.col("sig")))
+    df = roster.selectExpr(*keep, f"{R.day_words_sql()} as words")
+    df = df.selectExpr(*keep, *[f"coalesce(get(words, {i}), 0L) as {d}" for i, d in enumerate(days)])
+    df = df.selectExpr(*keep, *[f"{sql} as {n}" for n, sql in base.items()])
+    df = df.selectExpr("*", f"{R.detect_matrix_sql()} as matrix")
     df = pinned(df, [*base, "matrix"])
-    matrix, out = F.col("matrix"), {}
-    for x in ("a", "b"):
-        w = F.col(f"word_{x}")
-        out[f"hrs_{x}"] = R.field(w, "hours")
-        out[f"ot_{x}"] = R.overtime(w, matrix)
-        out[f"rd_{x}"] = R.field(w, "rd")
-        out[f"rest_{x}"] = R.field(w, "rd") + R.field(w, "extra")
-        out[f"nw_{x}"] = R.field(w, "nw")
-        out[f"credit_{x}"] = F.when(matrix == "5-2", F.col(f"credit52_{x}")).otherwise(
-            R.field(w, "credited") * F.when(matrix == "4-3", 12).otherwise(8))
-    out["ot_total"] = out["ot_a"] + out["ot_b"]
-    return df.withColumns(out)
+    out = {}
+    for x in "ab":
+        w = f"word_{x}"
+        out |= {
+            f"hrs_{x}": R.field_sql(w, "hours"), f"ot_{x}": R.overtime_sql(w), f"rd_{x}": R.field_sql(w, "rd"),
+            f"rest_{x}": f"{R.field_sql(w, 'rd')} + {R.field_sql(w, 'extra')}", f"nw_{x}": R.field_sql(w, "nw"),
+            f"credit_{x}": (f"case matrix when '5-2' then credit52_{x} when '4-3' then {R.field_sql(w, 'credited')} * 12 "
+                            f"else {R.field_sql(w, 'credited')} * 8 end"),
+        }
+    out["ot_total"] = f"{out['ot_a']} + {out['ot_b']}"
+    return df.selectExpr("*", *[f"{sql} as {n}" for n, sql in out.items()])
 
 
 def policy_join(roster: DataFrame, policy: DataFrame, on: str = "policy_id", max_rows: int = 50_000) -> DataFrame:
@@ -278,10 +256,9 @@ def policy_join(roster: DataFrame, policy: DataFrame, on: str = "policy_id", max
 def _policy(df: DataFrame, policy: dict | None) -> Policy:
     values = dims.FACTORY_POLICY | (policy or {})
 
-    def threshold(name: str) -> Column:
-        if f"policy_{name}" in df.columns:
-            return F.coalesce(F.col(f"policy_{name}"), F.lit(int(values[name])))
-        return F.lit(int(values[name]))
+    def threshold(name: str) -> str:
+        default = int(values[name])
+        return f"coalesce(policy_{name}, {default})" if f"policy_{name}" in df.columns else str(default)
     return Policy(*[threshold(n) for n in dims.FACTORY_POLICY])
 
 
@@ -290,39 +267,25 @@ def validate(roster: DataFrame, policy: dict | None = None, active: list[str] |
 
     Thresholds come from ``policy`` or, after ``policy_join``, from the row's own policy; so do the
     active rules. A rule that is inactive for a row passes and has a null message there. ``ok_<key>``
-    flags and ``matrix`` stay available to the reports; a sink selects what it writes.
+    flags, ``sig`` and ``matrix`` stay available to the reports; a sink selects what it writes.
     """
     keys = active_rules(active)
     df = features(roster)
-    p = _policy(df, policy)
     per_row = "policy_active_rule_keys" in df.columns
-    rules = {k: REGISTRY[k][1](p) for k in keys}
-
-    def on(key: str) -> Column:
-        chosen = F.col("policy_active_rule_keys")
-        return chosen.isNull() | F.array_contains(chosen, key)
-
-    def flag(key: str) -> Column:
-        passed = rules[key].passed
-        return F.when(on(key), passed).otherwise(F.lit(True)) if per_row else passed
-
-    none = F.array().cast("array<string>")
-
-    def when_on(key: str, c: Column, default: Column) -> Column:
-        return F.when(on(key), c).otherwise(default) if per_row else c
-
-    base = [c for c in roster.columns]
-    derived = ["sig", "matrix", "ot_a", "ot_b", "ot_total"]
-    everything = F.lit(True)
-    for k in keys:
-        everything = everything & flag(k)
-    out = df.select(
-        *base, *derived,
-        *[flag(k).alias(f"ok_{k}") for k in keys],
-        *[when_on(k, rules[k].message, F.lit(None).cast("string")).alias(f"msg_{k}") for k in keys],
-        everything.alias("_pass"),
-        (when_on("shift_gap", rules["shift_gap"].items, none) if "shift_gap" in rules else none).alias("_gv"),
-        (when_on("max_day", rules["max_day"].items, none) if "max_day" in rules else none).alias("_dv"),
-        F.when(everything, "Valid").otherwise("Invalid").alias("Status"),
-    )
-    return out
+    rules = {k: REGISTRY[k][1](_policy(df, policy)) for k in keys}
+
+    def when_on(key: str, sql: str, otherwise: str) -> str:
+        chosen = "policy_active_rule_keys"
+        on = f"({chosen} is null or array_contains({chosen}, '{key}'))"
+        return f"if({on}, {sql}, {otherwise})" if per_row else f"({sql})"
+    flags = {k: when_on(k, rules[k].passed, "true") for k in keys}
+    passed = " and ".join(flags.values()) if keys else "true"
+
+    def found(key: str) -> str:
+        return when_on(key, rules[key].items, NO_ITEMS) if key in rules else NO_ITEMS
+    return df.selectExpr(
+        *[f"`{c}`" for c in roster.columns], "sig", "matrix", "ot_a", "ot_b", "ot_total",
+        *[f"{sql} as ok_{k}" for k, sql in flags.items()],
+        *[f"{when_on(k, rules[k].message, 'cast(null as string)')} as msg_{k}" for k in keys],
+        f"{passed} as _pass", f"{found('shift_gap')} as _gv", f"{found('max_day')} as _dv",
+        f"if({passed}, 'Valid', 'Invalid') as Status")

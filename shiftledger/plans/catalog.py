@@ -221,7 +221,7 @@ def drop_blank_names(spark, sf):
 F4 = Q.features()
 
 
-@query("day_hours", F4 + " select roster_id, row_idx, array_to_string(h, ',') hours from f4")
+@query("day_hours", F4 + " select roster_id, row_idx, array_to_string(h, ',') as hours from f4")
 def day_hours(spark, sf):
     return D.roster_synth(spark, sf).select(*KEY, F.array_join(R.day_hours(F.col("codes")).cast("array<string>"), ",").alias("hours"))
 
@@ -260,7 +260,7 @@ def rest_gap(spark, sf):
 
 
 PERIOD = f"""
-    with ids as (select distinct c_custkey // 500 roster_id from customer), wk as (select unnest(['A', 'B']) week),
+    with ids as (select distinct c_custkey // 500 roster_id from customer), wk as (select unnest(['A', 'B']) as week),
     pe as (select roster_id, week, concat('Week ', week) label, case when not (week = 'B' and roster_id % 3 = 0)
              then date '2024-05-01' + cast(roster_id % 5 + case when week = 'B' then 7 else 0 end as int) end start_date from ids, wk)"""
 MONDAY = "cast(date_trunc('week', start_date) as date)"
@@ -275,7 +275,7 @@ def day_label(spark, sf):
 
 
 @query("week_dates", f"""select o_orderkey, cast(cast(date_trunc('week', o_orderdate) as date) as varchar) monday,
-    cast(cast(date_trunc('week', o_orderdate) as date) + 6 as varchar) sunday, cast(7 as bigint) days from orders""")
+    cast(cast(date_trunc('week', o_orderdate) as date) + 6 as varchar) sunday, cast(7 as bigint) as days from orders""")
 def week_dates(spark, sf):
     o = D.table(spark, sf, "orders").select("o_orderkey", R.week_dates(F.col("o_orderdate").cast("date")).alias("d"))
     return o.select("o_orderkey", F.get("d", F.lit(0)).cast("string").alias("monday"), F.get("d", F.lit(6)).cast("string").alias("sunday"),
@@ -311,7 +311,7 @@ def scrub_ctrl(spark, sf):
 
 @query("shift_window_label", f"""with ro as ({Q.roster()}), c as (select unnest(codes) code from ro)
     select code, case when ({Q.START.format(c='code')}) is null then '—' else concat(lpad(cast({Q.START.format(c='code')} as varchar), 2, '0'), ':00–',
-      lpad(cast(({Q.END.format(c='code')}) % 24 as varchar), 2, '0'), ':00') end hours, count(*) n from c group by 1, 2""")
+      lpad(cast(({Q.END.format(c='code')}) % 24 as varchar), 2, '0'), ':00') end as hours, count(*) n from c group by 1, 2""")
 def shift_window_label(spark, sf):
     c = D.roster_synth(spark, sf).select(F.explode("codes").alias("code"))
     return c.withColumn("hours", R.shift_window_label(F.col("code"))).groupBy("code", "hours").agg(F.count(F.lit(1)).alias("n"))
@@ -377,7 +377,7 @@ def validate_active_subset(spark, sf):
 
 
 POLICY_ROSTER = (POLICY_SQL + f", ro0 as ({Q.roster()}), rp as (select ro0.*, max_week_hrs, min_week_hrs, max_rolling_7d_hrs, nw_credit_hrs, active "
-                 "from ro0 join pol on pol.k = cast(ro0.id_no as bigint) % (select count(*) from supplier) + 1)")
+                 "from ro0 join pol on pol.k = cast(ro0.id_no as bigint) % (select count(*) from supplier))")
 PER_ROW = Q.results("select * from rp", max_week="max_week_hrs", min_week="min_week_hrs", roll="max_rolling_7d_hrs", nw="nw_credit_hrs")
 PER_ROW_SQL = POLICY_ROSTER + "," + PER_ROW.strip()[len("with"):]
 
@@ -388,7 +388,7 @@ def _n_policies(spark, sf) -> Column:
 
 def _with_policy(spark, sf):
     r = D.roster_synth(spark, sf).withColumn(
-        "policy_id", (F.col("id_no").cast("bigint") % _n_policies(spark, sf) + 1).cast("string"))
+        "policy_id", (F.col("id_no").cast("bigint") % _n_policies(spark, sf)).cast("string"))
     return V.policy_join(r, _policy(spark, sf))
 
 
@@ -429,7 +429,7 @@ def week_view(spark, sf):
     return _big(O.week_view(_results(spark, sf), "B"), "ot_b")
 
 
-@query("coverage_filter", PERIOD + f""", ro as ({Q.roster()}), lg as (select roster_id, d day_idx, case when d < 7 then 'A' else 'B' end week, upper(trim(codes[d + 1])) code
+@query("coverage_filter", PERIOD + f""", ro as ({Q.roster()}), lg as (select roster_id, d day_idx, case when d < 7 then 'A' else 'B' end as week, upper(trim(codes[d + 1])) code
       from ro, (select unnest(range(14)) d))
     select roster_id, {b('day_idx')}, code, count(*) n from lg join pe using (roster_id, week)
     where start_date is null or start_date + cast(day_idx % 7 as int) between date '2024-05-03' and date '2024-05-10' group by all""")
@@ -624,7 +624,7 @@ def parse_log(spark, sf):
     return _records(spark, sf)
 
 
-@query("parse_ts", REC + " select file, line_no, strftime(at, '%Y-%m-%d %H:%M:%S') ts from rect")
+@query("parse_ts", REC + " select file, line_no, strftime(tsv, '%Y-%m-%d %H:%M:%S') ts from rect")
 def parse_ts(spark, sf):
     return _records(spark, sf).select("file", "line_no", F.date_format(X.parse_ts(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
@@ -635,7 +635,7 @@ def coerce_level(spark, sf):
 
 
 @query("log_filter", REC + """ select file, line_no, level, raw from rect where (level = '' or level in ('ERROR', 'WARNING'))
-    and at >= timestamp '2024-01-05 00:00:00' and at <= timestamp '2024-01-20 12:00:00' and contains(trace_id, 'sesh-1') and contains(lower(raw), 'event')""")
+    and tsv >= timestamp '2024-01-05 00:00:00' and tsv <= timestamp '2024-01-20 12:00:00' and contains(trace_id, 'sesh-1') and contains(lower(raw), 'event')""")
 def log_filter(spark, sf):
     return L.log_filter(_records(spark, sf), levels=["error", "warning"], since="2024-01-05 00:00:00", until="2024-01-20 12:00:00",
                         trace_id="sesh-1", grep="EVENT").select("file", "line_no", "level", "raw")
@@ -651,7 +651,7 @@ def log_kpis(spark, sf):
     return L.log_kpis(_records(spark, sf))
 
 
-@query("severity_histogram", REC + f""", ev as (select cast(epoch(at) as bigint) sec, lv from rect where at is not null), sp as (select min(sec) lo, max(sec) hi from ev),
+@query("severity_histogram", REC + f""", ev as (select cast(epoch(tsv) as bigint) sec, lv from rect where tsv is not null), sp as (select min(sec) lo, max(sec) hi from ev),
     wd as (select min(w) w from (select unnest({L.BIN_SECONDS}) w), sp where hi // w - lo // w + 1 <= 60)
     select {b('sec // w * w', 'bin_start')}, {b('w', 'width')}, lv level, count(*) events from ev, wd group by all""")
 def severity_histogram(spark, sf):
@@ -777,7 +777,7 @@ def idle_sessions(spark, sf):
 
 def _event_stream(spark, sf):
     schema = D.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
 
 
 @query("stream_rate_limit")
@@ -804,7 +804,7 @@ def stream_log_severity(spark, sf):
 @query("stream_validate", RES + """ select roster_id, row_idx, matrix, case when pass then 'Valid' else 'Invalid' end "Status" from f6""")
 def stream_validate(spark, sf):
     schema = D.table(spark, sf, "customer").schema
-    rosters = D.roster_from_customers(spark.readStream.schema(schema).parquet(f"{sf}/customer.parquet"))
+    rosters = D.roster_from_customers(spark.readStream.schema(schema).parquet(f"{sf}/custome[r].parquet"))
     return TV.run_to_table(TV.stream_validate(rosters).select(*KEY, "matrix", "Status"), "validated")
 
 

@@ -34,10 +34,10 @@ def roster_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roster_from_customers(customers: DataFrame) -> DataFrame:
     """One employee per customer; rosters of 500 employees."""
     k = F.col("c_custkey")
-    pattern = F.get(F.array(*[F.array(*[F.lit(c) for c in p.split()]) for p in PATTERNS]), (k % 10).cast("int"))
-    override = F.get(F.array(*[F.lit(c) for c in OVERRIDES]), (F.floor(k / 14) % 11).cast("int"))
-    codes = F.transform(
-        pattern, lambda c, d: F.when((k % 4 == 0) & (d == k % 14), override).otherwise(c))
+    patterns = "array(" + ", ".join("array(" + ", ".join(f"'{c}'" for c in p.split()) + ")" for p in PATTERNS) + ")"
+    override = "get(array(" + ", ".join(f"'{c}'" for c in OVERRIDES) + "), cast((c_custkey div 14) % 11 as int))"
+    codes = F.expr(f"transform(get({patterns}, cast(c_custkey % 10 as int)), "
+                   f"(c, d) -> if(c_custkey % 4 = 0 and d = c_custkey % 14, {override}, c))")
     return customers.select(
         F.floor(k / ROSTER_SIZE).cast("bigint").alias("roster_id"),
         (k % ROSTER_SIZE).cast("int").alias("row_idx"),

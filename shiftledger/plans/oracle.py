@@ -216,7 +216,7 @@ def records(lines: str = "") -> str:
     rec as (select file, line_no, {field('ts', 1, f"regexp_extract(raw, {AUDIT}, 1)", "''")}, {field('level', 2, "'INFO'", "''")},
        {field('logger', 3, "'audit'", "''")}, {field('trace_id', 4, f"regexp_extract(raw, {AUDIT}, 2)", "''")},
        {field('message', 5, f"regexp_extract(raw, {AUDIT}, 3)", "raw")}, raw from red),
-    rect as (select *, try_strptime(replace(ts, 'T', ' '), '%Y-%m-%d %H:%M:%S') at,
+    rect as (select *, try_strptime(replace(ts, 'T', ' '), '%Y-%m-%d %H:%M:%S') tsv,
        case when level in ('CRITICAL','ERROR','WARNING','INFO','DEBUG') then level else 'DEBUG' end lv from rec)"""
 
 
