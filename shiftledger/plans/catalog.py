@@ -757,7 +757,17 @@ def format_kv(spark, sf):
 DAY = 86_400
 
 
-@query("rate_limit")
+LIMITED = """
+    with recursive e as (select event_id, user_id, epoch_us(ts) us, row_number() over (partition by user_id order by epoch_us(ts), event_id) rn from events),
+    w as (select event_id, user_id, us, rn, true allowed, cast(0 as bigint) retry_after, [us] held from e where rn = 1
+      union all
+      select event_id, user_id, us, rn, len(k) < 2, cast(case when len(k) < 2 then 0 else greatest((86400000000 - (us - k[1])) // 1000000, 1) end as bigint),
+        case when len(k) < 2 then list_append(k, us) else k end
+      from (select e.event_id, e.user_id, e.us, e.rn, list_filter(w.held, lambda t: e.us - t < 86400000000) k
+            from w join e on e.user_id = w.user_id and e.rn = w.rn + 1) n)"""
+
+
+@query("rate_limit", LIMITED + " select event_id, user_id, allowed, retry_after from w")
 def rate_limit(spark, sf):
     e = D.table(spark, sf, "events").select("event_id", "user_id", "ts")
     return TL.rate_limit(e, "user_id", "ts", "event_id", limit=2, window=DAY).select("event_id", "user_id", "allowed", "retry_after")
@@ -768,9 +778,12 @@ def attempt_rate(spark, sf):
     return TL.attempt_rate(D.table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", DAY).select("event_id", "attempts")
 
 
-@query("idle_sessions", """with e as (select user_id, epoch_us(ts) us from events), l as (select *, us - lag(us) over (partition by user_id order by us) gap from e),
+SESSIONS = """with e as (select user_id, epoch_us(ts) us from events), l as (select *, us - lag(us) over (partition by user_id order by us) gap from e),
     s as (select *, 1 + coalesce(sum(case when gap > 43200000000 then 1 else 0 end) over (partition by user_id order by us), 0) session_no from l)
-    select user_id, cast(session_no as bigint) session_no, min(us) start_us, max(us) end_us, count(*) events from s group by 1, 2""")
+    select user_id, cast(session_no as bigint) session_no, min(us) start_us, max(us) end_us, count(*) events from s group by 1, 2"""
+
+
+@query("idle_sessions", SESSIONS)
 def idle_sessions(spark, sf):
     return TS.idle_sessions(D.table(spark, sf, "events"), "user_id", "ts", 43_200)
 
@@ -780,25 +793,29 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", LIMITED + " select user_id, us at_us, allowed, retry_after from w")
 def stream_rate_limit(spark, sf):
     e = _event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
     return TV.run_to_table(TL.rate_limit_stream(e.select("user_id", "at"), "user_id", "at", 2, DAY), "rate-limit")
 
 
-@query("stream_idle_sessions")
+# A stream emits what its watermark (latest event minus ten minutes) has passed.
+@query("stream_idle_sessions", f"""select user_id, start_us, end_us, events from ({SESSIONS}) t
+    where end_us + 43200000000 <= (select max(epoch_us(ts)) - 600000000 from events)""")
 def stream_idle_sessions(spark, sf):
     e = _event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
     return TV.run_to_table(TS.idle_sessions_stream(e, "user_id", "at", 43_200), "sessions")
 
 
-@query("stream_log_severity")
+@query("stream_log_severity", f"""with e as (select epoch_us(ts) // 1000000 sec, {Q.LEVEL} level from events), g as (select sec // 3600 * 3600 s, level, count(*) n from e group by all)
+    select {b('s', 'bin_sec')}, level, n events from g where s + 3600 <= (select max(sec) - 600 from e)""")
 def stream_log_severity(spark, sf):
     e = _event_stream(spark, sf)
     line = F.concat(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" | "), F.rpad(D._level(), 8, " "), F.lit(" | app.main | trace_id=sesh-"),
                     F.col("user_id").cast("string"), F.lit(" | event "), F.col("event_type"))
     lines = e.select(F.lit("app.log").alias("file"), F.col("event_id").alias("line_no"), line.alias("value"))
-    return TV.run_to_table(TV.live_log_severity(lines, "1 hour"), "severity")
+    done = TV.run_to_table(TV.live_log_severity(lines, "1 hour"), "severity")
+    return done.select(F.unix_seconds("bin_start").alias("bin_sec"), "level", "events")
 
 
 @query("stream_validate", RES + """ select roster_id, row_idx, matrix, case when pass then 'Valid' else 'Invalid' end "Status" from f6""")
