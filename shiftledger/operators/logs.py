@@ -101,17 +101,20 @@ def log_kpis(records: DataFrame) -> DataFrame:
 def severity_histogram(records: DataFrame, maxbins: int = 60) -> DataFrame:
     """Events per time bin and level, with the narrowest width that needs at most ``maxbins`` bins.
 
-    Counts per second and level are combined first; the width is a scalar subquery over the range.
+    Records are counted per second and level once; the range (a scalar subquery) and the bins are both taken
+    from those counts. The range looks at the counts too, so that both sides have the same shuffle and Spark
+    runs it once.
     """
     seconds = F.unix_seconds(X.parse_ts(F.col("ts")).cast("timestamp"))
-    events = records.select(seconds.alias("sec"), X.coerce_level(F.col("level")).alias("level")).filter("sec is not null")
-    span = events.agg(F.min("sec").alias("lo"), F.max("sec").alias("hi"))
-    fits = [F.when(F.floor(F.col("hi") / w) - F.floor(F.col("lo") / w) + 1 <= maxbins, w) for w in BIN_SECONDS]
-    width = span.select(F.coalesce(*fits, F.lit(BIN_SECONDS[-1])).cast("bigint")).scalar()
-    binned = events.withColumn("width", width)
+    counts = records.select(seconds.alias("sec"), X.coerce_level(F.col("level")).alias("level")).filter(
+        "sec is not null").groupBy("sec", "level").agg(F.count(F.lit(1)).alias("n"))
+    seen = F.when(F.col("n") > 0, F.col("sec"))
+    span = counts.agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"))
+    fits = ", ".join(f"if(floor(hi / {w}) - floor(lo / {w}) + 1 <= {maxbins}, {w}L, null)" for w in BIN_SECONDS)
+    width = span.select(F.expr(f"coalesce({fits}, {BIN_SECONDS[-1]}L)")).scalar()
     start = (F.floor(F.col("sec") / F.col("width")) * F.col("width")).cast("bigint")
-    return binned.groupBy(start.alias("bin_start"), "width", "level").agg(
-        F.count(F.lit(1)).alias("events")).orderBy("bin_start", X.level_order(F.col("level")))
+    return counts.withColumn("width", width).groupBy(start.alias("bin_start"), "width", "level").agg(
+        F.sum("n").alias("events")).orderBy("bin_start", X.level_order(F.col("level")))
 
 
 def tail(lines: DataFrame, max_lines: int = 2_000, max_bytes: int = 1024 * 1024) -> DataFrame:

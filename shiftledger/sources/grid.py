@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from shiftledger import dims
 from shiftledger.functions.roster import lookup, strip
+from shiftledger.operators.rules import pinned
 
 # --- fixed values: words read as an empty cell, signatures, name filters -----------------------
 EMPTY_WORDS = [
@@ -134,7 +135,8 @@ def detect_header(grids: DataFrame) -> DataFrame:
         F.col("_hit.sheet_no").alias("sheet_no"), F.col("_hit.row_idx").alias("row_idx"),
         F.slice(_positions(F.col("_hit.cells"), is_day), 1, 14).alias("day_cols")))
     reason = F.coalesce("reason", F.when(F.col("_hit").isNull(), NO_DAYS))
-    return df.withColumns({"header": header, "reason": reason}).drop("_hit")
+    # Pinned: the column scan below uses the header once per grid row, so it must not be recomputed there.
+    return pinned(df.withColumns({"header": header, "reason": reason}).drop("_hit"), ["header", "reason"])
 
 
 def detect_meta_columns(grids: DataFrame, header_only: bool = False) -> DataFrame:
@@ -154,7 +156,8 @@ def detect_meta_columns(grids: DataFrame, header_only: bool = False) -> DataFram
         return F.get(F.array_compact(firsts), F.lit(0))
     meta = F.struct(*[position(role).alias(role) for role in dims.META_KEYWORDS])
     df = grids.withColumn("meta", F.when(h.isNotNull(), meta))
-    return df.withColumn("reason", F.coalesce("reason", F.when(F.col("meta.name").isNull(), NO_NAME)))
+    reason = F.coalesce("reason", F.when(F.col("meta.name").isNull(), NO_NAME))
+    return pinned(df.withColumn("reason", reason), ["meta", "reason"])
 
 
 def rejects(grids: DataFrame) -> DataFrame:
