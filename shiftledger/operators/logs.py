@@ -118,19 +118,20 @@ def severity_histogram(records: DataFrame, maxbins: int = 60) -> DataFrame:
 
 
 def tail(lines: DataFrame, max_lines: int = 2_000, max_bytes: int = 1024 * 1024) -> DataFrame:
-    """Last lines of every file within both caps.
+    """Last lines of every file within both caps; ``line_no`` must count every line of the file.
 
-    ``row_number() <= n`` becomes a group limit before the shuffle, so a task sends at most ``max_lines`` lines
-    per file; the byte count then runs over those only. A line that starts exactly at the byte limit is
-    dropped unless it is the first of its file, because a reader from the end cannot know it is whole.
+    The last line number per file comes from a combined aggregate, so lines before the tail are dropped by a
+    filter and a file of any length sends at most ``max_lines`` lines to the window that counts bytes. A line
+    that starts exactly at the byte limit is dropped unless it is the first of its file, because a reader
+    from the end cannot know it is whole.
     """
     max_lines = max(1, min(max_lines, dims.TAIL_MAX_LINES))
     max_bytes = max(1, min(max_bytes, dims.TAIL_MAX_BYTES))
-    w = W.partitionBy("file").orderBy(F.col("line_no").desc())
-    last = lines.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_lines)
-    size = F.sum(F.octet_length("value") + 1).over(w.rowsBetween(W.unboundedPreceding, 0))
+    ends = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
+    last = lines.join(ends, "file").filter(F.col("line_no") > F.col("_last") - max_lines).drop("_last")
+    w = W.partitionBy("file").orderBy(F.col("line_no").desc()).rowsBetween(W.unboundedPreceding, 0)
     whole = (F.col("_bytes") < max_bytes) | ((F.col("line_no") == 1) & (F.col("_bytes") <= max_bytes))
-    return last.withColumn("_bytes", size).filter(whole).drop("_rn", "_bytes")
+    return last.withColumn("_bytes", F.sum(F.octet_length("value") + 1).over(w)).filter(whole).drop("_bytes")
 
 
 def parse_audit(records: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,12 @@ def fill_days(df: DataFrame) -> DataFrame:
     return df.withColumn("codes", R.fill_codes(F.col("codes")))
 
 
-def drop_blank_names(df: DataFrame) -> DataFrame:
-    return df.filter(R.strip(F.coalesce(F.col("name"), F.lit(""))) != "")
+def drop_blank_names(df: DataFrame, dropped: Observation | None = None) -> DataFrame:
+    """Keep rows with a name; ``dropped`` observes how many rows had none (``dropped.get["dropped"]``)."""
+    named = R.strip(F.coalesce(F.col("name"), F.lit(""))) != ""
+    if dropped is not None:
+        df = df.observe(dropped, F.count_if(~named).alias("dropped"))
+    return df.filter(named)
 
 
 def row_id(df: DataFrame) -> DataFrame:

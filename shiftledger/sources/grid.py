@@ -38,9 +38,14 @@ GRID = "array<struct<sheet_no:int,row_idx:int,cells:array<string>>>"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, length, content) of every file under ``path``."""
+    """(file, length, content) of every file under ``path``.
+
+    The size filter reaches the reader, so a file above the limit is listed but never loaded.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("file"), "length", "content")
+    fits = F.col("length") <= dims.MAX_FILE_BYTES
+    listed = files.filter(~fits).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return files.filter(fits).select("path", "length", "content").unionByName(listed).withColumnRenamed("path", "file")
 
 
 def guard_files(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from shiftledger.shared import shared_dir
 from shiftledger.streaming import limits as TL
 from shiftledger.streaming import live as TV
 from shiftledger.streaming import sessions as TS
@@ -68,6 +69,7 @@ def test_idle_sessions(spark):
         assert sorted((r.user_id, r.start_us, r.end_us, r.events) for r in got.collect()) == sorted(want)
 
 
-def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
-    from shiftledger import shared
-    assert shared.shared_dir(spark, "x") != shared.shared_dir(spark, "x")
+def test_shared_folder(spark):
+    first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    assert first != second and (root is None or first.startswith(root.rstrip("/") + "/"))
