@@ -185,18 +185,17 @@ def group_violations(violations: DataFrame, label_a: str = "Week A", label_b: st
     shared by very many rows (ids left ``Unspecified``) reaches its final group as distinct details only.
     """
     key = ["roster_id", "id_no", "name"]
-    at = F.struct("row_idx", "ord")
-    distinct = violations.groupBy(*key, "type", "details").agg(
-        F.min(at).alias("at"), F.min_by(F.struct("station", "matrix"), at).alias("base"))
-    cards = distinct.groupBy(*key).agg(
-        F.min("at").alias("first"), F.min_by("base", "at").alias("base"),
-        F.array_sort(F.collect_list(F.struct("at", "type", "details"))).alias("items"))
+    # One aggregate per level carries everything, so a ranking's counts and its rows share these shuffles.
+    at = F.struct("row_idx", "ord", "station", "matrix")
+    distinct = violations.groupBy(*key, "type", "details").agg(F.min(at).alias("at"))
+    cards = distinct.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "type", "details"))).alias("items"))
+    cards = cards.withColumn("base", F.get("items", F.lit(0))["at"])
     types = F.array_distinct(F.col("items")["type"])
     details = F.array_join(F.transform(
         "items", lambda i: F.concat(F.lit("["), i["type"], F.lit("] "), i["details"])), "  |  ")
     cards = cards.select(
         *key, F.col("base.station").alias("station"), F.col("base.matrix").alias("matrix"),
-        F.col("first.row_idx").alias("row_idx"), types.alias("types"), details.alias("details"))
+        F.col("base.row_idx").alias("row_idx"), types.alias("types"), details.alias("details"))
     structural = F.array(*[F.lit(r) for r in dims.STRUCTURAL_RULES])
     cards = cards.withColumns({
         "failed_weeks": failed_weeks(F.col("details"), F.lit(label_a), F.lit(label_b)),
