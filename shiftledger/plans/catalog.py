@@ -130,7 +130,7 @@ LINES_SQL = Q.log_lines()
 
 
 @query("scan_logs", LINES_SQL + """
-    select file, line_no, value, 'app' stream, substr(file, 9) date_label from lines where line_no % 1 = 0""")
+    select file, line_no, value, 'app' stream, substr(file, 9) date_label from lines""")
 def scan_logs(spark, sf):
     lines = D.log_synth(spark, sf)
     return SL.allowed_lines(lines)
