@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import mixing, packing, quality_rules
+from shiftledger.llm import chat, mixing, mtree, packing, quality_rules, secrets
 from shiftledger.llm.common import saved, table
 from shiftledger.llm.sql import SQL  # noqa: F401  (registered together)
 
@@ -48,3 +48,29 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = saved(mixing.targets(sizes), "targets")
     return mixing.taken(rows, plan).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", secrets.spans("text").alias("found"))
+    found = F.col("found")
+    base = [r.kind for r in secrets.BASE]
+    count = lambda kind: F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return docs.select(
+        "doc_id", *map(count, base), F.sha2(listed(F.filter(found, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        listed(found).alias("spans"))
+
+
+@query
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    rows = table(spark, sf_dir, "embeddings").filter(mtree.valid(F.col("embedding"))).select("vec_id", whole.alias("embedding"))
+    return mtree.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(["user", "assistant"])]
+    return chat.digests(chat.windows(rows.unionByName(spark.createDataFrame(both, "conv_id bigint, turn bigint, role string, text string"))))
