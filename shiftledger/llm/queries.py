@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import chat, mixing, mtree, packing, quality_rules, secrets
+from shiftledger.llm import chat, mixing, mtree, packing, quality_rules, secrets, substrings
 from shiftledger.llm.common import saved, table
 from shiftledger.llm.sql import SQL  # noqa: F401  (registered together)
 
@@ -74,3 +74,8 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(["user", "assistant"])]
     return chat.digests(chat.windows(rows.unionByName(spark.createDataFrame(both, "conv_id bigint, turn bigint, role string, text string"))))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
