@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import chat, mixing, mtree, packing, quality_rules, secrets, substrings
-from shiftledger.llm.common import saved, table
+from shiftledger.llm import chat, mixing, mtree, near_dedup, packing, quality_rules, secrets, substrings
+from shiftledger.llm.common import row_key, saved, table
 from shiftledger.llm.sql import SQL  # noqa: F401  (registered together)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = near_dedup.classes(docs).select("key", "class_id", "n_links")
+    return docs.select("doc_id", row_key("doc_id", "text").alias("key")).join(found, "key").select("doc_id", "class_id", "n_links")
