@@ -15,7 +15,8 @@ import public_tokenizers
 from shiftledger.llm import text as T
 
 TOKENIZER = "word_bpe_49k.json"
-MOST_PIECES = 600_000
+MOST_PIECES = 400_000
+BATCH = 5000
 
 _SPACE, _LETTER, _MARK, _OTHER = range(4)
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -47,9 +48,12 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         if len(self.known) + len(hashes) > MOST_PIECES and len(self.known):
             self._empty()
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(counts.sum()))
+        counts, flat = [], []
+        for k in range(0, len(pieces), BATCH):
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k:k + BATCH], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            flat.append(np.fromiter((i for ids in encoded for i in ids), np.uint32, int(counts[-1].sum())))
+        counts, flat = np.concatenate(counts), np.concatenate(flat)
         starts = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate([self.ids, flat])
         order = np.argsort(all_known := np.concatenate([self.known, hashes]), kind="stable")
