@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import chat, mixing, mtree, near_dedup, packing, quality_rules, secrets, substrings
+from shiftledger.llm import chat, html_crf, html_pages, mixing, mtree, near_dedup, packing, quality_rules, secrets, substrings
 from shiftledger.llm.common import row_key, saved, table
 from shiftledger.llm.sql import SQL  # noqa: F401  (registered together)
 
@@ -86,3 +86,9 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = near_dedup.classes(docs).select("key", "class_id", "n_links")
     return docs.select("doc_id", row_key("doc_id", "text").alias("key")).join(found, "key").select("doc_id", "class_id", "n_links")
+
+
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_crf.main_text("html", html_pages.default_model()).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
