@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import chat, html_crf, html_pages, mixing, mtree, near_dedup, packing, quality_rules, secrets, substrings
+from shiftledger.llm import chat, html_crf, html_pages, mil, mixing, mtree, near_dedup, packing, quality_rules, secrets, substrings
 from shiftledger.llm.common import row_key, saved, table
 from shiftledger.llm.sql import SQL  # noqa: F401  (registered together)
 
@@ -92,3 +92,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html_crf.main_text("html", html_pages.default_model()).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(part != 1).select("doc_id", F.col("quality").alias("label"))
+    scored = docs.select("doc_id", (part == 1).alias("held_out"), mil.score("text", mil.learn(docs, labels)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
