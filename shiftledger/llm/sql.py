@@ -1,3 +1,68 @@
 """The same results in DuckDB SQL, for the queries that SQL expresses in reasonable time."""
 
-SQL: dict[str, str] = {}
+from shiftledger.llm.secrets import BASE, RULES
+
+SPACES = r"[\x20\x09-\x0D]+"
+WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda x: x <> '')"
+
+
+def _secrets() -> str:
+    """Matches of each rule in order; a match starts after the pieces and matches before it."""
+    quoted = lambda r: ("(?i)" if r.ignore_case else "") + r.pattern.replace("'", "''")
+    parts = " UNION ALL ".join(f"""
+        SELECT doc_id, n, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, '{quoted(r)}') AS gaps,
+               regexp_extract_all(t, '{quoted(r)}') AS hits, regexp_extract_all(t, '{quoted(r)}', {r.group}) AS kept FROM d""" for k, r in enumerate(RULES))
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    listed = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k){}, '')"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
+    m AS ({parts}),
+    each AS (SELECT n, k, kind, least, gaps, hits, kept, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+    s AS (SELECT n, k, kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a,
+                 length(hits[i]) AS size FROM each WHERE length(kept[i]) >= least),
+    p AS (SELECT n, k, kind, CAST(a AS BIGINT) AS a, CAST(a + size AS BIGINT) AS b FROM s)
+    SELECT any_value(d.doc_id) AS doc_id, {counts}, sha256({listed.format(f" FILTER (k < {len(BASE)})")}) AS base_sha256, {listed.format(" FILTER (kind IS NOT NULL)")} AS spans
+    FROM d LEFT JOIN p USING (n) GROUP BY n"""
+
+
+SUBSTRINGS = f"""
+    WITH d AS (SELECT DISTINCT doc_id, text, {WORDS} AS w FROM documents),
+    n AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS k FROM d),
+    s AS (SELECT k, doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM n WHERE len(w) >= 20)),
+    later AS (SELECT k, i FROM s QUALIFY rank() OVER (PARTITION BY s ORDER BY k, i) > 1),
+    gone AS (SELECT DISTINCT k, unnest(range(i, i + 20)) AS j FROM later),
+    kept AS (SELECT v.k, count(gone.j) AS n_removed, string_agg(v.x, ' ' ORDER BY v.j) FILTER (gone.j IS NULL) AS t
+             FROM (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM n) v LEFT JOIN gone USING (k, j) GROUP BY v.k)
+    SELECT o.doc_id, CAST(len(n.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM documents o JOIN n ON o.doc_id IS NOT DISTINCT FROM n.doc_id AND o.text IS NOT DISTINCT FROM n.text LEFT JOIN kept USING (k)"""
+
+MIX = f"""
+    WITH w AS (SELECT doc_id, source, text, {WORDS} AS w FROM documents),
+    f AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS size,
+                 greatest(0.05::DOUBLE, len(list_distinct(w))::DOUBLE / greatest(len(w), 1))
+                 * greatest(0.05::DOUBLE, 1 - len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::DOUBLE / greatest(len(w), 1)) AS weight,
+                 (CAST('0x' || substr(md5(concat_ws(':', doc_id, coalesce(text, ''))), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656 AS u FROM w),
+    r AS (SELECT *, 1 - exp(ln(u) / weight) AS at FROM f),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY source),
+    x AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::INT + 1] AS w FROM s),
+    y AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER o, 0))
+                    / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level, row_number() OVER (ORDER BY 2 * source_size / w, source IS NULL, source) AS place
+          FROM x WINDOW o AS (ORDER BY 2 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    z AS (SELECT *, level > 2 * source_size / w AS stopped FROM y),
+    c AS (SELECT *, min_by(level, place) FILTER (NOT stopped) OVER () AS common FROM z),
+    t AS (SELECT source, source_size, CASE WHEN stopped THEN 2 * source_size::DOUBLE ELSE least(w * common, 2 * source_size::DOUBLE) END AS target FROM c),
+    e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+    p AS (SELECT r.doc_id, r.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+                 sum(r.size) OVER (PARTITION BY r.source ORDER BY r.at, r.doc_id, r.size ROWS UNBOUNDED PRECEDING) AS upto
+          FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source)
+    SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p"""
+
+TOP_K = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM q JOIN v ON q.vec_id <> v.vec_id)
+    SELECT query_id, CAST(row_number() OVER o AS INT) AS rank, vec_id, score FROM s
+    WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5"""
+
+SQL: dict[str, str] = {"op1_secret_scan": _secrets(), "op4_substring_dedup": SUBSTRINGS, "op7_source_mix": MIX, "op10_exact_top_k": TOP_K}
