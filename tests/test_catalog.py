@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import TABLES, compare
+from shiftledger.plans.catalog import CATALOG
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,14 +19,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert all(sql for _, sql in CATALOG.values())
 
 
 def test_entry(spark):
     assert entry(spark).count() == 3
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_query(spark, con, name):
-    result = compare(spark, con, SF, name, oracle_sql().get(name))
+    result = compare(spark, con, SF, name, CATALOG[name][1])
     assert result.startswith("ok"), result
