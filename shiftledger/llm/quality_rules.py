@@ -1,7 +1,7 @@
 """Quality rules by weak supervision: rules vote or abstain, and their agreement says how far each can be trusted.
 
 Every rule votes good, bad or abstains on a document. Expectation-maximisation over the counts of vote patterns (at
-most 3 ** rules of them, whatever the input) estimates the accuracy of the bad and of the good votes of each rule. A document is kept when its posterior probability of being good is at least one half. DataFrame functions only.
+most 3 ** rules of them, whatever the input) estimates how accurate the bad and the good votes of each rule are. A document is kept when its posterior probability of being good is at least one half. DataFrame functions only.
 
 Rows: a null text has no words; equal rows get equal results; other columns are not read. Without rows nothing is
 kept or dropped.
@@ -21,7 +21,7 @@ REPEAT_WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
-BLANK = r"^[\x20\x09-\x0D]*$"
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def repeated_words(w: Column, size: int = REPEAT_WINDOW) -> Column:
@@ -61,7 +61,7 @@ def features(text: Column) -> Column:
             F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), repeated_words(w).alias("n_repeat_words"),
             F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False)))).alias("n_stuck"))
 
-    full = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(BLANK))
+    full = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     return F.struct(
         let(words(text), of).alias("words"), let(full, lines).alias("lines"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -108,8 +108,10 @@ def votes(f: Column) -> Column:
     return F.array(*[r.vote() for r in rules(f)])
 
 
-#: Rules are taken to be better than chance: of the bad votes of a rule at least this share is right.
+#: Rules are taken to be better than chance: of the bad votes of a rule at least this share is right, of its good votes
+#: at least the share of good documents, and no more documents are bad than some rule votes bad on.
 LEAST_ACCURACY, MOST_ACCURACY = 0.9, 0.999
+SMOOTHING = 20  # votes at the least accuracy that are added to those of each rule
 
 
 def _logit(p: float) -> float:
@@ -144,20 +146,23 @@ class Model:
 def fit(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> Model:
     """Expectation-maximisation over counted vote patterns, from: a pattern with a bad vote is probably bad."""
     n_rules = len(next(iter(patterns), ()))
+    total = sum(patterns.values())
+    unblamed = sum(n for p, n in patterns.items() if min(p, default=0) >= 0)
+    bounded = lambda p, low: min(MOST_ACCURACY, max(low, p))
     good = {p: 0.1 if min(p, default=0) < 0 else 0.9 for p in patterns}
     model = Model(0.5, ((LEAST_ACCURACY,) * 2,) * n_rules)
     for _ in range(rounds):
-        total = sum(patterns.values())
-        prior = (sum(good[p] * n for p, n in patterns.items()) + 1) / (total + 2)
+        share = (sum(good[p] * n for p, n in patterns.items()) + 1) / (total + 2)
+        prior = bounded(share, max(1 - MOST_ACCURACY, unblamed / total if total else 0.5))
         accuracy = []
         for j in range(n_rules):
             each = []
             for vote, low in ((-1, max(LEAST_ACCURACY, 1 - prior)), (1, prior)):
                 voted = [(n, good[p] if vote > 0 else 1 - good[p]) for p, n in patterns.items() if p[j] == vote]
-                right = (sum(n * q for n, q in voted) + 20 * low) / (sum(n for n, _ in voted) + 20)
-                each.append(min(MOST_ACCURACY, max(low, right)))
+                right = (sum(n * q for n, q in voted) + SMOOTHING * low) / (sum(n for n, _ in voted) + SMOOTHING)
+                each.append(bounded(right, low))
             accuracy.append(tuple(each))
-        new = Model(min(prior, MOST_ACCURACY), tuple(accuracy))
+        new = Model(prior, tuple(accuracy))
         good = {p: 1 / (1 + math.exp(-new.log_odds(p))) for p in patterns}
         if abs(new.prior - model.prior) < 1e-9:
             return new
