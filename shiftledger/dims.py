@@ -102,7 +102,6 @@ CHANGE_ACTIONS = [
     "admin_defaults_saved", "admin_defaults_reset_to_factory",
     "admin_defaults_save_failed", "admin_defaults_reset_failed",
 ]
-TAIL_MAX_LINES, TAIL_MAX_BYTES = 10_000, 5 * 1024 * 1024
 
 # What Python's str.strip() removes from ASCII text; Spark's trim() alone removes only spaces.
 WHITESPACE = " \t\n\r\x0b\x0c"

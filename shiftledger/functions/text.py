@@ -62,9 +62,9 @@ def redact(c: Column, mask_pii: bool = False) -> Column:
 
 
 def parse_ts(c: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` or its ISO ``T`` form; anything else, fractions included, is null."""
-    shape = c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}$")
-    plain = F.regexp_replace(c, "T", " ")
+    """``yyyy-MM-dd HH:mm:ss``, with any white space between, or its ISO ``T`` form; anything else is null."""
+    shape = c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(T|\s+)\d{1,2}:\d{1,2}:\d{1,2}\z")
+    plain = F.regexp_replace(c, r"T|\s+", " ")
     return F.when(shape, F.try_to_timestamp(plain, F.lit("yyyy-M-d H:m:s")).cast("timestamp_ntz"))
 
 

@@ -36,16 +36,18 @@ def parse_log(lines: DataFrame, audit_logger: str = "audit") -> DataFrame:
     does not parse again. ``audit_logger`` is the logger given to text audit lines, which carry none.
     """
     v = F.col("value")
-    as_json = F.ltrim(v).startswith("{") & F.rtrim(v).endswith("}")
-    decoded = F.from_json(v, JSON_FIELDS, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+    stripped = F.btrim(v, F.lit(dims.WHITESPACE))
+    as_json = stripped.startswith("{") & stripped.endswith("}") & F.try_parse_json(stripped).isNotNull()
+    decoded = F.from_json(stripped, JSON_FIELDS, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     groups = [F.regexp_extract(v, TEXT_LINE, i) for i in range(1, 6)]
     # The separator cannot come from the line itself, except where it holds that control character.
     replaced = F.split(F.regexp_replace(v, TEXT_LINE, SEPARATOR.join(f"${i}" for i in range(1, 6))), SEPARATOR)
     in_text = F.when(~v.contains(SEPARATOR), replaced).when(v.rlike(TEXT_LINE), F.array(*groups))
-    df = lines.withColumns({"_json": F.when(as_json, decoded), "_text": in_text})
+    whole = F.when(as_json, F.struct(decoded.alias("fields"), F.json_object_keys(stripped).alias("keys")))
+    df = lines.withColumns({"_json": whole, "_text": in_text})
     json, text = F.col("_json"), F.col("_text")
-    # A broken object decodes to all nulls; it is then read as text, like any other line.
-    is_json = F.coalesce(*[json[f] for f in PARSED]).isNotNull()
+    # A broken object is read as text, like any other line; a field that is there and null reads None.
+    is_json = json.isNotNull()
     no_logger = F.get(text, F.lit(2)) == ""
     is_text = (F.size(text) == 5) & (~no_logger | (F.get(text, F.lit(1)) == "AUDIT"))
     audit = {"level": F.lit("INFO"), "logger": F.lit(audit_logger)}
@@ -54,7 +56,8 @@ def parse_log(lines: DataFrame, audit_logger: str = "audit") -> DataFrame:
         group = F.get(text, F.lit(i))
         if f in audit:
             group = F.when(no_logger, audit[f]).otherwise(group)
-        fields[f] = F.when(is_json, F.coalesce(json[f], F.lit(""))).when(is_text, group).otherwise(
+        fields[f] = F.when(is_json, F.coalesce(
+            json["fields"][f], F.when(F.array_contains(json["keys"], f), "None"), F.lit(""))).when(is_text, group).otherwise(
             v if f == "message" else F.lit(""))
     kept = [c for c in lines.columns if c != "value"]
     out = df.select(*kept, *[c.alias(f) for f, c in fields.items()], v.alias("raw"))
@@ -111,7 +114,8 @@ def severity_histogram(records: DataFrame, maxbins: int = 60) -> DataFrame:
     seen = F.when(F.col("n") > 0, F.col("sec"))
     span = counts.agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"))
     fits = ", ".join(f"if(floor(hi / {w}) - floor(lo / {w}) + 1 <= {maxbins}, {w}L, null)" for w in BIN_SECONDS)
-    width = span.select(F.expr(f"coalesce({fits}, {BIN_SECONDS[-1]}L)")).scalar()
+    widest = f"cast(ceil((hi - lo + 1) / {maxbins}) as bigint) * 2"  # beyond the listed widths
+    width = span.select(F.expr(f"coalesce({fits}, {widest})")).scalar()
     start = (F.floor(F.col("sec") / F.col("width")) * F.col("width")).cast("bigint")
     return counts.withColumn("width", width).groupBy(start.alias("bin_start"), "width", "level").agg(
         F.sum("n").alias("events")).orderBy("bin_start", X.level_order(F.col("level")))
@@ -125,8 +129,7 @@ def tail(lines: DataFrame, max_lines: int = 2_000, max_bytes: int = 1024 * 1024)
     that starts exactly at the byte limit is dropped unless it is the first of its file, because a reader
     from the end cannot know it is whole.
     """
-    max_lines = max(1, min(max_lines, dims.TAIL_MAX_LINES))
-    max_bytes = max(1, min(max_bytes, dims.TAIL_MAX_BYTES))
+    max_lines, max_bytes = max(1, max_lines), max(1, max_bytes)
     ends = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
     last = lines.join(ends, "file").filter(F.col("line_no") > F.col("_last") - max_lines).drop("_last")
     w = W.partitionBy("file").orderBy(F.col("line_no").desc()).rowsBetween(W.unboundedPreceding, 0)
@@ -225,7 +228,7 @@ def change_feed(records: DataFrame, action: str = "ALL", across_archives: bool =
 
 def feed_search(feed: DataFrame, q: str) -> DataFrame:
     """Substring in the synthesised text; the query is scrubbed like any other filter term."""
-    needle = "".join(ch for ch in (q or "")[:200] if ch >= " " and ch != "\x7f").lower()
+    needle = "".join(ch for ch in q or "" if ch >= " " and ch != "\x7f").lower()
     if not needle:
         return feed
     hit = F.lit(False)

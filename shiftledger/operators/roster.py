@@ -60,10 +60,11 @@ def search_roster(df: DataFrame, q: str) -> DataFrame:
 
 
 def search_results(df: DataFrame, q: str) -> DataFrame:
-    """The same over every result column as text; lists are searched item by item."""
+    """The same over every result column as text; lists are searched item by item. Row and policy keys are not results."""
     if not q.strip():
         return df
-    shown = [f for f in df.schema.fields if not f.name.startswith("ok_") and f.name not in ("sig", "matrix")]
+    hidden = ("sig", "matrix", "roster_id", "row_idx", "row_id")
+    shown = [f for f in df.schema.fields if not f.name.startswith(("ok_", "policy_")) and f.name not in hidden]
 
     def text(f: T.StructField) -> Column:
         if isinstance(f.dataType, T.ArrayType):

@@ -241,15 +241,10 @@ def features(roster: DataFrame) -> DataFrame:
     return df.selectExpr("*", *[f"{sql} as {n}" for n, sql in out.items()])
 
 
-def policy_join(roster: DataFrame, policy: DataFrame, on: str = "policy_id", max_rows: int = 50_000) -> DataFrame:
-    """Attach each roster row's thresholds.
-
-    The policy table is broadcast only after a bounded count shows it has at most ``max_rows`` rows;
-    a larger one is joined by shuffle, where adaptive execution splits a hot policy.
-    """
+def policy_join(roster: DataFrame, policy: DataFrame, on: str = "policy_id") -> DataFrame:
+    """Attach each roster row's thresholds. Spark broadcasts the policies if their size allows it; otherwise adaptive
+    execution splits a frequent policy."""
     cols = policy.select(on, *[F.col(c).alias(f"policy_{c}") for c in POLICY_COLUMNS])
-    if cols.limit(max_rows + 1).count() <= max_rows:
-        cols = F.broadcast(cols)
     return roster.join(cols, on, "left")
 
 

@@ -81,7 +81,7 @@ def scan_roster_grid(spark, sf):
 
 @query("guard_files", FILES + " select file, coalesce(bad, 'ok') reason from fl")
 def guard_files(spark, sf):
-    return G.guard_files(D.grid_files(spark, sf)).select("file", F.coalesce("reason", F.lit("ok")).alias("reason"))
+    return G.guard_files(D.grid_files(spark, sf), dims.MAX_FILE_BYTES).select("file", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
 @query("guard_cells", f"""
@@ -92,7 +92,7 @@ def guard_cells(spark, sf):
     e = D.table(spark, sf, "events")
     cells = e.select(F.concat(F.lit("events_"), "event_type").alias("file"), F.lit(0).alias("sheet_no"),
                      F.col("event_id").cast("int").alias("row_idx"), F.array_repeat(F.lit(""), 300).alias("cells"))
-    return G.grids_from_cells(cells).select("file", F.coalesce("reason", F.lit("ok")).alias("reason"))
+    return G.grids_from_cells(cells, dims.MAX_FILE_CELLS).select("file", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
 @query("detect_header", FILES + f"""
@@ -793,10 +793,11 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
 
 
-@query("stream_rate_limit", LIMITED + " select user_id, us at_us, allowed, retry_after from w")
+@query("stream_rate_limit", LIMITED + " select event_id, user_id, allowed, retry_after from w")
 def stream_rate_limit(spark, sf):
     e = _event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
-    return TV.run_to_table(TL.rate_limit_stream(e.select("user_id", "at"), "user_id", "at", 2, DAY), "rate-limit")
+    return TV.run_to_table(TL.rate_limit_stream(e.select("event_id", "user_id", "at"), "user_id", "at", "event_id", 2, DAY), "rate-limit").select(
+        "event_id", "user_id", "allowed", "retry_after")
 
 
 # A stream emits what its watermark (latest event minus ten minutes) has passed.

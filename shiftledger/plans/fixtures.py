@@ -21,6 +21,7 @@ PATTERNS = [
 ]
 OVERRIDES = ["Leave", "RH", "SPH", "NW", "AWOL", "RD", "AOT", "XX", "", "OS5", "C"]
 ROSTER_SIZE = 500
+PERIODS = 100_000  # roster numbers of one group of users, one for each period
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +85,7 @@ def log_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings audit lines, one per signup event."""
+    """Audit lines, one per event: sign-ups change settings, other events are ordinary lines between them."""
     e, user = F.col("event_id"), F.col("user_id").cast("string")
     keys = F.get(F.array(*[F.lit(x) for x in (
         "None", '["max_day", "min_rd"]', '["max_day", "max_week", "min_rd"]', '["shift_gap"]', "[]")]), (e % 5).cast("int"))
@@ -95,7 +96,9 @@ def change_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit('action="admin_defaults_saved" user_id="user'), user, F.lit('" thresholds={"max_week_hrs": '),
             (50 + e % 20).cast("string"), F.lit(', "min_week_hrs": 48, "max_rolling_7d_hrs": 60, "nw_credit_hrs": 0} active_rule_keys='),
             keys)))
-    events = table(spark, sf_dir, "events").filter("event_type = 'signup'")
+    other = F.concat(F.lit('action="'), F.col("event_type"), F.lit('" user_id="user'), user, F.lit('"'))
+    body = F.when(F.col("event_type") == "signup", body).otherwise(other)
+    events = table(spark, sf_dir, "events")
     lines = events.select(
         F.concat(F.lit("audit.log."), _ts_text(10)).alias("file"), "ts", "event_id",
         F.concat(_ts_text(19), F.lit(" | AUDIT | trace_id=sesh-"), user, F.lit(" | "), body).alias("value"))
@@ -103,22 +106,21 @@ def change_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rosters from activity: a user's day is a work code when events happened on it, else RD."""
+    """Rosters from activity, one row per user and 14-day period with events: a day is a work code when events happened
+    on it, else RD."""
     e = table(spark, sf_dir, "events")
-    days = e.filter("ts < timestamp_ntz'2024-01-15 00:00:00'").groupBy(
-        "user_id", (F.dayofmonth("ts") - 1).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(F.hour("ts")).alias("h"))
+    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    days = e.groupBy("user_id", F.floor(day / 14).alias("period"), F.pmod(day, F.lit(14)).alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.hour("ts")).alias("h"))
     code = F.concat(F.when(F.col("h") < 6, "C").when(F.col("h") < 14, "A").otherwise("B"),
                     F.when(F.col("n") >= 3, "OT").otherwise(""))
-    worked = days.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("d", code.alias("c")))).alias("m"))
-    users = e.select("user_id").distinct()
+    worked = days.groupBy("user_id", "period").agg(F.map_from_entries(F.collect_list(F.struct("d", code.alias("c")))).alias("m"))
     codes = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit("RD")))
-    return users.join(worked, "user_id", "left").select(
-        F.floor(F.col("user_id") / ROSTER_SIZE).cast("bigint").alias("roster_id"),
+    return worked.select(
+        (F.floor(F.col("user_id") / ROSTER_SIZE) * PERIODS + F.col("period")).cast("bigint").alias("roster_id"),
         (F.col("user_id") % ROSTER_SIZE).cast("int").alias("row_idx"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("name"), F.lit("events").alias("station"),
-        F.lit("").alias("emp_status"), F.col("user_id").cast("string").alias("id_no"),
-        F.coalesce("m", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))).alias("m"),
-    ).withColumn("codes", codes).drop("m")
+        F.lit("").alias("emp_status"), F.col("user_id").cast("string").alias("id_no"), codes.alias("codes"))
 
 
 FILE_ROWS = 50

@@ -34,14 +34,15 @@ def roster() -> str:
 
 def roster_events() -> str:
     return """
-    select u.user_id // 500 roster_id, cast(u.user_id % 500 as int) row_idx, concat('user', u.user_id) as name, 'events' station,
+    select u.user_id // 500 * 100000 + u.period roster_id, cast(u.user_id % 500 as int) row_idx, concat('user', u.user_id) as name, 'events' station,
       '' emp_status, cast(u.user_id as varchar) id_no,
       list(case when e.n is null then 'RD' else concat(case when e.h < 6 then 'C' when e.h < 14 then 'A' else 'B' end,
            case when e.n >= 3 then 'OT' else '' end) end order by d.d) codes
-    from (select distinct user_id from events) u cross join (select unnest(range(14)) d) d
-    left join (select user_id, cast(extract(day from ts) as int) - 1 d, count(*) n, min(cast(extract(hour from ts) as int)) h
-               from events where ts < timestamp '2024-01-15 00:00:00' group by 1, 2) e
-      on e.user_id = u.user_id and e.d = d.d group by 1, 2, 3, 6"""
+    from (select distinct user_id, date_diff('day', date '2024-01-01', cast(ts as date)) // 14 period from events) u
+    cross join (select unnest(range(14)) d) d
+    left join (select user_id, date_diff('day', date '2024-01-01', cast(ts as date)) // 14 period, date_diff('day', date '2024-01-01', cast(ts as date)) % 14 d,
+                 count(*) n, min(cast(extract(hour from ts) as int)) h from events group by 1, 2, 3) e
+      on e.user_id = u.user_id and e.period = u.period and e.d = d.d group by 1, 2, 3, 6"""
 
 
 def count(cond: str, lo: int = 1, hi: int = 14, what: str = "u") -> str:
@@ -225,13 +226,14 @@ def change_lines() -> str:
     with lines as (select concat('audit.log.', substr(cast(ts as varchar), 1, 10)) file,
       row_number() over (partition by substr(cast(ts as varchar), 1, 10) order by ts, event_id) line_no,
       concat(substr(cast(ts as varchar), 1, 19), ' | AUDIT | trace_id=sesh-', user_id, ' | ',
-       case when event_id % 7 = 5 then concat('action="admin_defaults_reset_to_factory" user_id="user', user_id, '"')
+       case when event_type <> 'signup' then concat('action="', event_type, '" user_id="user', user_id, '"')
+        when event_id % 7 = 5 then concat('action="admin_defaults_reset_to_factory" user_id="user', user_id, '"')
         when event_id % 7 = 6 then concat('action="admin_defaults_save_failed" user_id="user', user_id, '" error="disk full"')
         else concat('action="admin_defaults_saved" user_id="user', user_id, '" thresholds={"max_week_hrs": ', 50 + event_id % 20,
           ', "min_week_hrs": 48, "max_rolling_7d_hrs": 60, "nw_credit_hrs": 0} active_rule_keys=',
           case event_id % 5 when 0 then 'None' when 1 then '["max_day", "min_rd"]' when 2 then '["max_day", "max_week", "min_rd"]'
             when 3 then '["shift_gap"]' else '[]' end) end) as value
-      from events where event_type = 'signup')"""
+      from events)"""
 
 
 def feed() -> str:
@@ -244,8 +246,9 @@ def feed() -> str:
     c0 as (select *, regexp_extract(message, 'action="([^"]*)"', 1) action, regexp_extract(message, 'user_id="([^"]*)"', 1) user_id,
         regexp_extract(message, 'error="([^"]*)"', 1) error, regexp_extract(message, 'thresholds=(.+?)(?:\\s+active_rule_keys=|$)', 1) th,
         regexp_extract(message, 'active_rule_keys=(.+?)\\s*$', 1) ak from rec),
+    ch as (select * from c0 where starts_with(action, 'admin_defaults_')),
     c1 as (select *, action = 'admin_defaults_saved' sv, action = 'admin_defaults_reset_to_factory' rs,
-        case when action = 'admin_defaults_saved' and ak <> 'None' then cast(cast(ak as json) as varchar[]) end ks from c0),
+        case when action = 'admin_defaults_saved' and ak <> 'None' then cast(cast(ak as json) as varchar[]) end ks from ch),
     c2 as (select *, count(*) filter (sv or rs) over (partition by file order by line_no rows between unbounded preceding and 1 preceding) nprev,
         max(case when sv or rs then line_no end) over (partition by file order by line_no rows between unbounded preceding and 1 preceding) pl from c1),
     c3 as (select a.*, b.ks pk from c2 a left join c1 b on a.file = b.file and a.pl = b.line_no),

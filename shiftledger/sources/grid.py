@@ -1,14 +1,15 @@
 """Roster grids: uploaded CSV files -> one row per file -> employees, without a shuffle.
 
-A file is at most 5 MB and 500,000 cells (larger ones are rejected, as the guards demand), so a whole
-grid fits in one row: ``grid`` is an array of (sheet_no, row_idx, cells). Header and column detection are
-array expressions over it, and only the final employees are exploded.
+``grid`` is an array of (sheet_no, row_idx, cells), one row for each file: a grid is one upload of one schedule, and its
+header is looked for over the whole of it. Header and column detection are array expressions, and only the final
+employees are exploded. Files of any size are read; the limits of an upload form are thresholds that a caller may set.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,26 +38,28 @@ NO_NAME = "No 'Name' column detected. Check your header row."
 GRID = "array<struct<sheet_no:int,row_idx:int,cells:array<string>>>"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """(file, length, content) of every file under ``path``.
 
-    The size filter reaches the reader, so a file above the limit is listed but never loaded.
+    With ``max_bytes`` the size filter reaches the reader, so a file above the limit is listed but never loaded.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    fits = F.col("length") <= dims.MAX_FILE_BYTES
+    if max_bytes is None:
+        return files.select(F.col("path").alias("file"), "length", "content")
+    fits = F.col("length") <= max_bytes
     listed = files.filter(~fits).select("path", "length", F.lit(None).cast("binary").alias("content"))
     return files.filter(fits).select("path", "length", "content").unionByName(listed).withColumnRenamed("path", "file")
 
 
-def guard_files(files: DataFrame) -> DataFrame:
+def guard_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Add ``reason``: null when the file may be read, else why it is rejected.
 
-    Size comes first, so the content of an oversized file is not looked at.
+    Size comes first, if it is limited at all, so the content of an oversized file is not looked at.
     """
     ext = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
     magic = F.hex(F.substring("content", 1, 4))
     reason = (
-        F.when(F.col("length") > dims.MAX_FILE_BYTES, TOO_LARGE)
+        F.when(F.col("length") > F.lit(max_bytes).cast("bigint"), TOO_LARGE)
         .when((ext == "xlsx") & (magic != "504B0304"), BAD_XLSX)
         .when((ext == "xls") & (magic != "D0CF11E0"), BAD_XLS)
         .when(~ext.isin("csv", "xlsx", "xls"),
@@ -67,6 +70,7 @@ def guard_files(files: DataFrame) -> DataFrame:
 
 def _tokens(content: bytes) -> list[list[str]] | None:
     """CSV rows with blank lines skipped and empty words cleared; None when unreadable or ragged."""
+    csv.field_size_limit(sys.maxsize)
     try:
         rows = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""))
                 if r and not (len(r) == 1 and not r[0].strip())]
@@ -78,26 +82,29 @@ def _tokens(content: bytes) -> list[list[str]] | None:
     return [["" if c in empty else c for c in r] + [""] * (width - len(r)) for r in rows]
 
 
-def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for file, content, reason in zip(pdf["file"], pdf["content"], pdf["reason"]):
-            rows = None if reason else _tokens(bytes(content))
-            bad = reason or (UNREADABLE if rows is None else None)
-            if rows and len(rows) * len(rows[0]) > dims.MAX_FILE_CELLS:
-                n = f"{len(rows) * len(rows[0]):,}"
-                bad = f"File rejected: workbook contains {n} cells, which exceeds the {dims.MAX_FILE_CELLS:,}-cell safety limit."
-            grid = None if bad else [{"sheet_no": 0, "row_idx": i, "cells": r} for i, r in enumerate(rows)]
-            yield pd.DataFrame({"file": [file], "reason": [bad], "grid": [grid]})
+def _too_many(n: str | Column, most: int) -> list:
+    return ["File rejected: workbook contains ", n, f" cells, which exceeds the {most:,}-cell safety limit."]
 
 
-def scan_roster_grid(files: DataFrame) -> DataFrame:
+def scan_roster_grid(files: DataFrame, max_bytes: int | None = None, max_cells: int | None = None) -> DataFrame:
     """(file, reason, grid) from (file, length, content). Workbooks (.xls*) are not decoded: convert them
     to CSV, or pass their cells to ``grids_from_cells``."""
-    guarded = guard_files(files)
+    guarded = guard_files(files, max_bytes)
     workbook = F.lower("file").rlike(r"\.xlsx?$")
     guarded = guarded.withColumn("reason", F.coalesce("reason", F.when(workbook, UNREADABLE)))
     slim = guarded.select("file", "reason", F.when(F.col("reason").isNull(), F.col("content")).alias("content"))
-    return slim.mapInPandas(_tokenise, f"file string, reason string, grid {GRID}")
+
+    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, content, reason in zip(pdf["file"], pdf["content"], pdf["reason"]):
+                rows = None if reason else _tokens(bytes(content))
+                bad = reason or (UNREADABLE if rows is None else None)
+                if rows and max_cells is not None and len(rows) * len(rows[0]) > max_cells:
+                    bad = "".join(_too_many(f"{len(rows) * len(rows[0]):,}", max_cells))
+                grid = None if bad else [{"sheet_no": 0, "row_idx": i, "cells": r} for i, r in enumerate(rows)]
+                yield pd.DataFrame({"file": [file], "reason": [bad], "grid": [grid]})
+
+    return slim.mapInPandas(tokenise, f"file string, reason string, grid {GRID}")
 
 
 def cells_view(grids: DataFrame) -> DataFrame:
@@ -105,20 +112,20 @@ def cells_view(grids: DataFrame) -> DataFrame:
     return grids.select("file", F.inline("grid"))
 
 
-def grids_from_cells(cells: DataFrame) -> DataFrame:
+def grids_from_cells(cells: DataFrame, max_cells: int | None = None) -> DataFrame:
     """The same shape from a table of grid lines (file, sheet_no, row_idx, cells).
 
-    Cells are counted per file before any grid is put together, so the files that are put together are bounded.
+    With ``max_cells`` cells are counted per file before any grid is put together, and files above it are rejected.
     """
+    whole = lambda rows: rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("sheet_no", "row_idx", "cells"))).alias("grid")).select(
+        "file", F.lit(None).cast("string").alias("reason"), F.col("grid").cast(GRID))
+    if max_cells is None:
+        return whole(cells)
     per_sheet = cells.groupBy("file", "sheet_no").agg((F.count(F.lit(1)) * F.max(F.size("cells"))).alias("n"))
-    too_big = per_sheet.groupBy("file").agg(F.sum("n").alias("n")).filter(F.col("n") > dims.MAX_FILE_CELLS)
-    grids = cells.join(too_big, "file", "left_anti").groupBy("file").agg(
-        F.array_sort(F.collect_list(F.struct("sheet_no", "row_idx", "cells"))).alias("grid"))
-    n = F.format_number("n", 0)
-    message = F.concat(F.lit("File rejected: workbook contains "), n,
-                       F.lit(f" cells, which exceeds the {dims.MAX_FILE_CELLS:,}-cell safety limit."))
-    rejected = too_big.select("file", message.alias("reason"), F.lit(None).cast(GRID).alias("grid"))
-    return grids.select("file", F.lit(None).cast("string").alias("reason"), F.col("grid").cast(GRID)).unionByName(rejected)
+    too_big = per_sheet.groupBy("file").agg(F.sum("n").alias("n")).filter(F.col("n") > max_cells)
+    before, n, after = _too_many(F.format_number("n", 0), max_cells)
+    rejected = too_big.select("file", F.concat(F.lit(before), n, F.lit(after)).alias("reason"), F.lit(None).cast(GRID).alias("grid"))
+    return whole(cells.join(too_big, "file", "left_anti")).unionByName(rejected)
 
 
 def _low(c: Column) -> Column:
@@ -195,7 +202,8 @@ def parse_roster_rows(grids: DataFrame) -> DataFrame:
     return out.filter(~skipped)
 
 
-def parse_files(files: DataFrame, header_only: bool = False) -> tuple[DataFrame, DataFrame]:
+def parse_files(files: DataFrame, header_only: bool = False, max_bytes: int | None = None,
+                max_cells: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(roster, rejects) of uploaded files. The plan is narrow; write it once and read both sides from it."""
-    grids = detect_meta_columns(detect_header(scan_roster_grid(files)), header_only)
+    grids = detect_meta_columns(detect_header(scan_roster_grid(files, max_bytes, max_cells)), header_only)
     return parse_roster_rows(grids), rejects(grids)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,13 +21,30 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _admit(times: list[int], now: int, limit: int, window: int) -> tuple[bool, int]:
-    """One attempt against the admitted times (changed in place): (allowed, retry_after seconds)."""
-    times[:] = [t for t in times if now - t < window]
-    if len(times) >= limit:
-        return False, max((window - (now - times[0])) // MICROS, 1)
-    times.append(now)
-    return True, 0
+def decide(times: np.ndarray, limit: int, window: int, held: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Sorted attempts after the admissions ``held``: which are allowed, seconds to wait, and the admissions to hold.
+
+    With ``limit`` admissions behind it, the next one is the first attempt not before the ``limit``-last admission plus
+    the window. So the search jumps from admission to admission, and all attempts between are refused because of that
+    same admission.
+    """
+    admitted, places, at = list(held), [], 0
+    while at < len(times):
+        if len(admitted) >= limit:
+            at = max(at, int(np.searchsorted(times, admitted[-limit] + window)))
+            if at == len(times):
+                break
+        places.append(at)
+        admitted.append(int(times[at]))
+        at += 1
+    allowed = np.zeros(len(times), bool)
+    allowed[places] = True
+    wait = np.zeros(len(times), np.int64)
+    refused = np.flatnonzero(~allowed)
+    if len(refused):
+        blocking = np.array(admitted)[len(held) + np.searchsorted(places, refused) - limit]
+        wait[refused] = np.maximum((blocking + window - times[refused]) // MICROS, 1)
+    return allowed, wait, admitted[-limit:]
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = UPLOAD_LIMIT,
@@ -36,7 +54,8 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = UP
     Whether an attempt passes depends on the ones admitted before it, so a chain of attempts is walked in
     order. A pause of a whole window empties the limiter, hence attempts between two such pauses form
     independent islands, and (key, island) is the unit that is spread over tasks. A task streams its
-    sorted partition with at most ``limit`` times in memory; no group is collected.
+    sorted partition with the last ``limit`` admissions in memory; no group is collected, and work between two
+    admissions is one search.
     """
     win = window * MICROS
     df = events.withColumn("_us", micros(ts))
@@ -48,47 +67,48 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = UP
     kept = [c for c in df.columns if c not in ("_us", "_island")]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, times = None, []
+        current, held = None, []
         for pdf in batches:
-            allowed, retry = [], []
-            for k, island, us in zip(pdf[key], pdf["_island"], pdf["_us"]):
-                if (k, island) != current:
-                    current, times = (k, island), []
-                ok, wait = _admit(times, int(us), limit, win)
-                allowed.append(ok)
-                retry.append(wait)
-            yield pdf[kept].assign(allowed=allowed, retry_after=retry)
+            us, island = pdf["_us"].to_numpy(np.int64), pdf["_island"].to_numpy()
+            keys = pd.factorize(pdf[key])[0]
+            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (island[1:] != island[:-1])))[:len(pdf)]
+            allowed, wait = np.zeros(len(pdf), bool), np.zeros(len(pdf), np.int64)
+            for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+                own = (None if keys[a] < 0 else pdf[key].iloc[a], island[a])
+                if own != current:
+                    current, held = own, []
+                allowed[a:b], wait[a:b], held = decide(us[a:b], limit, win, held)
+            yield pdf[kept].assign(allowed=allowed, retry_after=wait)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept)
     spread = df.repartition(key, "_island").sortWithinPartitions(key, "_island", "_us", order)
     return spread.mapInPandas(walk, f"{fields}, allowed boolean, retry_after bigint")
 
 
-def rate_limit_stream(events: DataFrame, key: str, ts: str, limit: int = UPLOAD_LIMIT,
+def rate_limit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int = UPLOAD_LIMIT,
                       window: int = WINDOW_SECONDS) -> DataFrame:
-    """The same decision on a stream; state per key is the admitted times still inside the window.
+    """The same decision on a stream, with every column of the attempts; state per key is its last ``limit`` admissions.
 
-    ``events`` needs a watermark on ``ts``: a key whose last admission left the window is dropped from state.
+    ``events`` needs a watermark on ``ts``: a key whose last attempt left the window is dropped from state. A
+    micro-batch of one key is sorted in memory, so the source's rate option bounds a task.
     """
     win = window * MICROS
-    key_type = dict(events.dtypes)[key]
+    kept = events.columns
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
-        us = sorted(int(u) for pdf in batches for u in pdf["_us"])
-        decided = [(u, *_admit(times, u, limit, win)) for u in us]
-        state.update((times,))
-        expiry = (max(us) + win) // 1000 + 1
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]] * len(us), "at_us": [d[0] for d in decided],
-                            "allowed": [d[1] for d in decided], "retry_after": [d[2] for d in decided]})
-
+        pdf = pd.concat(list(batches)).sort_values(["_us", order], kind="stable")
+        us = pdf["_us"].to_numpy(np.int64)
+        allowed, wait, held = decide(us, limit, win, list(state.get[0]) if state.exists else [])
+        state.update((held,))
+        state.setTimeoutTimestamp(max((int(us[-1]) + win) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pdf[kept].assign(allowed=allowed, retry_after=wait)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
     return events.withColumn("_us", micros(ts)).groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {key_type}, at_us bigint, allowed boolean, retry_after bigint",
-        "admitted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+        step, f"{fields}, allowed boolean, retry_after bigint", "admitted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def attempt_rate(events: DataFrame, key: str, ts: str, window: int = WINDOW_SECONDS) -> DataFrame:

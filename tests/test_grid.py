@@ -17,8 +17,8 @@ def write(folder, name, text, raw=None):
     (folder / name).write_bytes(raw if raw is not None else text.encode())
 
 
-def parse(spark, folder, **kw):
-    roster, bad = G.parse_files(G.read_files(spark, str(folder)), **kw)
+def parse(spark, folder, limits=(None, None), **kw):
+    roster, bad = G.parse_files(G.read_files(spark, str(folder), limits[0]), max_bytes=limits[0], max_cells=limits[1], **kw)
     return ({(r.roster_id.rsplit("/", 1)[-1], r.row_idx): r for r in roster.collect()},
             {r.file.rsplit("/", 1)[-1]: r.reason for r in bad.collect()})
 
@@ -37,7 +37,7 @@ def test_files(spark, tmp_path):
     write(tmp_path, "note.txt", "hello")
     write(tmp_path, "big.csv", "x" * (dims.MAX_FILE_BYTES + 1))
     write(tmp_path, "cells.csv", ("," * 999 + "x\n") * 501)
-    rows, bad = parse(spark, tmp_path)
+    rows, bad = parse(spark, tmp_path, (dims.MAX_FILE_BYTES, dims.MAX_FILE_CELLS))
     names = [r.name for (f, _), r in sorted(rows.items()) if f == "good.csv"]
     assert names == ["Cruz, Ana", "Marcelo", "Januario", "May Santos", "June Cruz"]
     marcelo = next(r for r in rows.values() if r.name == "Marcelo")
@@ -89,3 +89,12 @@ def test_schedule_round_trip(spark, tmp_path):
     again, bad = parse(spark, back, header_only=True)
     assert bad == {} and sorted((r.name, r.codes) for r in again.values()) == sorted(
         (r.name, r.codes) for r in roster.collect())
+
+
+def test_large_files_and_cells_are_read_unless_a_limit_is_set(spark, tmp_path):
+    write(tmp_path, "long.csv", HEAD + "\n" + line("Ana", station="x" * 140_000) + "\n")
+    write(tmp_path, "large.csv", HEAD + "\n" + "".join(line(f"Emp{k}", station="s" * 250) + "\n" for k in range(24_000)))
+    assert (tmp_path / "large.csv").stat().st_size > dims.MAX_FILE_BYTES
+    rows, bad = parse(spark, tmp_path)
+    assert bad == {} and len(rows) == 24_001
+    assert next(r for r in rows.values() if r.name == "Ana").station == "x" * 140_000

@@ -183,3 +183,29 @@ def test_exports(spark, tmp_path):
     sinks.export_changes(L.change_feed(rec), str(tmp_path / "changes"))
     back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "changes"))
     assert back.columns == ["timestamp", "user_id", "action", "summary", "detail"] and back.first().summary == "Reset to factory defaults"
+
+
+def test_lines_that_no_fixture_holds(spark):
+    rows = ['\t{"level": "ERROR", "message": "m"} ', '{"event": "x"}', '{"level": null, "message": "n"}', '{"level": "INFO"', "2024-01-02  03:04:05 | INFO | a | trace_id=t | z"]
+    lines = spark.createDataFrame([("app.log", k, v) for k, v in enumerate(rows)], "file string, line_no bigint, value string")
+    got = {r.line_no: r for r in L.parse_log(lines).withColumn("at", X.parse_ts(F.col("ts")).cast("string")).collect()}
+    assert (got[0].level, got[0].message) == ("ERROR", "m")
+    assert (got[1].level, got[1].message, got[1].ts) == ("", "", "")
+    assert (got[2].level, got[2].message) == ("None", "n")
+    assert (got[3].level, got[3].message) == ("", rows[3])
+    assert (got[4].level, got[4].at) == ("INFO", "2024-01-02 03:04:05")
+
+
+def test_scan_keeps_equal_names_apart_and_opens_only_wanted_files(spark, tmp_path):
+    from shiftledger.sources.logs import scan_logs
+
+    for host in ("h1", "h2"):
+        (tmp_path / f"host={host}").mkdir()
+        for name in ("app.log.2024-01-01", "app.log.2024-01-02", "notes.txt"):
+            (tmp_path / f"host={host}" / name).write_text("".join(f"{host} {name} {k}\n" for k in range(3)))
+    got = scan_logs(spark, str(tmp_path), "app", "2024-01-01")
+    rows = sorted((r.value.split()[0], r.line_no, r.value.split()[2], r.file) for r in got.collect())
+    first = min(r[1] for r in rows)
+    assert rows == [(h, first + k, str(k), "app.log.2024-01-01") for h in ("h1", "h2") for k in range(3)]
+    assert got.select("path").distinct().count() == 2
+    assert scan_logs(spark, str(tmp_path)).count() == 12

@@ -148,12 +148,18 @@ def test_empty_input(spark):
     assert V.validate(frame(spark, [["A"]]).limit(0)).collect() == []
 
 
-def test_policy_larger_than_the_broadcast_bound(spark):
+def test_policy_by_broadcast_and_by_shuffle(spark):
     df = frame(spark, [p.split() for p in fixtures.PATTERNS]).withColumn("policy_id", F.col("row_idx") % 2)
     policy = spark.createDataFrame(
         [(0, 60, 48, 60, 0, None), (1, 84, 0, 84, 0, ["max_week"])],
         "policy_id int, max_week_hrs int, min_week_hrs int, max_rolling_7d_hrs int, nw_credit_hrs int, active_rule_keys array<string>")
-    small, large = (V.validate(V.policy_join(df, policy, max_rows=n)).orderBy("row_idx").collect() for n in (100, 1))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = []
+    for size in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        found.append(V.validate(V.policy_join(df, policy)).orderBy("row_idx").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    small, large = found
     assert small == large
     assert small[9]._pass and small[9].msg_min_rd is None and not small[8]._pass
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shiftledger.shared import shared_dir
@@ -39,10 +40,22 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     got = {r.event_id: (r.allowed, r.retry_after) for r in TL.rate_limit(df, "user_id", "ts", "event_id", 3, 60).collect()}
     assert got == want
     df.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour").select("user_id", "ts")
-    streamed = TV.run_to_table(TL.rate_limit_stream(stream, "user_id", "ts", 3, 60), "t").collect()
-    assert sorted((r.user_id, r.at_us, r.allowed, r.retry_after) for r in streamed) == sorted(
-        (u, us, *want[i]) for i, u, us in rows)
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour").select("event_id", "user_id", "ts")
+    streamed = TV.run_to_table(TL.rate_limit_stream(stream, "user_id", "ts", "event_id", 3, 60), "t").collect()
+    assert {r.event_id: (r.allowed, r.retry_after) for r in streamed} == want
+
+
+def test_decide_jumps_over_a_million_attempts():
+    times = np.arange(1_000_000, dtype=np.int64) * 1000  # one key, an attempt each millisecond
+    allowed, wait, held = TL.decide(times, 5, 60_000_000, [])
+    want = [60_000_000 * k + 1000 * j for k in range(17) for j in range(5)]
+    assert times[allowed].tolist() == [t for t in want if t < 1_000_000_000] and len(held) == 5
+    assert (wait[~allowed] >= 1).all() and wait.max() == 59
+    parts, held = [], []
+    for k in range(0, 1_000_000, 33_333):
+        a, _, held = TL.decide(times[k:k + 33_333], 5, 60_000_000, held)
+        parts.append(a)
+    assert (np.concatenate(parts) == allowed).all()
 
 
 def test_attempt_rate(spark):
