@@ -7,9 +7,11 @@ that can be similar, are candidates; a candidate pair is a link if the longest c
 sequences, within the band that the threshold leaves, makes at least `SIMILARITY` of their union.
 
 Documents with equal word sequences are one class from the start; sketches and links are between class
-representatives. No bucket is expanded into pairs: in each round a bucket offers each of its components one leader, a
-component takes the leader that most of its buckets offer, and the leaders change from round to round; a round that
-links nothing ends the search. A class is a connected component of links.
+representatives. No bucket is expanded into pairs: in each round a bucket offers a few leaders to its components.
+First a document takes the leader that most of its buckets offer. In later rounds, with more and other leaders, pairs of
+components are tested whose sketches leave it likely; where several components still share a bucket, it is refined by
+a second one. A round that links nothing ends the search. A class is a
+connected component of links.
 
 Rows: null and empty texts have no words and are classes of their own; a text of fewer than `K` words is one item;
 rows equal in id and text are one document; a null id comes last in the choice of the class id; other columns are not
@@ -31,6 +33,9 @@ from shiftledger.llm.common import row_key, saved
 from shiftledger.llm.components import components
 
 K, L, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
+LEADERS = 4  # that a bucket offers in each round but the first
+PLAIN_ROUNDS = 2  # before buckets are refined
+AGREE = 3  # sketches that two similar documents share at least, in all but about one of a thousand cases
 SKETCHED = "key bigint, doc_id bigint, n_words bigint, n_items bigint, same bigint, same2 bigint, sketches array<bigint>"
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIXERS = T.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -180,38 +185,74 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     entries = seen.join(firsts, "key").filter("n_items > 0").select(
         "key", "n_items", F.explode(_lengths(F.col("n_items"))).alias("length"), "sketches").select(
         "key", "n_items", F.posexplode("sketches"), "length").select(
-        F.xxhash64("pos", "col", "length").alias("bucket"), "key", "n_items")
-    several = entries.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("bucket")
-    buckets = saved(entries.join(several, "bucket", "left_semi"), "buckets")
+        F.xxhash64("pos", "col", "length").alias("bucket"), "key", "n_items", "length")
+    buckets = saved(_shared(entries), "buckets")
     texts = saved(rows.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "text"), "texts")
 
-    spark = docs.sparkSession
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    tested = spark.createDataFrame([], "a bigint, b bigint, linked boolean")
+    sketches = seen.join(firsts, "key").select("key", "n_items", "sketches")
+    nodes = buckets.select("key").distinct()
+    roots = saved(nodes.select(F.col("key").alias("node"), F.col("key").alias("root")), "roots")
+    tested: DataFrame | None = None
     turn = 0
     while True:
-        fresh = saved(_candidates(buckets, roots, tested, turn), "pairs")
+        fresh = saved(_candidates(buckets, roots, tested, sketches, turn), "pairs")
         one = fresh.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         two = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         new = saved(two.mapInArrow(_aligned_rows, "a bigint, b bigint, linked boolean"), "tested")
-        tested = tested.unionByName(new)
-        if new.filter("linked").isEmpty():
-            break
-        roots = saved(components(tested.filter("linked").select("a", "b")), "roots")
+        tested = tested.unionByName(new) if tested else new
+        joined = new.filter("linked").join(fresh, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        if joined.isEmpty():
+            return _classified(copies, groups, own, roots, tested)
+        moved = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = saved(roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        if turn == PLAIN_ROUNDS - 1:
+            buckets = saved(_shared(_refined(buckets, roots)), "buckets")
         turn += 1
-    return _classified(copies, groups, own, roots, tested)
 
 
-def _candidates(buckets: DataFrame, roots: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """Untested pairs (a, b), one at most for each component and representative, of different components."""
-    labelled = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries of buckets that hold several documents."""
+    several = entries.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("bucket")
+    return entries.join(several, "bucket", "left_semi")
+
+
+def _refined(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries for each two buckets that a document is in, of those that still hold several components.
+
+    Documents that have little more in common than a frequent passage part here, and similar ones stay together.
+    """
+    labelled = buckets.join(roots.withColumnRenamed("node", "key"), "key")
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("bucket")
+    own = buckets.join(mixed, "bucket", "left_semi").groupBy("key", "n_items", "length").agg(F.sort_array(F.collect_list("bucket")).alias("b"))
+    pairs = F.flatten(F.transform("b", lambda x: F.transform(F.filter("b", lambda y: y > x), lambda y: F.xxhash64(x, y))))
+    return own.select(F.explode(pairs).alias("bucket"), "key", "n_items", "length")
+
+
+def _candidates(buckets: DataFrame, roots: DataFrame, tested: DataFrame | None, sketches: DataFrame, turn: int) -> DataFrame:
+    """Untested pairs (a, b) of different components (root_a, root_b).
+
+    In the first round each document takes the leader that most of its buckets offer; then each pair of components is
+    tested by the two members that most buckets offer, if they share `AGREE` sketches.
+    """
+    labelled = buckets.join(roots.withColumnRenamed("node", "key"), "key")
     one = labelled.groupBy("bucket", "root").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n_items")).alias("r"))
-    leader = one.groupBy("bucket").agg(F.min(F.struct("r", "root")).alias("lead"))
-    n, m = F.col("r.n_items"), F.col("lead.r.n_items")
+    offered = [F.min(F.struct(F.xxhash64("r.key", F.lit(turn), F.lit(i)).alias("o"), "r.key", "r.n_items", "root")) for i in range(LEADERS if turn else 1)]
+    leader = one.groupBy("bucket").agg(F.array_distinct(F.array(*offered)).alias("leads")).select("bucket", F.explode("leads").alias("lead"))
+    n, m = F.col("r.n_items"), F.col("lead.n_items")
     pairs = one.join(leader, "bucket").filter((F.col("root") != F.col("lead.root")) & (F.least(n, m) >= SIMILARITY * F.greatest(n, m)))
-    pairs = pairs.select("root", F.least("r.key", "lead.r.key").alias("a"), F.greatest("r.key", "lead.r.key").alias("b"))
-    votes = pairs.groupBy("root", "a", "b").agg(F.count(F.lit(1)).alias("n")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return votes.groupBy("root").agg(F.max(F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    x, y = F.struct(F.col("r.key").alias("key"), "root"), F.struct(F.col("lead.key").alias("key"), F.col("lead.root").alias("root"))
+    pairs = pairs.select(F.col("r.key").alias("own"), F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    flat = [F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")]
+    if tested is None:
+        votes = pairs.groupBy("own", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+        return votes.groupBy("own").agg(F.max(F.struct("n", "x", "y")).alias("p")).select("p.x", "p.y").select(*flat).distinct()
+    offers = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).select("n", *flat).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    low, high = F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")
+    left = offers.groupBy(low, high).agg(F.max(F.struct("n", "a", "b", "root_a", "root_b")).alias("p")).select("p.a", "p.b", "p.root_a", "p.root_b")
+    for side in ("a", "b"):
+        left = left.join(sketches.select(F.col("key").alias(side), F.col("sketches").alias(f"sketches_{side}")), side)
+    agree = F.size(F.filter(F.zip_with("sketches_a", "sketches_b", lambda p, q: p == q), lambda same: same))
+    return left.filter(agree >= AGREE).select("a", "b", "root_a", "root_b")
 
 
 def _classified(copies: DataFrame, groups: DataFrame, own: list[str], roots: DataFrame, tested: DataFrame) -> DataFrame:
