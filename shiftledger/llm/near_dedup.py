@@ -9,7 +9,7 @@ sequences, within the band that the threshold leaves, makes at least `SIMILARITY
 Documents with equal word sequences are one class from the start; sketches and links are between class
 representatives. No bucket is expanded into pairs: in each round a bucket offers a few leaders to its components.
 First a document takes the leader that most of its buckets offer. In later rounds, with more and other leaders, pairs of
-components are tested whose sketches leave it likely; where several components still share a bucket, it is refined by
+components are tested; where several components still share a bucket, it is refined by
 a second one. A round that links nothing ends the search. A class is a
 connected component of links.
 
@@ -35,7 +35,6 @@ from shiftledger.llm.components import components
 K, L, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
 LEADERS = 4  # that a bucket offers in each round but the first
 PLAIN_ROUNDS = 2  # before buckets are refined
-AGREE = 3  # sketches that two similar documents share at least, in all but about one of a thousand cases
 SKETCHED = "key bigint, doc_id bigint, n_words bigint, n_items bigint, same bigint, same2 bigint, sketches array<bigint>"
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIXERS = T.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -189,13 +188,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = saved(_shared(entries), "buckets")
     texts = saved(rows.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "text"), "texts")
 
-    sketches = seen.join(firsts, "key").select("key", "n_items", "sketches")
     nodes = buckets.select("key").distinct()
     roots = saved(nodes.select(F.col("key").alias("node"), F.col("key").alias("root")), "roots")
     tested: DataFrame | None = None
     turn = 0
     while True:
-        fresh = saved(_candidates(buckets, roots, tested, sketches, turn), "pairs")
+        fresh = saved(_candidates(buckets, roots, tested, turn), "pairs")
         one = fresh.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         two = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         new = saved(two.mapInArrow(_aligned_rows, "a bigint, b bigint, linked boolean"), "tested")
@@ -228,11 +226,11 @@ def _refined(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return own.select(F.explode(pairs).alias("bucket"), "key", "n_items", "length")
 
 
-def _candidates(buckets: DataFrame, roots: DataFrame, tested: DataFrame | None, sketches: DataFrame, turn: int) -> DataFrame:
+def _candidates(buckets: DataFrame, roots: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
     """Untested pairs (a, b) of different components (root_a, root_b).
 
     In the first round each document takes the leader that most of its buckets offer; then each pair of components is
-    tested by the two members that most buckets offer, if they share `AGREE` sketches.
+    tested by the two members that most buckets offer.
     """
     labelled = buckets.join(roots.withColumnRenamed("node", "key"), "key")
     one = labelled.groupBy("bucket", "root").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n_items")).alias("r"))
@@ -248,11 +246,7 @@ def _candidates(buckets: DataFrame, roots: DataFrame, tested: DataFrame | None,
         return votes.groupBy("own").agg(F.max(F.struct("n", "x", "y")).alias("p")).select("p.x", "p.y").select(*flat).distinct()
     offers = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).select("n", *flat).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     low, high = F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")
-    left = offers.groupBy(low, high).agg(F.max(F.struct("n", "a", "b", "root_a", "root_b")).alias("p")).select("p.a", "p.b", "p.root_a", "p.root_b")
-    for side in ("a", "b"):
-        left = left.join(sketches.select(F.col("key").alias(side), F.col("sketches").alias(f"sketches_{side}")), side)
-    agree = F.size(F.filter(F.zip_with("sketches_a", "sketches_b", lambda p, q: p == q), lambda same: same))
-    return left.filter(agree >= AGREE).select("a", "b", "root_a", "root_b")
+    return offers.groupBy(low, high).agg(F.max(F.struct("n", "a", "b", "root_a", "root_b")).alias("p")).select("p.a", "p.b", "p.root_a", "p.root_b")
 
 
 def _classified(copies: DataFrame, groups: DataFrame, own: list[str], roots: DataFrame, tested: DataFrame) -> DataFrame:

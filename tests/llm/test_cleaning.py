@@ -196,3 +196,11 @@ def test_near_dedup_without_words(docs_of):
     got = near_dedup.classes(docs_of([(1, None), (2, ""), (3, " ")])).collect()
     assert {(r["doc_id"], r["class_id"], r["is_first"]) for r in got} == {(1, 1, True), (2, 2, True), (3, 3, True)}
     assert near_dedup.classes(docs_of([])).count() == 0
+
+
+def test_a_pair_with_one_common_bucket_is_a_candidate(spark):
+    buckets = spark.createDataFrame([(7, 1, 100, 20), (7, 2, 95, 20)], "bucket bigint, key bigint, n_items bigint, length bigint")
+    roots = spark.createDataFrame([(1, 1), (2, 2)], "node bigint, root bigint")
+    tested = spark.createDataFrame([(1, 3, False)], "a bigint, b bigint, linked boolean")
+    got = near_dedup._candidates(buckets, roots, tested, 1).collect()
+    assert [(x["a"], x["b"], x["root_a"], x["root_b"]) for x in got] == [(1, 2, 1, 2)]
