@@ -7,11 +7,11 @@ that can be similar, are candidates; a candidate pair is a link if the longest c
 sequences, within the band that the threshold leaves, makes at least `SIMILARITY` of their union.
 
 Documents with equal word sequences are one class from the start; sketches and links are between class
-representatives. No bucket is expanded into pairs: in each round a bucket offers a few leaders to its components.
-First a document takes the leader that most of its buckets offer. In later rounds, with more and other leaders, pairs of
-components are tested; where several components still share a bucket, it is refined by
-a second one. A round that links nothing ends the search. A class is a
-connected component of links.
+representatives. Large groups are joined first: in each round a bucket offers a leader, and a member of each of its
+components takes the leader that most of its buckets offer. When a round links little, all that is left is tested
+at once: every pair of different components that shares a bucket. Buckets of many documents are not expanded for that;
+their pairs are found by the rare items that two similar documents must share (`_by_rare_items`). A class is a connected
+component of links.
 
 Rows: null and empty texts have no words and are classes of their own; a text of fewer than `K` words is one item;
 rows equal in id and text are one document; a null id comes last in the choice of the class id; other columns are not
@@ -33,8 +33,8 @@ from shiftledger.llm.common import row_key, saved
 from shiftledger.llm.components import components
 
 K, L, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
-LEADERS = 4  # that a bucket offers in each round but the first
-PLAIN_ROUNDS = 2  # before buckets are refined
+FEW = 20  # a round that links under one of so many documents is the last before the rest is tested
+CROWD = 32  # members of a bucket up to which its pairs are formed directly
 SKETCHED = "key bigint, doc_id bigint, n_words bigint, n_items bigint, same bigint, same2 bigint, sketches array<bigint>"
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIXERS = T.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -190,21 +190,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     nodes = buckets.select("key").distinct()
     roots = saved(nodes.select(F.col("key").alias("node"), F.col("key").alias("root")), "roots")
+    total = roots.count()
     tested: DataFrame | None = None
-    turn = 0
+    turn, last = 0, False
     while True:
-        fresh = saved(_candidates(buckets, roots, tested, turn), "pairs")
+        pairs = _rest(buckets, roots, tested, texts) if last else _candidates(buckets, roots, tested, turn)
+        fresh = saved(pairs, "pairs")
         one = fresh.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         two = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         new = saved(two.mapInArrow(_aligned_rows, "a bigint, b bigint, linked boolean"), "tested")
         tested = tested.unionByName(new) if tested else new
         joined = new.filter("linked").join(fresh, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        if joined.isEmpty():
+        n = joined.count()
+        if n:
+            moved = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+            roots = saved(roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        if last:
             return _classified(copies, groups, own, roots, tested)
-        moved = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = saved(roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
-        if turn == PLAIN_ROUNDS - 1:
-            buckets = saved(_shared(_refined(buckets, roots)), "buckets")
+        last = n * FEW < total or n == 0
         turn += 1
 
 
@@ -214,39 +217,76 @@ def _shared(entries: DataFrame) -> DataFrame:
     return entries.join(several, "bucket", "left_semi")
 
 
-def _refined(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries for each two buckets that a document is in, of those that still hold several components.
-
-    Documents that have little more in common than a frequent passage part here, and similar ones stay together.
-    """
-    labelled = buckets.join(roots.withColumnRenamed("node", "key"), "key")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("bucket")
-    own = buckets.join(mixed, "bucket", "left_semi").groupBy("key", "n_items", "length").agg(F.sort_array(F.collect_list("bucket")).alias("b"))
-    pairs = F.flatten(F.transform("b", lambda x: F.transform(F.filter("b", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    return own.select(F.explode(pairs).alias("bucket"), "key", "n_items", "length")
-
-
 def _candidates(buckets: DataFrame, roots: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
-    """Untested pairs (a, b) of different components (root_a, root_b).
-
-    In the first round each document takes the leader that most of its buckets offer; then each pair of components is
-    tested by the two members that most buckets offer.
-    """
+    """Pairs (a, b) of different components (root_a, root_b): members of components with the leaders of their buckets."""
     labelled = buckets.join(roots.withColumnRenamed("node", "key"), "key")
     one = labelled.groupBy("bucket", "root").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n_items")).alias("r"))
-    offered = [F.min(F.struct(F.xxhash64("r.key", F.lit(turn), F.lit(i)).alias("o"), "r.key", "r.n_items", "root")) for i in range(LEADERS if turn else 1)]
-    leader = one.groupBy("bucket").agg(F.array_distinct(F.array(*offered)).alias("leads")).select("bucket", F.explode("leads").alias("lead"))
+    offered = F.min(F.struct(F.xxhash64("r.key", F.lit(turn), F.lit(0)).alias("o"), "r.key", "r.n_items", "root"))
+    leader = one.groupBy("bucket").agg(offered.alias("lead"))
     n, m = F.col("r.n_items"), F.col("lead.n_items")
     pairs = one.join(leader, "bucket").filter((F.col("root") != F.col("lead.root")) & (F.least(n, m) >= SIMILARITY * F.greatest(n, m)))
     x, y = F.struct(F.col("r.key").alias("key"), "root"), F.struct(F.col("lead.key").alias("key"), F.col("lead.root").alias("root"))
     pairs = pairs.select(F.col("r.key").alias("own"), F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    flat = [F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")]
-    if tested is None:
-        votes = pairs.groupBy("own", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-        return votes.groupBy("own").agg(F.max(F.struct("n", "x", "y")).alias("p")).select("p.x", "p.y").select(*flat).distinct()
-    offers = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).select("n", *flat).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    low, high = F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")
-    return offers.groupBy(low, high).agg(F.max(F.struct("n", "a", "b", "root_a", "root_b")).alias("p")).select("p.a", "p.b", "p.root_a", "p.root_b")
+    votes = pairs.groupBy("own", "x", "y").agg(F.count(F.lit(1)).alias("n")).select(
+        "own", "n", F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
+    if tested is not None:
+        votes = votes.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return votes.groupBy("own").agg(F.max(F.struct("n", "a", "b", "root_a", "root_b")).alias("p")).select(
+        "p.a", "p.b", "p.root_a", "p.root_b").distinct()
+
+
+def _rest(buckets: DataFrame, roots: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame:
+    """All untested pairs of different components that share a bucket and that no exact bound excludes."""
+    labelled = buckets.join(roots.withColumnRenamed("node", "key"), "key")
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y")
+    left = saved(labelled.join(mixed.select("bucket", "n"), "bucket"), "left")
+    direct = left.filter(F.col("n") <= CROWD).select("bucket", "key", "root", "n_items", F.lit(0).alias("at"))
+    rare = _by_rare_items(left.filter(F.col("n") > CROWD).select("key", "root").distinct(), texts)
+    pairs = _pairs(direct).unionByName(_pairs(rare)).distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _pairs(entries: DataFrame) -> DataFrame:
+    """Pairs of different components in a bucket whose lengths, less the `at` items before the shared one, suffice."""
+    a = entries.select("bucket", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("n_items").alias("n"), F.col("at").alias("at_a"))
+    b = entries.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("n_items").alias("m"), F.col("at").alias("at_b"))
+    most = F.least(F.col("n") - F.col("at_a"), F.col("m") - F.col("at_b"))
+    enough = most >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("m")) - 1e-9
+    return a.join(b, "bucket").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough).select("a", "b", "root_a", "root_b")
+
+
+def _labelled_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, roots = (batch.column(name).to_numpy() for name in ("key", "root"))
+        for first, last, data, at in T.segments(batch.column(2)):
+            values, before, _ = items(data, at)
+            n = np.diff(before)
+            doc = np.repeat(np.arange(len(n)), n)
+            labelled = T.mix(values + _occurrences(values, doc).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.record_batch([pa.array(keys[first:last][doc]), pa.array(roots[first:last][doc]), pa.array(labelled.view(np.int64))],
+                                  ["key", "root", "item"])
+
+
+def _by_rare_items(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Entries (bucket, key, root, n_items, at) such that each similar pair of members shares a bucket at its `at`.
+
+    The items of a document are ordered by how many members have them. Two similar documents have their first common
+    item in this order so early that enough items are left behind it in both (`at` items are before it), so later items
+    make no entries. A frequent passage comes last: its items make entries only where little else is in a document.
+    """
+    rows = texts.join(members, "key").select("key", "root", "text")
+    placed = saved(rows.mapInArrow(_labelled_items, "key bigint, root bigint, item bigint"), "items")
+    known = placed.join(placed.groupBy("item").agg(F.count(F.lit(1)).alias("f")), "item")
+    own = known.groupBy("key", "root").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("i")).withColumn("n_items", F.size("i").cast("bigint"))
+    least = F.slice("i", 1, F.floor(F.col("n_items") * (1 - SIMILARITY) + 1e-9).cast("int") + 1)
+    entries = own.select("key", "root", "n_items", F.posexplode(least).alias("at", "x")).filter("x.f > 1").select(
+        "key", "root", "n_items", "at", F.col("x.item").alias("item"), F.explode(_lengths(F.col("n_items"))).alias("length"))
+    entries = saved(entries.select(F.xxhash64("item", "length").alias("bucket"), "key", "root", "n_items", "at"), "rare")
+    # With shares p and q of the items before the common one: m <= n (c - (1 + c) p) and n <= m (c - (1 + c) q) for c = 1 / SIMILARITY.
+    c = 1 / SIMILARITY
+    room = c - (1 + c) * F.col("at") / F.col("n_items")
+    most = entries.groupBy("bucket").agg(F.max(room).alias("room"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
+    return entries.join(most.select("bucket", "room"), "bucket").filter(room * F.col("room") >= 1 - 1e-9).drop("room")
 
 
 def _classified(copies: DataFrame, groups: DataFrame, own: list[str], roots: DataFrame, tested: DataFrame) -> DataFrame:

@@ -204,3 +204,22 @@ def test_a_pair_with_one_common_bucket_is_a_candidate(spark):
     tested = spark.createDataFrame([(1, 3, False)], "a bigint, b bigint, linked boolean")
     got = near_dedup._candidates(buckets, roots, tested, 1).collect()
     assert [(x["a"], x["b"], x["root_a"], x["root_b"]) for x in got] == [(1, 2, 1, 2)]
+
+
+def test_near_copies_in_a_crowded_bucket(docs_of):
+    """A passage common to all documents, which are at 0.74 of each other; among them pairs at 0.82."""
+    passage = prose(1, 174)
+    rows = [(k, " ".join(prose(1000 + k, 30) + passage)) for k in range(300)]
+    rows += [(1000 + k, " ".join(prose(5000 + k, 20) + prose(1000 + k, 30)[20:] + passage)) for k in range(0, 300, 5)]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(docs_of(rows)).collect()}
+    assert got == {k: k % 1000 for k, _ in rows}
+
+
+def test_chained_components_are_tested_by_all_their_members(docs_of):
+    """Chains of documents, each similar only to its neighbours."""
+    rows = []
+    for c in range(20):
+        words = prose(7000 + c, 400)
+        rows += [(100 * c + k, " ".join(words[20 * k:20 * k + 200])) for k in range(10)]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(docs_of(rows)).collect()}
+    assert got == brute_near_classes(dict(rows))
