@@ -800,6 +800,13 @@ def stream_rate_limit(spark, sf):
         "event_id", "user_id", "allowed", "retry_after")
 
 
+def _event_lines(spark, sf):
+    e = _event_stream(spark, sf)
+    line = F.concat(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" | "), F.rpad(D._level(), 8, " "), F.lit(" | app.main | trace_id=sesh-"),
+                    F.col("user_id").cast("string"), F.lit(" | event "), F.col("event_type"))
+    return e.select(F.lit("app.log").alias("file"), F.col("event_id").alias("line_no"), line.alias("value"))
+
+
 # A stream emits what its watermark (latest event minus ten minutes) has passed.
 @query("stream_idle_sessions", f"""select user_id, start_us, end_us, events from ({SESSIONS}) t
     where end_us + 43200000000 <= (select max(epoch_us(ts)) - 600000000 from events)""")
@@ -808,14 +815,28 @@ def stream_idle_sessions(spark, sf):
     return TV.run_to_table(TS.idle_sessions_stream(e, "user_id", "at", 43_200), "sessions")
 
 
+# Drained: the sessions and bins still open at the end of the input are there too.
+LAST = "9999-01-01 00:00:00"
+
+
+@query("stream_idle_sessions_drained", f"select user_id, start_us, end_us, events from ({SESSIONS}) t")
+def stream_idle_sessions_drained(spark, sf):
+    e = _event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
+    return TV.drain_to_table(e, lambda x: TS.idle_sessions_stream(x, "user_id", "at", 43_200), {"at": LAST}, "sessions")
+
+
 @query("stream_log_severity", f"""with e as (select epoch_us(ts) // 1000000 sec, {Q.LEVEL} level from events), g as (select sec // 3600 * 3600 s, level, count(*) n from e group by all)
     select {b('s', 'bin_sec')}, level, n events from g where s + 3600 <= (select max(sec) - 600 from e)""")
 def stream_log_severity(spark, sf):
-    e = _event_stream(spark, sf)
-    line = F.concat(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" | "), F.rpad(D._level(), 8, " "), F.lit(" | app.main | trace_id=sesh-"),
-                    F.col("user_id").cast("string"), F.lit(" | event "), F.col("event_type"))
-    lines = e.select(F.lit("app.log").alias("file"), F.col("event_id").alias("line_no"), line.alias("value"))
-    done = TV.run_to_table(TV.live_log_severity(lines, "1 hour"), "severity")
+    done = TV.run_to_table(TV.live_log_severity(_event_lines(spark, sf), "1 hour"), "severity")
+    return done.select(F.unix_seconds("bin_start").alias("bin_sec"), "level", "events")
+
+
+@query("stream_log_severity_drained", f"""with e as (select epoch_us(ts) // 1000000 sec, {Q.LEVEL} level from events), g as (select sec // 3600 * 3600 s, level, count(*) n from e group by all)
+    select {b('s', 'bin_sec')}, level, n events from g""")
+def stream_log_severity_drained(spark, sf):
+    last = f"{LAST} | INFO     | app.main | trace_id=sesh-0 | end"
+    done = TV.drain_to_table(_event_lines(spark, sf), lambda x: TV.live_log_severity(x, "1 hour"), {"file": "app.log", "value": last}, "severity")
     return done.select(F.unix_seconds("bin_start").alias("bin_sec"), "level", "events")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +36,25 @@ def run_to_table(stream: DataFrame, purpose: str) -> DataFrame:
              .option("checkpointLocation", f"{path}/checkpoint").start(f"{path}/table"))
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
+
+
+def drain_to_table(stream: DataFrame, build: Callable[[DataFrame], DataFrame], last: dict[str, Any], purpose: str) -> DataFrame:
+    """As `run_to_table` of ``build(stream)`` for a stream that ends: also what is still open at its end.
+
+    When all input is read, the same query goes on with one closing row, ``last``, whose time is after every window.
+    The watermark then passes all open state, and only the row's own window stays open. Other columns are null in it.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    closing = shared_dir(spark, f"{purpose}-closing")
+    row = [F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    rows = spark.range(1).select(*row)
+    rows.limit(0).write.parquet(closing)
+    result = build(stream.unionByName(spark.readStream.schema(schema).parquet(closing)))
+    path = shared_dir(spark, purpose)
+    for closed in (False, True):
+        if closed:
+            rows.write.mode("append").parquet(closing)
+        query = (result.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+                 .option("checkpointLocation", f"{path}/checkpoint").start(f"{path}/table"))
+        query.awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{path}/table")

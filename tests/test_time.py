@@ -82,6 +82,15 @@ def test_idle_sessions(spark):
         assert sorted((r.user_id, r.start_us, r.end_us, r.events) for r in got.collect()) == sorted(want)
 
 
+def test_drained_sessions_are_those_of_the_batch(spark, tmp_path):
+    _, df = events(spark, 200)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = TV.drain_to_table(stream, lambda x: TS.idle_sessions_stream(x, "user_id", "ts", 300), {"ts": "9999-01-01"}, "s").collect()
+    want = TS.idle_sessions(df, "user_id", "ts", 300).drop("session_no").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_shared_folder(spark):
     first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
     root = spark.conf.get("spark.checkpoint.dir", None)
