@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shiftledger.shared import shared_dir
+
 BUCKET_ROWS = 65_536
 
 
@@ -66,3 +68,24 @@ def carry(df: DataFrame, part: list[str], bucket: list[Column], order: list[str]
     last = F.last("_v", ignorenulls=True).over(inside)
     return joined.withColumn(out, F.coalesce(last, F.col("_in"))).drop(
         "_v", "_in", *bs, *[f"_k_{k}" for k in keys])
+
+
+def global_ranks(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """1-based place of each row of a whole table in one order, with a single exchange.
+
+    Rows are dealt to sorted ranges and written once with their place in their range; the ranges before it are added
+    from a table of one row per range. Rows that are equal in ``order`` are told apart by where they were read, so that
+    many equal rows spread over several ranges; which of them comes first is not defined.
+    """
+    by = [*order, F.col("_tie")]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    path = shared_dir(df.sparkSession, "ranked")
+    dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_part", part).join(starts, "_part")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranked.withColumn(out, F.col("_before") + place + 1).select(*df.columns, out)
