@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import chat, html_crf, html_pages, mil, mixing, mtree, near_dedup, packing, quality_rules, secrets, substrings
+from shiftledger.llm import chat, html_crf, html_pages, mil, mixing, mtree, near_dedup, packing, quality_rules, resample, secrets, substrings
 from shiftledger.llm.common import row_key, saved, table
 from shiftledger.llm.sql import SQL  # noqa: F401  (registered together)
 
@@ -101,3 +101,8 @@ def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(part != 1).select("doc_id", F.col("quality").alias("label"))
     scored = docs.select("doc_id", (part == 1).alias("held_out"), mil.score("text", mil.learn(docs, labels)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))

@@ -65,4 +65,42 @@ TOP_K = """
     SELECT query_id, CAST(row_number() OVER o AS INT) AS rank, vec_id, score FROM s
     WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5"""
 
-SQL: dict[str, str] = {"op1_secret_scan": _secrets(), "op4_substring_dedup": SUBSTRINGS, "op7_source_mix": MIX, "op10_exact_top_k": TOP_K}
+def _crc_table() -> str:
+    """The CRC register after each byte, by the polynomial."""
+    c = list(range(256))
+    for _ in range(8):
+        c = [x >> 1 ^ 0xEDB88320 * (x & 1) for x in c]
+    return f"CAST({c} AS UBIGINT[])"
+
+
+def _resampling() -> str:
+    """Runs of words as strings; the CRC of the distinct ones byte by byte; the rest by aggregation."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    w = f"list_filter(string_split_regex({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    runs = "flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS n, {w} AS w FROM documents),
+    b AS (SELECT {w} AS w FROM benchmark),
+    f AS MATERIALIZED (SELECT n, unnest({runs}) AS s FROM d),
+    g AS (SELECT unnest({runs}) AS s FROM b),
+    u AS MATERIALIZED (SELECT s, row_number() OVER () AS id, hex(encode(s)) AS x FROM (SELECT s FROM f UNION SELECT s FROM g)),
+    q AS (SELECT CAST(i AS BIGINT) AS i, t FROM (SELECT unnest(range(256)) AS i, unnest({_crc_table()}) AS t)),
+    z AS (SELECT id, x, 1 AS p, 4294967295::UBIGINT AS c FROM u UNION ALL
+          SELECT id, x, p + 2, xor(c >> 8, t) FROM z JOIN q ON i = xor(c & 255, ('0x' || substr(x, p, 2))::UBIGINT)::BIGINT WHERE p < length(x)),
+    c AS MATERIALIZED (SELECT s, xor(z.c, 4294967295::UBIGINT) % 10000 AS k FROM z JOIN u USING (id) WHERE p > length(u.x)),
+    fs AS (SELECT k, count(*) AS s FROM f JOIN c USING (s) GROUP BY k),
+    gs AS (SELECT k, count(*) AS t FROM g JOIN c USING (s) GROUP BY k),
+    a AS (SELECT (SELECT sum(s) FROM fs)::DOUBLE AS s_all, coalesce((SELECT sum(t) FROM gs), 0)::DOUBLE AS t_all),
+    e AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+          FROM fs LEFT JOIN gs USING (k), a),
+    v AS (SELECT n, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN c USING (s) JOIN e USING (k) GROUP BY n),
+    h AS (SELECT n, (('0x' || substr(sha256(concat('42:', doc_id)), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296::DOUBLE AS u FROM d),
+    r AS (SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + floor(-1000 * ln(-ln(u)))::BIGINT AS score FROM d JOIN h USING (n) LEFT JOIN v USING (n)),
+    o AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) END AS place,
+                 5 * count(*) FILTER (words >= 20) OVER () // 100 AS many FROM r)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= many THEN place END AS rank FROM o"""
+
+
+SQL: dict[str, str] = {"op1_secret_scan": _secrets(), "op4_substring_dedup": SUBSTRINGS, "op7_source_mix": MIX, "op10_exact_top_k": TOP_K,
+                       "op11_importance_resampling": _resampling()}

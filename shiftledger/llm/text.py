@@ -88,9 +88,12 @@ def segments(column: pa.Array, limit: int = SEGMENT_BYTES) -> Iterator[tuple[int
         first = last
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words in bytes, and for each text the number of words before it, with the total."""
-    inside = ~_IS_SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words in bytes, and for each text the number of words before it, with the total.
+
+    `between` marks the bytes that are in no word.
+    """
+    inside = ~between[data]
     first, last = inside.copy(), inside.copy()
     if len(data):
         first[1:] &= ~inside[:-1]
