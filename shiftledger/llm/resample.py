@@ -100,21 +100,6 @@ def crc32_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return ~out
 
 
-def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct pair (h, g), and for each place the number of its pair."""
-    order = np.argsort(h)
-    v, w = h[order], g[order]
-    same = (v[1:] == v[:-1])
-    if (same & (w[1:] != w[:-1])).any():  # two features share one hash
-        order = np.lexsort((g, h))
-        v, w = h[order], g[order]
-        same = (v[1:] == v[:-1]) & (w[1:] == w[:-1])
-    new = np.append(True, ~same)[:len(order)]
-    back = np.empty(len(order), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return order[new], back
-
-
 def feature_buckets(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Buckets of all features, text by text for each run length; the features before each text; the words of each text."""
     starts, ends, counts = T.word_spans(data, at, _BETWEEN)
@@ -127,7 +112,7 @@ def feature_buckets(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) ->
     firsts, befores = zip(*(T.windows(counts, k) for k in range(1, RUN + 1)))
     a = np.concatenate([begin[f] for f in firsts])
     b = np.concatenate([begin[f + k] + size[f + k] for k, f in enumerate(firsts)])
-    places, back = _distinct(*(T.byte_hashes(joined, a, b, which) for which in (0, 1)))
+    places, back = T.distinct(*(T.byte_hashes(joined, a, b, which) for which in (0, 1)))
     crc = crc32_spans(joined, a[places], b[places])
     return (crc % np.uint32(buckets)).astype(np.int64)[back], list(befores), np.diff(counts)
 

@@ -65,6 +65,21 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return span_hashes(_BYTES[which][data], starts, ends, which)
 
 
+def distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct pair (h, g), and for each place the number of its pair."""
+    order = np.argsort(h)
+    v, w = h[order], g[order]
+    same = (v[1:] == v[:-1])
+    if (same & (w[1:] != w[:-1])).any():  # two features share one hash
+        order = np.lexsort((g, h))
+        v, w = h[order], g[order]
+        same = (v[1:] == v[:-1]) & (w[1:] == w[:-1])
+    new = np.append(True, ~same)[:len(order)]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the places where its texts start, with the end; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
