@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import chat, html_crf, html_pages, mil, mixing, mtree, near_dedup, packing, periodic, quality_rules, resample, secrets, substrings
+from shiftledger.llm import chat, html_crf, html_pages, jaccard, mil, mixing, mtree, near_dedup, packing, periodic, quality_rules, resample, secrets, substrings
 from shiftledger.llm.common import row_key, saved, table
 from shiftledger.llm.sql import SQL  # noqa: F401  (registered together)
 
@@ -112,3 +112,8 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return periodic.periodic_runs(docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text")))
+
+
+@query
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))

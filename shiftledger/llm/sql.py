@@ -102,5 +102,18 @@ def _resampling() -> str:
     SELECT doc_id, n_features, weight, score, CASE WHEN place <= many THEN place END AS rank FROM o"""
 
 
+JACCARD = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS n,
+        list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACES}'), lambda x: x <> '') AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
+    c AS (SELECT n, count(*) AS size FROM s GROUP BY n),
+    i AS (SELECT a.n AS a, b.n AS b, count(*) AS same FROM s a JOIN s b ON a.s = b.s AND a.n <> b.n GROUP BY a.n, b.n),
+    l AS MATERIALIZED (SELECT a, b FROM i JOIN c x ON x.n = a JOIN c y ON y.n = b WHERE 100 * same >= 85 * (x.size + y.size - same)),
+    r AS (SELECT n, n AS m FROM d UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a),
+    k AS (SELECT r.n, min(d.doc_id) AS component_id FROM r JOIN d ON d.n = r.m GROUP BY r.n)
+    SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id FROM d JOIN k USING (n) LEFT JOIN c USING (n)"""
+
+
 SQL: dict[str, str] = {"op1_secret_scan": _secrets(), "op4_substring_dedup": SUBSTRINGS, "op7_source_mix": MIX, "op10_exact_top_k": TOP_K,
-                       "op11_importance_resampling": _resampling()}
+                       "op11_importance_resampling": _resampling(), "op13_ngram_jaccard_join": JACCARD}
