@@ -203,12 +203,10 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def collapsed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows, each run of their text reduced to its first period; a text without runs stays as it is, a null becomes empty."""
-    rest = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col]
-    rows = docs.select(F.col(text_col).alias("collapsed"), *rest)
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(F.col(text_col).alias("collapsed"), *[F.col(c).alias(n) for c, n in names.items() if c != text_col])
     out = rows.mapInArrow(_trimmed, rows.schema)
-    others = iter([c for c in docs.columns if c != text_col])
-    names = {c: f"c{k}" for k, c in enumerate(others)}
-    return out.select(*[F.col("collapsed" if c == text_col else names[c]).alias(c) for c in docs.columns])
+    return out.select(*[F.col("collapsed" if c == text_col else n).alias(c) for c, n in names.items()])
 
 
 def planted(doc_id: Column, text: Column) -> Column:
