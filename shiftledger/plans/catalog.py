@@ -54,8 +54,8 @@ def b(expr: str, name: str | None = None) -> str:
 
 # --- sources -------------------------------------------------------------------------------------
 
-def _grids(spark, sf):
-    return G.detect_meta_columns(G.detect_header(G.scan_roster_grid(D.grid_files(spark, sf))))
+def _grid_lines(spark, sf):
+    return G.scan_roster_grid(G.read_text(spark, D.grid_folder(spark, sf), D.FILE_NAME))[0]
 
 
 FILES = f"""
@@ -74,14 +74,15 @@ FILES = f"""
     where bad is null and ((r.row_idx < 2 and k.k = (select min(k) from k k2 where k2.n = fl.n)) or (k.n = fl.n and r.row_idx = k.k - (select min(k) from k k2 where k2.n = fl.n) + 2 ))
       and k.n = fl.n""")
 def scan_roster_grid(spark, sf):
-    cells = G.cells_view(G.scan_roster_grid(D.grid_files(spark, sf)))
+    cells = _grid_lines(spark, sf)
     return _big(cells.select("file", "row_idx", F.size("cells").alias("n_cells"), F.get("cells", F.lit(0)).alias("first_cell")),
                 "row_idx", "n_cells")
 
 
 @query("guard_files", FILES + " select file, coalesce(bad, 'ok') reason from fl")
 def guard_files(spark, sf):
-    return G.guard_files(D.grid_files(spark, sf), dims.MAX_FILE_BYTES).select("file", F.coalesce("reason", F.lit("ok")).alias("reason"))
+    files = G.list_files(spark, D.grid_folder(spark, sf), D.FILE_NAME)
+    return G.guard_files(files, dims.MAX_FILE_BYTES).select("file", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
 @query("guard_cells", f"""
@@ -92,13 +93,14 @@ def guard_cells(spark, sf):
     e = D.table(spark, sf, "events")
     cells = e.select(F.concat(F.lit("events_"), "event_type").alias("file"), F.lit(0).alias("sheet_no"),
                      F.col("event_id").cast("int").alias("row_idx"), F.array_repeat(F.lit(""), 300).alias("cells"))
-    return G.grids_from_cells(cells, dims.MAX_FILE_CELLS).select("file", F.coalesce("reason", F.lit("ok")).alias("reason"))
+    bad = G.guard_cells(cells, dims.MAX_FILE_CELLS)
+    return cells.select("file").distinct().join(bad, "file", "left").select("file", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
 @query("detect_header", FILES + f"""
     select file, {b('1', 'row_idx')}, '4,5,6,7,8,9,10,12,13,14,15,16,17,18' day_cols from fl where bad is null and not headless""")
 def detect_header(spark, sf):
-    h = G.detect_header(G.scan_roster_grid(D.grid_files(spark, sf))).filter("header is not null")
+    h = G.detect_header(_grid_lines(spark, sf))
     return h.select("file", F.col("header.row_idx").cast("bigint").alias("row_idx"),
                     F.array_join(F.col("header.day_cols").cast("array<string>"), ",").alias("day_cols"))
 
@@ -106,7 +108,8 @@ def detect_header(spark, sf):
 @query("detect_meta_columns", FILES + f"""
     select file, {b('3', 'name_col')}, {b('0', 'station_col')}, {b('1', 'status_col')}, {b('2', 'id_col')} from fl where bad is null and not headless""")
 def detect_meta_columns(spark, sf):
-    m = _grids(spark, sf).filter("header is not null")
+    lines = _grid_lines(spark, sf)
+    m = G.detect_meta_columns(lines, G.detect_header(lines))
     return m.select("file", *[F.col(f"meta.{r}").cast("bigint").alias(f"{r}_col") for r in dims.META_KEYWORDS])
 
 
@@ -114,15 +117,16 @@ def detect_meta_columns(spark, sf):
     select file, coalesce(bad, 'No 14-day schedule columns found. Ensure ''Mon''–''Sun'' appear twice in your header row.') reason
     from fl where bad is not null or headless""")
 def grid_rejects(spark, sf):
-    return G.rejects(_grids(spark, sf))
+    return G.parse_files(spark, D.grid_folder(spark, sf), name=D.FILE_NAME)[1]
 
 
 @query("parse_roster_rows", FILES + f"""
-    select file roster_id, {b('k - (select min(k) from k k2 where k2.n = fl.n) + 2', 'row_idx')}, name, station, emp_status, id_no,
+    select file roster_id, {b('k - (select min(k) from k k2 where k2.n = fl.n) + 2', 'row_idx')},
+      case when k % 40 = 7 then concat(name, chr(10), '"x", y') else name end as name, station, emp_status, id_no,
       array_to_string(list_transform(codes, lambda c: case when upper(c) = 'LEAVE' then 'Leave' else upper(c) end), ',') codes
     from k join fl using (n) where bad is null and not headless and k % 40 not in (3, 5)""")
 def parse_roster_rows(spark, sf):
-    rows = G.parse_roster_rows(_grids(spark, sf))
+    rows, _ = G.parse_files(spark, D.grid_folder(spark, sf), name=D.FILE_NAME)
     return _big(rows.withColumn("codes", F.array_join("codes", ",")), "row_idx")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftledger.operators.ordering import number_rows
+from shiftledger.shared import shared_dir
 
 PATTERNS = [
     "AOT AOT AOT AOT RD RD RD AOT AOT AOT AOT RD RD RD",
@@ -126,29 +127,33 @@ def roster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILE_ROWS = 50
 
 
-def grid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploaded files built from rosters, 50 employees each: (file, length, content).
+FILE_NAME = "regexp_extract(_metadata.file_path, '/file=([^/]*)/', 1)"
+
+
+def grid_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of uploaded files built from rosters, 50 employees each; `FILE_NAME` makes their names from paths.
 
     Every 7th file has no header row, every 11th an unsupported extension, every 13th a .xlsx name without the
-    signature; aliases, lower case, date rows and formula names occur in the rest.
+    signature; aliases, lower case, date rows, formula names and line breaks in cells occur in the rest.
     """
     r = roster_synth(spark, sf_dir)
     k = F.col("id_no").cast("bigint")
     shown = F.transform("codes", lambda c: F.when(k % 6 == 0, F.lower(c)).when((k % 6 == 1) & (c == "A"), "AS").otherwise(c))
-    name = F.when(k % 40 == 3, "12/01/2024").when(k % 40 == 5, "=A1").otherwise(F.col("name"))
+    name = F.when(k % 40 == 3, "12/01/2024").when(k % 40 == 5, "=A1").when(k % 40 == 7, F.concat("name", F.lit('\n""x"", y'))).otherwise(F.col("name"))
     line = F.concat_ws(",", "station", "emp_status", "id_no", F.concat(F.lit('"'), name, F.lit('"')),
                        F.array_join(F.slice(shown, 1, 7), ","), F.lit(""), F.array_join(F.slice(shown, 8, 7), ","))
-    lines = r.select(F.floor(k / FILE_ROWS).alias("n"), k.alias("k"), line.alias("line"))
+    n = F.floor(k / FILE_ROWS)
     days = "Mon,Tue,Wed,Thu,Fri,Sat,Sun"
     head = F.when(F.col("n") % 7 == 6, "no header here" + "," * 18).otherwise(
         f"Station/Designation,Employee Status,ID NO.,Operator's Name:,{days},SPACER,{days}")
+    above = [F.struct(F.lit(k).cast("bigint").alias("k"), v.alias("value")) for k, v in ((-3, F.lit("Site plan" + "," * 18)), (-2, F.lit("")), (-1, head))]
+    lines = r.select(n.alias("n"), k.alias("k"), line.alias("value"))
+    tops = r.select(n.alias("n")).distinct().select("n", F.inline(F.array(*above)))
     ext = F.when(F.col("n") % 11 == 10, "txt").when(F.col("n") % 13 == 12, "xlsx").otherwise("csv")
-    files = lines.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("rows"))
-    text = F.concat(F.lit("Site plan" + "," * 18 + "\n\n"), head, F.lit("\n"),
-                    F.array_join(F.col("rows")["line"], "\n"), F.lit("\n"))
-    return files.select(F.concat(F.lit("roster_"), F.col("n").cast("string"), F.lit("."), ext).alias("file"),
-                        F.encode(text, "UTF-8").alias("content")).select("file", F.octet_length("content").cast(
-                            "bigint").alias("length"), "content")
+    named = lines.unionByName(tops).withColumn("file", F.concat(F.lit("roster_"), F.col("n").cast("string"), F.lit("."), ext))
+    path = shared_dir(spark, "uploads")
+    named.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(path)
+    return path
 
 
 def policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
