@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shiftledger.operators.ordering import carry
+from shiftledger.operators.ordering import carry, running_sum
 
 UPLOAD_LIMIT, LOGIN_LIMIT, WINDOW_SECONDS = 5, 10, 60
 MICROS = 1_000_000
@@ -114,13 +113,17 @@ def rate_limit_stream(events: DataFrame, key: str, ts: str, order: str, limit: i
 def attempt_rate(events: DataFrame, key: str, ts: str, window: int = WINDOW_SECONDS) -> DataFrame:
     """Add ``attempts``: attempts of the key in the ``window`` seconds up to and including this one.
 
-    Time is cut into window-long slots and each attempt is also shown to the next slot, so the frame never
-    leaves (key, slot) and a key with very many attempts is spread over its slots.
+    An attempt counts from its time on and stops counting a window later, so the answer is a running sum over both kinds of
+    changes. Attempts of one time are combined before; the sum is carried over buckets of a window each, so a key with very
+    many attempts is spread over its windows, and the attempts themselves only meet the sums.
     """
     win = window * MICROS
     df = events.withColumn("_us", micros(ts))
-    slot = F.floor(F.col("_us") / win)
-    both = df.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    w = W.partitionBy(key, "_slot").orderBy("_us").rangeBetween(-(win - 1), 0)
-    counted = both.withColumn("attempts", F.count(F.lit(1)).over(w))
-    return counted.filter(F.col("_slot") == F.floor(F.col("_us") / win)).drop("_us", "_slot")
+    counts = df.groupBy(F.col(key).alias("_k"), "_us").agg(F.count(F.lit(1)).alias("n"))
+    both = F.array(F.struct(F.col("_us").alias("at"), F.col("n").alias("d"), F.lit(True).alias("own")),
+                   F.struct((F.col("_us") + win).alias("at"), (-F.col("n")).alias("d"), F.lit(False).alias("own")))
+    changes = counts.select("_k", F.inline(both)).groupBy("_k", "at").agg(F.sum("d").alias("d"), F.max("own").alias("own"))
+    summed = running_sum(changes, ["_k"], F.floor(F.col("at") / win), ["at"], F.col("d"), "attempts").filter("own")
+    place = F.struct(F.col("_k").alias("k"), F.col("at").alias("at"))
+    found = summed.select(place.alias("_place"), "attempts")
+    return df.withColumn("_place", F.struct(F.col(key).alias("k"), F.col("_us").alias("at"))).join(found, "_place").drop("_place", "_us")

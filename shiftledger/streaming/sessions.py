@@ -3,32 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shiftledger.operators.ordering import carry, running_sum
 from shiftledger.streaming.limits import MICROS, micros
 
 IDLE_SECONDS = min(1800, 300)
+SLOTS = 10_000  # slots of a bucket of islands
 
 
-def idle_sessions(events: DataFrame, key: str, ts: str, gap: int = IDLE_SECONDS, slot: int | None = None) -> DataFrame:
+def idle_sessions(events: DataFrame, key: str, ts: str, gap: int = IDLE_SECONDS) -> DataFrame:
     """(key, session_no, start_us, end_us, events); a gap of exactly ``gap`` seconds does not end a session.
 
-    Events are merged into islands inside (key, time slot) first; only islands meet per key, so a key with
-    very many events arrives there already combined.
+    Events of one slot as long as the gap are never apart, so a combined aggregation makes them one island without
+    sorting them. Islands are chained in buckets, so that no task sees all islands of a key.
     """
-    slot_us = (slot or max(3600, gap)) * MICROS
-    df = events.select(F.col(key), micros(ts).alias("us")).withColumn("slot", F.floor(F.col("us") / slot_us))
-    inside = W.partitionBy(key, "slot").orderBy("us")
-    df = df.withColumn("new", (F.col("us") - F.lag("us").over(inside) > gap * MICROS).cast("int"))
-    df = df.withColumn("local", F.coalesce(F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
-    islands = df.groupBy(key, "slot", "local").agg(
+    gap_us = gap * MICROS
+    df = events.select(F.col(key), micros(ts).alias("us"))
+    islands = df.groupBy(key, F.floor(F.col("us") / gap_us).alias("slot")).agg(
         F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("events"))
-    chain = W.partitionBy(key).orderBy("start_us")
-    islands = islands.withColumn("new", F.coalesce(
-        (F.col("start_us") - F.lag("end_us").over(chain) > gap * MICROS).cast("int"), F.lit(1)))
-    islands = islands.withColumn("session_no", F.sum("new").over(chain.rowsBetween(W.unboundedPreceding, 0)))
-    return islands.groupBy(key, "session_no").agg(
+    bucket = F.floor(F.col("slot") / SLOTS)
+    chained = carry(islands, [key], [bucket], ["slot"], F.col("end_us"), "before")
+    fresh = F.col("before").isNull() | (F.col("start_us") - F.col("before") > gap_us)
+    numbered = running_sum(chained, [key], bucket, ["slot"], fresh.cast("bigint"), "session_no")
+    return numbered.groupBy(key, "session_no").agg(
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("events").alias("events"))
 
 

@@ -65,7 +65,7 @@ def test_attempt_rate(spark):
         assert got[i] == sum(1 for _, u, t in rows if u == user and us - 60_000_000 < t <= us)
 
 
-def test_idle_sessions(spark):
+def test_idle_sessions(spark, monkeypatch):
     rows, df = events(spark)
     want = []
     for user in {u for _, u, _ in rows}:
@@ -77,11 +77,31 @@ def test_idle_sessions(spark):
                 start, n = t, 0
             last, n = t, n + 1
         want.append((user, start, last, n))
-    for slot in (None, 301, 100_000):
-        got = TS.idle_sessions(df, "user_id", "ts", 300, slot)
+    for slots in (1, 7, 10_000):
+        monkeypatch.setattr(TS, "SLOTS", slots)
+        got = TS.idle_sessions(df, "user_id", "ts", 300)
         assert sorted((r.user_id, r.start_us, r.end_us, r.events) for r in got.collect()) == sorted(want)
 
 
+def test_events_meet_before_they_are_ordered(spark):
+    """No window sorts raw events: below each window there is an aggregation of them."""
+    _, df = events(spark, 50)
+    for out in (TS.idle_sessions(df, "user_id", "ts", 300), TL.attempt_rate(df, "user_id", "ts", 60)):
+        tree = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = tree.split("Window [")[1:]
+        assert windows and all("Aggregate [" in part.split("LogicalRDD")[0] or "LogicalRDD" not in part for part in windows)
+
+
+def test_a_hot_key_is_spread_over_its_windows(spark):
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.lit(None).cast("string").alias("user_id"), F.timestamp_millis("id").alias("ts"))
+    got = TL.attempt_rate(df, "user_id", "ts", 10)
+    assert got.count() == n
+    assert got.filter(F.col("attempts") != F.least(F.col("event_id") + 1, F.lit(10_000))).count() == 0
+    one = TS.idle_sessions(df, "user_id", "ts", 1).collect()
+    assert [(r.session_no, r.start_us, r.end_us, r.events) for r in one] == [(1, 0, (n - 1) * 1000, n)]
+
+
 def test_drained_sessions_are_those_of_the_batch(spark, tmp_path):
     _, df = events(spark, 200)
     df.write.parquet(str(tmp_path / "in"))
