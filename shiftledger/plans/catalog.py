@@ -14,12 +14,15 @@ from shiftledger.operators import logs as L
 from shiftledger.operators import reports as A
 from shiftledger.operators import roster as O
 from shiftledger.operators import rules as V
+from shiftledger.operators import timeline as TI
 from shiftledger.plans import fixtures as D
 from shiftledger.plans import oracle as Q
 from shiftledger.sources import grid as G
 from shiftledger.sources import logs as SL
 from shiftledger.sources import policy as SP
 from shiftledger.sources import sinks as K
+from shiftledger.shared import shared_dir
+from shiftledger.streaming import arrival as TA
 from shiftledger.streaming import limits as TL
 from shiftledger.streaming import live as TV
 from shiftledger.streaming import sessions as TS
@@ -797,11 +800,15 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
 
 
+# Drained: what is still open at the end of the input is there too.
+LAST = "2200-01-01 00:00:00"
+
+
 @query("stream_rate_limit", LIMITED + " select event_id, user_id, allowed, retry_after from w")
 def stream_rate_limit(spark, sf):
-    e = _event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
-    return TV.run_to_table(TL.rate_limit_stream(e.select("event_id", "user_id", "at"), "user_id", "at", "event_id", 2, DAY), "rate-limit").select(
-        "event_id", "user_id", "allowed", "retry_after")
+    e = _event_stream(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"))
+    limited = lambda x: TL.rate_limit_stream(x.withWatermark("at", "1 hour"), "user_id", "at", "event_id", 2, DAY)
+    return TV.drain_to_table(e, limited, {"at": LAST}, "rate-limit").select("event_id", "user_id", "allowed", "retry_after")
 
 
 def _event_lines(spark, sf):
@@ -811,34 +818,16 @@ def _event_lines(spark, sf):
     return e.select(F.lit("app.log").alias("file"), F.col("event_id").alias("line_no"), line.alias("value"))
 
 
-# A stream emits what its watermark (latest event minus ten minutes) has passed.
-@query("stream_idle_sessions", f"""select user_id, start_us, end_us, events from ({SESSIONS}) t
-    where end_us + 43200000000 <= (select max(epoch_us(ts)) - 600000000 from events)""")
-def stream_idle_sessions(spark, sf):
-    e = _event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
-    return TV.run_to_table(TS.idle_sessions_stream(e, "user_id", "at", 43_200), "sessions")
-
-
-# Drained: the sessions and bins still open at the end of the input are there too.
-LAST = "9999-01-01 00:00:00"
-
-
+@query("stream_idle_sessions", f"select user_id, start_us, end_us, events from ({SESSIONS}) t")
 @query("stream_idle_sessions_drained", f"select user_id, start_us, end_us, events from ({SESSIONS}) t")
-def stream_idle_sessions_drained(spark, sf):
+def stream_idle_sessions(spark, sf):
     e = _event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
     return TV.drain_to_table(e, lambda x: TS.idle_sessions_stream(x, "user_id", "at", 43_200), {"at": LAST}, "sessions")
 
 
 @query("stream_log_severity", f"""with e as (select epoch_us(ts) // 1000000 sec, {Q.LEVEL} level from events), g as (select sec // 3600 * 3600 s, level, count(*) n from e group by all)
-    select {b('s', 'bin_sec')}, level, n events from g where s + 3600 <= (select max(sec) - 600 from e)""")
-def stream_log_severity(spark, sf):
-    done = TV.run_to_table(TV.live_log_severity(_event_lines(spark, sf), "1 hour"), "severity")
-    return done.select(F.unix_seconds("bin_start").alias("bin_sec"), "level", "events")
-
-
-@query("stream_log_severity_drained", f"""with e as (select epoch_us(ts) // 1000000 sec, {Q.LEVEL} level from events), g as (select sec // 3600 * 3600 s, level, count(*) n from e group by all)
     select {b('s', 'bin_sec')}, level, n events from g""")
-def stream_log_severity_drained(spark, sf):
+def stream_log_severity(spark, sf):
     last = f"{LAST} | INFO     | app.main | trace_id=sesh-0 | end"
     done = TV.drain_to_table(_event_lines(spark, sf), lambda x: TV.live_log_severity(x, "1 hour"), {"file": "app.log", "value": last}, "severity")
     return done.select(F.unix_seconds("bin_start").alias("bin_sec"), "level", "events")
@@ -851,6 +840,48 @@ def stream_validate(spark, sf):
     return TV.run_to_table(TV.stream_validate(rosters).select(*KEY, "matrix", "Status"), "validated")
 
 
+@query("stream_ingest_files", FILES + f"""
+    , v as ({Q.results()} select * from f6)
+    select file, {b('row_idx')}, "Status", reason from (
+      select file, k - (select min(k) from k k2 where k2.n = fl.n) + 2 row_idx, case when v.pass then 'Valid' else 'Invalid' end "Status", cast(null as varchar) reason
+      from k join fl using (n) join v on v.id_no = k.id_no where bad is null and not headless and k % 40 not in (3, 5)
+      union all select file, null, null, coalesce(bad, 'No 14-day schedule columns found. Ensure ''Mon''–''Sun'' appear twice in your header row.') from fl
+      where bad is not null or headless) t""")
+def stream_ingest_files(spark, sf):
+    """Two arrivals with a restart between them; both tables."""
+    folder, out = shared_dir(spark, "arriving"), shared_dir(spark, "ingested")
+    for half in (0, 1):
+        D.grid_folder(spark, sf, folder, F.col("n") % 2 == half)
+        accepted, rejected = TA.ingest_files(spark, folder, out, name=D.FILE_NAME, files_per_batch=100)
+    good = accepted.select(F.col("roster_id").alias("file"), F.col("row_idx").cast("bigint").alias("row_idx"), "Status", F.lit(None).cast("string").alias("reason"))
+    bad = rejected.select("file", F.lit(None).cast("bigint").alias("row_idx"), F.lit(None).cast("string").alias("Status"), "reason")
+    return good.unionByName(bad)
+
+
+# --- calendars -----------------------------------------------------------------------------------
+
+def _edge(part: int) -> str:
+    return "case code " + " ".join(f"when '{c}' then {v[part]}" for c, v in dims.SHIFTS.items() if v[part] is not None) + " end"
+
+
+@query("timeline_violations", f"""
+    with ro as ({Q.roster_events()}), x as (select id_no employee, date '2024-01-01' + cast(14 * (roster_id % 100000) as int) period, codes, unnest(range(14)) d from ro),
+    days as (select employee, period, period + cast(d as int) dt, codes[d + 1] code, {Q.HOURS.format(c='codes[d + 1]')} h from x),
+    r as (select *, sum(h) over w s, min(period) over w <> max(period) over w crosses from days
+          window w as (partition by employee order by dt range between interval 6 day preceding and current row)),
+    ri as (select *, dt - cast(row_number() over (partition by employee order by dt) as int) island from r where s > 40),
+    c as (select *, dt - cast(row_number() over (partition by employee order by dt) as int) island from days where h > 0),
+    g as (select *, {_edge(1)} b, lag({_edge(2)}) over o pe, lag(dt) over o pd, lag(period) over o pp from days window o as (partition by employee order by dt))
+    select employee, 'max_rolling_7d' "rule", cast(min(dt) - 6 as varchar) from_date, cast(max(dt) as varchar) to_date, cast(max(s) as bigint) "value", bool_and(crosses) crosses
+      from ri group by employee, island
+    union all select employee, 'max_consecutive', cast(min(dt) as varchar), cast(max(dt) as varchar), count(*), min(period) <> max(period) from c group by employee, island having count(*) > 4
+    union all select employee, 'shift_gap', cast(pd as varchar), cast(dt as varchar), cast(24 + b - pe as bigint), period <> pp from g where dt - pd = 1 and 24 + b - pe < 8""")
+def timeline_violations(spark, sf):
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (14 * (F.col("roster_id") % D.PERIODS)).cast("int"))
+    days = TI.day_rows(D.roster_events(spark, sf), F.col("id_no"), start)
+    return TI.timeline_violations(days, 40, 4).withColumns({c: F.col(c).cast("string") for c in ("from_date", "to_date")})
+
+
 # --- sinks ---------------------------------------------------------------------------------------
 
 CLEAN = "[" + ",".join(f"'{c}'" for c in D.PATTERNS[0].split()) + "]"

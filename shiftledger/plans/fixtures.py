@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftledger.operators.ordering import number_rows
@@ -130,9 +130,11 @@ FILE_ROWS = 50
 FILE_NAME = "regexp_extract(_metadata.file_path, '/file=([^/]*)/', 1)"
 
 
-def grid_folder(spark: SparkSession, sf_dir: str) -> str:
+def grid_folder(spark: SparkSession, sf_dir: str, path: str | None = None, where: Column | None = None) -> str:
     """A folder of uploaded files built from rosters, 50 employees each; `FILE_NAME` makes their names from paths.
 
+    ``where`` chooses files by their number ``n``; they are added to what is in ``path``.
+
     Every 7th file has no header row, every 11th an unsupported extension, every 13th a .xlsx name without the
     signature; aliases, lower case, date rows, formula names and line breaks in cells occur in the rest.
     """
@@ -151,8 +153,9 @@ def grid_folder(spark: SparkSession, sf_dir: str) -> str:
     tops = r.select(n.alias("n")).distinct().select("n", F.inline(F.array(*above)))
     ext = F.when(F.col("n") % 11 == 10, "txt").when(F.col("n") % 13 == 12, "xlsx").otherwise("csv")
     named = lines.unionByName(tops).withColumn("file", F.concat(F.lit("roster_"), F.col("n").cast("string"), F.lit("."), ext))
-    path = shared_dir(spark, "uploads")
-    named.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(path)
+    path = path or shared_dir(spark, "uploads")
+    named = named if where is None else named.filter(where)
+    named.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.mode("append").partitionBy("file").text(path)
     return path
 
 

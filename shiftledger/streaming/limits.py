@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from shiftledger.operators.ordering import carry, running_sum
 
 UPLOAD_LIMIT, LOGIN_LIMIT, WINDOW_SECONDS = 5, 10, 60
 MICROS = 1_000_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def micros(ts: str) -> Column:
@@ -84,30 +86,92 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = UP
     return spread.mapInPandas(walk, f"{fields}, allowed boolean, retry_after bigint")
 
 
+def _packed(pdf: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(blob).read_pandas()
+
+
+class SlotLimiter(StatefulProcessor):
+    """Decides the attempts of a key slot by slot, in time order, when the watermark has passed a slot.
+
+    Attempts wait in state as packed pieces, as they came in; pieces of a micro-batch are never put together. At the end of
+    a slot its times are sorted and decided, and its pieces are taken out one by one. So a task holds one piece and the times
+    of one slot, however many attempts a key has. The last ``limit`` admissions stay until they leave the window.
+    """
+
+    def __init__(self, order: str, kept: list[str], limit: int, window: int):
+        self.order, self.kept, self.limit, self.window = order, kept, limit, window
+        self.slot = window  # microseconds of a slot
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pieces = handle.getMapState("pieces", "slot bigint, piece bigint", "rows binary")
+        self.counts = handle.getMapState("counts", "slot bigint", "n bigint")
+        self.held = handle.getValueState("held", "admitted array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            pdf.columns = [*self.kept, "_us"]  # names that are no identifiers come in changed
+            for slot, part in pdf.groupby(pdf["_us"] // self.slot, sort=True):
+                slot = int(slot)
+                n = int(self.counts.getValue((slot,))[0]) if self.counts.containsKey((slot,)) else 0
+                if n == 0:
+                    self.handle.registerTimer(-(-(slot + 1) * self.slot // 1000))
+                self.pieces.updateValue((slot, n), (_packed(part),))
+                self.counts.updateValue((slot,), (n + 1,))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = sorted(k[0] for k in self.counts.keys())
+        held = list(self.held.get()[0]) if self.held.exists() else []
+        for slot in (s for s in waiting if (s + 1) * self.slot <= now):
+            n = int(self.counts.getValue((slot,))[0])
+            loaded = [_unpacked(self.pieces.getValue((slot, k))[0])[["_us", self.order]] for k in range(n)]
+            ends = np.cumsum([len(x) for x in loaded])
+            times = pd.concat(loaded, ignore_index=True)
+            at = np.lexsort((times[self.order].to_numpy(), times["_us"].to_numpy()))
+            allowed, wait = np.empty(len(at), bool), np.empty(len(at), np.int64)
+            allowed[at], wait[at], held = decide(times["_us"].to_numpy(np.int64)[at], self.limit, self.window, held)
+            for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+                rows = _unpacked(self.pieces.getValue((slot, k))[0])[self.kept]
+                yield rows.assign(allowed=allowed[a:b], retry_after=wait[a:b])
+                self.pieces.removeKey((slot, k))
+            self.counts.removeKey((slot,))
+        # Admissions matter to what still waits, and to what may still come.
+        left = [s * self.slot for s in waiting if (s + 1) * self.slot > now]
+        if held and held[-1] + self.window > min([now, *left]):
+            self.held.update((held,))
+            if not left:
+                self.handle.registerTimer(-(-(held[-1] + self.window) // 1000))
+        elif self.held.exists():
+            self.held.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
 def rate_limit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int = UPLOAD_LIMIT,
                       window: int = WINDOW_SECONDS) -> DataFrame:
-    """The same decision on a stream, with every column of the attempts; state per key is its last ``limit`` admissions.
+    """The same decision on a stream, with every column of the attempts, once the watermark has passed them.
 
-    ``events`` needs a watermark on ``ts``: a key whose last attempt left the window is dropped from state. A
-    micro-batch of one key is sorted in memory, so the source's rate option bounds a task.
+    ``events`` needs a watermark on ``ts``. Attempts within it may come in any order and any micro-batch: they are decided in
+    time order, as the batch form does. State needs the RocksDB provider, which is set for the session.
     """
-    win = window * MICROS
-    kept = events.columns
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["_us", order], kind="stable")
-        us = pdf["_us"].to_numpy(np.int64)
-        allowed, wait, held = decide(us, limit, win, list(state.get[0]) if state.exists else [])
-        state.update((held,))
-        state.setTimeoutTimestamp(max((int(us[-1]) + win) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pdf[kept].assign(allowed=allowed, retry_after=wait)
-
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    return events.withColumn("_us", micros(ts)).groupBy(key).applyInPandasWithState(
-        step, f"{fields}, allowed boolean, retry_after bigint", "admitted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = events.withColumn("_us", micros(ts))
+    return keyed.groupBy(key).transformWithStateInPandas(
+        SlotLimiter(order, events.columns, limit, window * MICROS), f"{fields}, allowed boolean, retry_after bigint", "append", "eventtime")
 
 
 def attempt_rate(events: DataFrame, key: str, ts: str, window: int = WINDOW_SECONDS) -> DataFrame:

@@ -8,6 +8,7 @@ from shiftledger import dims
 from shiftledger.operators.rules import validate
 from shiftledger.sources import grid as G
 from shiftledger.sources import sinks
+from shiftledger.streaming.arrival import ingest_files
 
 HEAD = "Station/Designation,Employee Status,ID NO.,Operator's Name:,Mon,Tue,Wed,Thu,Fri,Sat,Sun,SPACER,Mon,Tue,Wed,Thu,Fri,Sat,Sun"
 
@@ -157,3 +158,24 @@ def test_a_large_file_is_parsed_by_several_tasks_without_python(spark, tmp_path)
         assert roster.agg({"row_idx": "max"}).first()[0] == 40_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_files_arrive_in_batches_with_a_restart_between(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    write(src, "a.csv", HEAD + "\n" + line("Ana") + "\n" + line("Bea", "A " * 13 + "A") + "\n")
+    write(src, "b.csv", "a,b\n1,2\n")
+    write(src, "c.xlsx", "not a workbook")
+    accepted, rejected = ingest_files(spark, str(src), out, files_per_batch=2)
+    first = sorted((r.name, r.Status) for r in accepted.collect())
+    assert first == [("Ana", "Valid"), ("Bea", "Invalid")]
+    assert {r.file.rsplit("/", 1)[-1]: r.reason for r in rejected.collect()} == {"b.csv": G.NO_DAYS, "c.xlsx": G.BAD_XLSX}
+    # The last batch fails after it has written: its commit is lost, and so it runs again.
+    commits = sorted((tmp_path / "out" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        p.unlink(missing_ok=True)
+    write(src, "d.csv", HEAD + "\n" + line("Cid") + "\n")
+    accepted, rejected = ingest_files(spark, str(src), out, files_per_batch=2)
+    assert sorted(r.name for r in accepted.collect()) == ["Ana", "Bea", "Cid"] and rejected.count() == 2
+    again, _ = ingest_files(spark, str(src), out)
+    assert again.count() == 3

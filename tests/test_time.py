@@ -39,10 +39,35 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     want = brute_limit(rows, 3, 60_000_000)
     got = {r.event_id: (r.allowed, r.retry_after) for r in TL.rate_limit(df, "user_id", "ts", "event_id", 3, 60).collect()}
     assert got == want
-    df.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour").select("event_id", "user_id", "ts")
-    streamed = TV.run_to_table(TL.rate_limit_stream(stream, "user_id", "ts", "event_id", 3, 60), "t").collect()
-    assert {r.event_id: (r.allowed, r.retry_after) for r in streamed} == want
+    # Late and early rows in three micro-batches, all within the watermark.
+    df.orderBy(F.rand(1)).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).select("event_id", "user_id", "ts")
+    build = lambda x: TL.rate_limit_stream(x.withWatermark("ts", "30 days"), "user_id", "ts", "event_id", 3, 60)
+    streamed = TV.drain_to_table(stream, build, {"ts": "2200-01-01"}, "t").collect()
+    assert {r.event_id: (r.allowed, r.retry_after) for r in streamed} == want and len(streamed) == len(rows)
+
+
+def test_admissions_outlive_the_slot_they_were_made_in(spark, tmp_path):
+    """Attempts shortly before and after the border of two slots, in an order that splits them over micro-batches."""
+    rows = [(i, "k", 60_000_000 * 10 + t * 1_000_000) for i, t in enumerate([50, 55, 58, 61, 70, 109, 111, 114, 118, 119, 170, 171, 400])]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_micros("us"))
+    df.orderBy(F.desc("us")).repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).select("event_id", "user_id", "ts")
+    build = lambda x: TL.rate_limit_stream(x.withWatermark("ts", "1 day"), "user_id", "ts", "event_id", 2, 60)
+    got = TV.drain_to_table(stream, build, {"ts": "2200-01-01"}, "b").collect()
+    assert {r.event_id: (r.allowed, r.retry_after) for r in got} == brute_limit(rows, 2, 60_000_000)
+
+
+def test_a_million_attempts_of_one_key_in_one_micro_batch(spark, tmp_path):
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.lit("hot").alias("user_id"), F.timestamp_millis(F.col("id") + 60_000_000_000).alias("ts"))
+    df.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    build = lambda x: TL.rate_limit_stream(x.withWatermark("ts", "1 minute"), "user_id", "ts", "event_id", 5, 60)
+    got = TV.drain_to_table(stream, build, {"ts": "2200-01-01"}, "m")
+    assert got.count() == n
+    allowed = {r.event_id for r in got.filter("allowed").collect()}
+    assert allowed == {60_000 * k + j for k in range(17) for j in range(5) if 60_000 * k + j < n}
 
 
 def test_decide_jumps_over_a_million_attempts():
