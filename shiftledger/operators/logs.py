@@ -150,12 +150,18 @@ def parse_audit(records: DataFrame) -> DataFrame:
     })
 
 
-def summarize_save(thresholds: Column, keys: Column, prev: Column) -> Column:
+#: A literal that is neither a list nor None.
+OTHER_LITERAL = r"^\s*(\{.*\}|\(.*\)|-?\d+(\.\d+)?|True|False|'[^']*'|\"[^\"]*\")\s*$"
+
+
+def summarize_save(thresholds: Column, keys: Column, prev: Column, other: Column | None = None) -> Column:
     """struct(summary, detail) of one save.
 
     ``thresholds`` is a map, ``keys`` the saved rule keys (null = code defaults), ``prev`` the previous snapshot
-    as struct(keys): a null struct means none is in view, null keys mean code defaults.
+    as struct(keys): a null struct means none is in view, null keys mean code defaults. ``other`` says that a value was
+    saved that is no list: nothing is said of rules then.
     """
+    other = F.lit(False) if other is None else other
     has_thresholds = thresholds.isNotNull() & (F.size(thresholds) > 0)
     values = F.array_join(F.transform(F.map_entries(thresholds), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
     count, names = F.size(keys).cast("string"), F.array_join(X.rule_names(keys), ", ")
@@ -172,7 +178,7 @@ def summarize_save(thresholds: Column, keys: Column, prev: Column) -> Column:
     summary = F.concat_ws(
         " · ",
         F.when(has_thresholds, "Thresholds updated"),
-        F.when(keys.isNull(), "Active rules set to code defaults"),
+        F.when(keys.isNull() & ~other, "Active rules set to code defaults"),
         F.when(absolute & prev.isNull(), F.concat(F.lit("Pinned set: "), count, F.lit(" active rule(s)"))),
         F.when(absolute & prev.isNotNull(), F.concat(F.lit("Pinned "), count, F.lit(" active rule(s)"))),
         F.when(some_added, F.concat(F.lit("Pinned "), n(added), F.lit(" rule(s)"))),
@@ -186,6 +192,7 @@ def summarize_save(thresholds: Column, keys: Column, prev: Column) -> Column:
         F.when(some_added, F.concat(F.lit("added: "), F.array_join(X.rule_names(added), ", "))),
         F.when(some_removed, F.concat(F.lit("removed: "), F.array_join(X.rule_names(removed), ", "))),
     )
+    summary = F.when(summary == "", "Defaults saved").otherwise(summary)
     return F.struct(summary.alias("summary"), detail.alias("detail"))
 
 
@@ -212,7 +219,8 @@ def change_feed(records: DataFrame, action: str = "ALL", across_archives: bool =
         changes = carry(changes, ["_stream"], [F.col("_date"), line], ["_date", "line_no"], snapshot, "_prev")
     else:
         changes = carry(changes, ["file"], [line], ["line_no"], snapshot, "_prev")
-    save = summarize_save(F.col("_thresholds"), F.col("_keys"), F.col("_prev"))
+    other = F.coalesce(F.col("active_rule_keys").rlike(OTHER_LITERAL), F.lit(False))
+    save = summarize_save(F.col("_thresholds"), F.col("_keys"), F.col("_prev"), other)
 
     def text(for_save: Column, for_reset: str, failed_save: Column, failed_reset: Column) -> Column:
         return (F.when(saved, for_save).when(reset, for_reset)

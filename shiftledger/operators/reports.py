@@ -2,10 +2,15 @@
 
 Every aggregate combines map-side; the flags are read instead of the messages, so no message is built
 for a count. Small report tables are ordered; detail tables are left unordered for the writer.
+
+Reports take ``by``, the columns that tell rosters apart: with ``roster_id`` each roster has its own report, as an upload has;
+without it one report covers all rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +20,9 @@ from shiftledger.functions import numbers as N
 from shiftledger.functions import roster as R
 from shiftledger.functions.text import failed_weeks
 from shiftledger.operators.ordering import number_rows, ordinal_bucket
-from shiftledger.operators.roster import long_form
+from shiftledger.operators.roster import drop_blank_names, long_form
+from shiftledger.operators.rules import REGISTRY, registered_names, validate
+from shiftledger.shared import written
 
 
 def _valid() -> Column:
@@ -38,97 +45,121 @@ def compliance_kpis(results: DataFrame, *by: str) -> DataFrame:
         rate.alias("rate"), (100 - rate).alias("gap"))
 
 
-def overtime_summary(results: DataFrame, weeks: list[str] | None = None) -> DataFrame:
+def overtime_summary(results: DataFrame, weeks: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     weeks = ["A", "B"] if weeks is None else weeks
-    agg = results.agg(_count("employees"), _sum("ot_a", "a"), _sum("ot_b", "b"))
+    agg = results.groupBy(*by).agg(_count("employees"), _sum("ot_a", "a"), _sum("ot_b", "b"))
     a = F.col("a") if "A" in weeks else F.lit(0).cast("bigint")
     b = F.col("b") if "B" in weeks else F.lit(0).cast("bigint")
     return agg.select(
-        "employees", a.alias("ot_a"), b.alias("ot_b"), (a + b).alias("ot_total"),
+        *by, "employees", a.alias("ot_a"), b.alias("ot_b"), (a + b).alias("ot_total"),
         N.mean_tenths(a, F.col("employees")).alias("avg_ot_a"), N.mean_tenths(b, F.col("employees")).alias("avg_ot_b"),
         N.mean_tenths(a + b, F.col("employees")).alias("avg_ot"))
 
 
-def _by(results: DataFrame, column: str, *more: Column) -> DataFrame:
-    return results.groupBy(column).agg(_count(), _valid(), *more).withColumns({
+def _by(results: DataFrame, column: str, by: tuple[str, ...], *more: Column) -> DataFrame:
+    return results.groupBy(*by, column).agg(_count(), _valid(), *more).withColumns({
         "invalid": F.col("headcount") - F.col("valid"),
         "compliance": N.percent_tenths(F.col("valid"), F.col("headcount")),
-    }).orderBy(F.col("headcount").desc(), F.col(column))
+    }).orderBy(*by, F.col("headcount").desc(), F.col(column))
+
+
+def matrix_distribution(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return _by(results, "matrix", by)
 
 
-def matrix_distribution(results: DataFrame) -> DataFrame:
-    return _by(results, "matrix")
+def _with_overtime() -> Column:
+    return F.concat(F.col("compliance"), F.lit(" · "), F.col("ot").cast("string"), F.lit("h OT"))
 
 
-def coverage_by_station(results: DataFrame) -> DataFrame:
-    out = _by(results, "station", _sum("ot_total", "ot"))
-    return out.withColumn("compliance_ot", F.concat(
-        F.col("compliance"), F.lit(" · "), F.col("ot").cast("string"), F.lit("h OT")))
+def coverage_by_station(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return _by(results, "station", by, _sum("ot_total", "ot")).withColumn("compliance_ot", _with_overtime())
 
 
-def status_summary(results: DataFrame) -> DataFrame:
+def status_summary(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     status = R.strip(F.coalesce(F.col("emp_status"), F.lit("")))
     status = F.when(status == "", "Unspecified").otherwise(status)
-    return results.groupBy(status.alias("emp_status")).agg(_count("total"), _valid(), _sum("ot_total", "ot")).select(
-        "emp_status", "total", "valid", (F.col("total") - F.col("valid")).alias("invalid"),
-        N.percent_whole(F.col("valid"), F.col("total")).alias("pass_rate"), "ot").orderBy("emp_status")
+    return results.groupBy(*by, status.alias("emp_status")).agg(_count("total"), _valid(), _sum("ot_total", "ot")).select(
+        *by, "emp_status", "total", "valid", (F.col("total") - F.col("valid")).alias("invalid"),
+        N.percent_whole(F.col("valid"), F.col("total")).alias("pass_rate"), "ot").orderBy(*by, "emp_status")
 
 
 def _active(results: DataFrame) -> list[str]:
     return [c[3:] for c in results.columns if c.startswith("ok_")]
 
 
-def top_violations(results: DataFrame) -> DataFrame:
+def _rule_name(key: str) -> str:
+    return REGISTRY[key][0] if key in REGISTRY else dims.RULE_NAMES.get(key, key)
+
+
+def _failures(results: DataFrame) -> list[Column]:
+    """Failing employees of each active rule."""
+    return [F.count_if(~F.col(f"ok_{k}")).alias(f"failed_{k}") for k in _active(results)]
+
+
+def _rule_rows(keys: list[str]) -> Column:
+    """An array of (ord, rule, failed), from counts by `_failures`."""
+    if not keys:
+        return F.expr("cast(array() as array<struct<ord:int,rule:string,failed:bigint>>)")
+    return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(_rule_name(k)).alias("rule"), F.col(f"failed_{k}").alias("failed"))
+                     for i, k in enumerate(keys)])
+
+
+def top_violations(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Failing employees per rule, most first; ties keep registry order."""
-    keys = _active(results)
-    counts = results.agg(_count("total"), *[F.count_if(~F.col(f"ok_{k}")).alias(k) for k in keys])
-    rows = F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(dims.RULE_NAMES.get(k, k)).alias("rule"), F.col(k).alias("failed"))
-        for i, k in enumerate(keys)]))
-    return counts.select("total", rows).filter("failed > 0").select(
-        "rule", "failed", N.percent_tenths(F.col("failed"), F.col("total")).alias("rate"), "ord",
-    ).orderBy(F.col("failed").desc(), "ord")
+    counts = results.groupBy(*by).agg(_count("total"), *_failures(results))
+    return counts.select(*by, "total", F.inline(_rule_rows(_active(results)))).filter("failed > 0").select(
+        *by, "rule", "failed", N.percent_tenths(F.col("failed"), F.col("total")).alias("rate"), "ord",
+    ).orderBy(*by, F.col("failed").desc(), "ord")
 
 
-def headcount_pivot(results: DataFrame, days: list[int] | None = None) -> DataFrame:
+def headcount_pivot(results: DataFrame, days: list[int] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Shift x day counts with a TOTAL row; blanks excluded."""
     days = list(range(14)) if days is None else days
-    counts = long_form(results).filter((F.col("code") != "") & F.col("day_idx").isin(*days)).groupBy(
-        "code", "day_idx").agg(_count("n"))
+    counts = long_form(results, *by).filter((F.col("code") != "") & F.col("day_idx").isin(*days)).groupBy(
+        *by, "code", "day_idx").agg(_count("n"))
     cells = {dims.DAYS[d]: F.coalesce(F.sum(F.when(F.col("day_idx") == d, F.col("n"))), F.lit(0)) for d in days}
-    grouped = counts.rollup("code").agg(F.grouping("code").alias("_g"), *[c.alias(k) for k, c in cells.items()])
+    sums = [c.alias(k) for k, c in cells.items()]
+    if by:
+        grouped = counts.groupingSets([[F.col(c) for c in (*by, "code")], [F.col(c) for c in by]], *by, "code")
+    else:
+        grouped = counts.rollup("code")
+    grouped = grouped.agg(F.grouping("code").alias("_g"), *sums)
     shift = F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col("code"))
-    return grouped.orderBy("_g", R.shift_order(F.col("code")), "code").select(shift.alias("shift"), *cells)
+    return grouped.orderBy(*by, "_g", R.shift_order(F.col("code")), "code").select(*by, shift.alias("shift"), *cells)
 
 
-def headcount_long(results: DataFrame) -> DataFrame:
+def headcount_long(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Day, shift, headcount and shift hours, in day and shift order."""
-    counts = long_form(results).filter("code <> ''").groupBy("day_idx", "code").agg(_count())
-    return counts.orderBy("day_idx", R.shift_order(F.col("code")), "code").select(
-        "day_idx", R.day_key(F.col("day_idx")).alias("day"), F.col("code").alias("shift"), "headcount",
+    counts = long_form(results, *by).filter("code <> ''").groupBy(*by, "day_idx", "code").agg(_count())
+    return counts.orderBy(*by, "day_idx", R.shift_order(F.col("code")), "code").select(
+        *by, "day_idx", R.day_key(F.col("day_idx")).alias("day"), F.col("code").alias("shift"), "headcount",
         R.shift_window_label(F.col("code")).alias("shift_hours"))
 
 
-def summary_kpis(results: DataFrame, label_a: str = "Week A", label_b: str = "Week B") -> DataFrame:
-    """(ordinal, metric, value) text rows."""
-    agg = results.agg(_count("n"), _valid(), _sum("ot_a", "a"), _sum("ot_b", "b"))
+def _metrics(label_a: str, label_b: str) -> list[tuple[str, Column]]:
+    """Names and texts of the summary, from n, valid, a and b."""
     n, v, a, b = F.col("n"), F.col("valid"), F.col("a"), F.col("b")
 
     def hours(c: Column) -> Column:
         return F.concat(c.cast("string"), F.lit("h"))
     average = F.when(n == 0, "0h").otherwise(hours(N.mean_tenths(a + b, n)))
-    metrics = [
+    return [
         ("Total Headcount", n.cast("string")), ("Valid Schedules", v.cast("string")),
         ("Invalid Schedules", (n - v).cast("string")), ("Compliance Rate", N.percent_tenths(v, n)),
         (f"{label_a} — Total OT Hours", hours(a)), (f"{label_b} — Total OT Hours", hours(b)),
         ("14-Day Total OT Hours", hours(a + b)), ("Average OT / Employee", average),
     ]
-    return agg.select(F.inline(F.array(*[
+
+
+def summary_kpis(results: DataFrame, label_a: str = "Week A", label_b: str = "Week B", by: tuple[str, ...] = ()) -> DataFrame:
+    """(ordinal, metric, value) text rows."""
+    agg = results.groupBy(*by).agg(_count("n"), _valid(), _sum("ot_a", "a"), _sum("ot_b", "b"))
+    return agg.select(*by, F.inline(F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(m).alias("metric"), c.alias("value"))
-        for i, (m, c) in enumerate(metrics)])))
+        for i, (m, c) in enumerate(_metrics(label_a, label_b))])))
 
 
-def export_header(results: DataFrame, period: DataFrame, *by: str) -> DataFrame:
+def export_header(results: DataFrame, period: DataFrame) -> DataFrame:
     """One header line per roster: labels with date ranges, employees, overtime.
 
     ``period`` holds (roster_id, week, label, start_date).
@@ -160,7 +191,7 @@ def explode_violations(results: DataFrame) -> DataFrame:
     ]
     others = [k for k in _active(results) if k not in ("max_day", "shift_gap")]
     parts.append(F.array_compact(F.array(*[
-        F.when(~F.col(f"ok_{k}"), one(dims.RULE_NAMES.get(k, k),
+        F.when(~F.col(f"ok_{k}"), one(_rule_name(k),
                                       F.replace(F.col(f"msg_{k}"), F.lit(dims.FAIL_MARK), F.lit(""))))
         for k in others])) if others else F.array().cast(record))
     rds = F.length("sig") - F.length(F.replace(F.col("sig"), F.lit("R"), F.lit("")))
@@ -170,12 +201,15 @@ def explode_violations(results: DataFrame) -> DataFrame:
     ).select("roster_id", "row_idx", "ord", "id_no", "name", "station", "matrix", "v.type", "v.details")
 
 
-def violation_type_counts(violations: DataFrame, n: int = 4) -> DataFrame:
+def violation_type_counts(violations: DataFrame, n: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct employees (id, else name) per violation type; the top ``n``."""
     who = F.coalesce(F.nullif(F.col("id_no"), F.lit("")), F.col("name"))
     order = R.lookup({name: i for i, (_, name) in enumerate(dims.RULES)}, F.col("type"))
-    return violations.groupBy("type").agg(F.countDistinct(who).alias("employees")).orderBy(
-        F.col("employees").desc(), order).limit(n)
+    counts = violations.groupBy(*by, "type").agg(F.countDistinct(who).alias("employees"))
+    if not by:
+        return counts.orderBy(F.col("employees").desc(), order).limit(n)
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.col("employees").desc(), order))
+    return counts.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
 def group_violations(violations: DataFrame, label_a: str = "Week A", label_b: str = "Week B") -> DataFrame:
@@ -209,10 +243,63 @@ def group_violations(violations: DataFrame, label_a: str = "Week A", label_b: st
     }).drop("types")
 
 
+CARD = ["roster_id", "id_no", "name"]
+
+
+def violation_cards(violations: DataFrame, label_a: str = "Week A", label_b: str = "Week B") -> DataFrame:
+    """One card per (roster, id, name) without its details: one combined aggregation, whose state has a fixed size.
+
+    For each rule it keeps where the employee first broke it; so neither the details of an employee nor those of a key shared by very
+    many rows (ids left ``Unspecified``) ever meet. `card_page` adds the texts of the cards that are shown.
+    """
+    names = list(dict.fromkeys([*dims.RULE_NAMES.values(), *registered_names()]))
+    place = F.struct("row_idx", "ord")
+    firsts = [F.min(F.when(F.col("type") == n, place)).alias(f"at_{i}") for i, n in enumerate(names)]
+    weeks = [F.max(F.col("details").contains(w)).alias(c) for w, c in (("Wk A", "in_a"), ("Wk B", "in_b"))]
+    base = F.min(F.struct("row_idx", "ord", "station", "matrix")).alias("base")
+    cards = violations.groupBy(*CARD).agg(base, *weeks, *firsts)
+    found = F.array(*[F.when(F.col(f"at_{i}").isNotNull(), F.struct(F.col(f"at_{i}").alias("at"), F.lit(n).alias("type"))) for i, n in enumerate(names)])
+    cards = cards.withColumn("types", F.transform(F.array_sort(F.array_compact(found)), lambda x: x["type"]))
+    structural = F.size(F.array_intersect("types", F.array(*[F.lit(r) for r in dims.STRUCTURAL_RULES])))
+    blamed = F.when(F.col("in_a") & ~F.col("in_b"), label_a).when(F.col("in_b") & ~F.col("in_a"), label_b)
+    return cards.select(
+        *CARD, "base.station", "base.matrix", "base.row_idx", F.array_join("types", ", ").alias("rules"), F.size("types").alias("n_violations"),
+        structural.alias("structural"), F.when(structural > 0, "invalid").otherwise("warning").alias("severity"),
+        F.coalesce(blamed, F.lit(f"{label_a} & {label_b}")).alias("failed_weeks"))
+
+
+def search_cards(cards: DataFrame, violations: DataFrame, q: str) -> DataFrame:
+    """Cards that have ``q`` in their fields or in one of their details; details are searched where they are, row by row."""
+    q = q.strip().lower()
+    if not q:
+        return cards
+    rows = violations.filter(F.lower(F.concat(F.lit("["), "type", F.lit("] "), "details")).contains(q)).select(*CARD).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"c.{c}").eqNullSafe(F.col(f"v.{c}")) for c in CARD])
+    fields = F.lower(F.concat_ws(" ", "c.id_no", "c.name", "c.station", "c.matrix", "c.rules"))
+    found = cards.alias("c").join(rows.select(*CARD, F.lit(True).alias("_hit")).alias("v"), same, "left")
+    return found.filter(F.col("_hit") | fields.contains(q)).select("c.*")
+
+
+def card_page(ranked: DataFrame, violations: DataFrame, number: int, size: int = 25) -> DataFrame:
+    """The cards of ranks on one page of each roster, with the text of their distinct details in order."""
+    shown = ranked.filter((F.col("rank") > (number - 1) * size) & (F.col("rank") <= number * size))
+    same = reduce(lambda a, b: a & b, [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in CARD])
+    rows = violations.alias("v").join(shown.select(*CARD).alias("s"), same, "left_semi")
+    distinct = rows.groupBy(*CARD, "type", "details").agg(F.min(F.struct("row_idx", "ord")).alias("at"))
+    items = F.array_sort(F.collect_list(F.struct("at", "type", "details")))
+    text = F.array_join(F.transform(items, lambda i: F.concat(F.lit("["), i["type"], F.lit("] "), i["details"])), "  |  ")
+    texts = distinct.groupBy(*CARD).agg(text.alias("details"))
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in CARD])
+    return shown.alias("s").join(texts.alias("t"), same).select("s.*", "t.details")
+
+
 def rank_violations(cards: DataFrame) -> DataFrame:
-    """Rank inside each roster: structural breaches, then number of rules, then input order."""
+    """Rank inside each roster: structural breaches, then number of rules, then input order.
+
+    Cards are written once, as the counts of their buckets and the cards themselves are both read.
+    """
     return number_rows(
-        cards, ["roster_id"], [("structural", "desc"), ("n_violations", "desc")],
+        written(cards, "cards"), ["roster_id"], [("structural", "desc"), ("n_violations", "desc")],
         ordinal_bucket(F.col("row_idx")), ["row_idx", "id_no", "name"], "rank")
 
 
@@ -227,6 +314,26 @@ def observe_metrics(results: DataFrame, name: str) -> tuple[DataFrame, Observati
     return out, seen
 
 
+def run_metrics(roster: DataFrame, path: str, policy: dict | None = None, active: list[str] | None = None) -> DataFrame:
+    """Validate ``roster`` into a table at ``path``; (metric, value) of what that one run saw.
+
+    Rows without a name are dropped and counted. All numbers are observed while the table is written, with no job of their own.
+    """
+    read, named, done = (Observation() for _ in range(3))
+    rows = roster.observe(read, _count("rows"), F.count_if(F.size("codes") != 14).alias("odd_lengths"))
+    kept = drop_blank_names(rows).observe(named, _count("employees"))
+    results = validate(kept, policy, active)
+    results = results.observe(done, F.count_if("_pass").alias("passed"), _sum("ot_total", "overtime_hours"),
+                              *[F.count_if(~F.col(f"ok_{k}")).alias(f"failed_{k}") for k in _active(results)])
+    results.write.parquet(path)
+    seen = read.get | named.get | done.get
+    total = max(1, seen["employees"])
+    values = {"rows": seen["rows"], "blank_names": seen["rows"] - seen["employees"], "employees": seen["employees"], "odd_lengths": seen["odd_lengths"],
+              "passed": seen["passed"], "pass_rate": 100 * seen["passed"] // total, "overtime_hours": seen["overtime_hours"]}
+    values |= {k: v for k, v in seen.items() if k.startswith("failed_")}
+    return roster.sparkSession.createDataFrame(list(values.items()), "metric string, value bigint")
+
+
 def export_gate(results: DataFrame) -> DataFrame:
     """Rows of rosters whose truncated compliance rate is 100; others are locked."""
     open_ = compliance_kpis(results, "roster_id").filter("rate = 100").select("roster_id")
@@ -234,35 +341,41 @@ def export_gate(results: DataFrame) -> DataFrame:
 
 
 def export_summary(results: DataFrame, label_a: str = "Week A", label_b: str = "Week B",
-                   start_a: str | None = None, start_b: str | None = None) -> DataFrame:
-    """The summary sheet as (section, ordinal, c1..c4) text rows.
+                   start_a: str | None = None, start_b: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The summary sheet as (section, ordinal, c1..c4) text rows, one sheet for each value of ``by``.
 
-    Ordinals are numbered over the aggregated sections (one row per pattern, station, rule or day and
-    code), never over results. Write ``results`` to a table first: each section reads it once.
+    ``results`` is read twice: once for the counts by pattern, by station and of all rows together, as grouping sets,
+    and once for the days. Ordinals are numbered over the aggregated rows, never over results.
     """
-    def section(title: str, df: DataFrame, order: list, cols: list[Column]) -> DataFrame:
-        ordinal = F.row_number().over(W.orderBy(*order))
-        return df.select(F.lit(title).alias("section"), ordinal.cast("bigint").alias("ordinal"), *[
-            c.cast("string").alias(f"c{i}") for i, c in enumerate(cols, 1)])
-    blank, desc = F.lit(""), F.col("headcount").desc()
+    groups = [[F.col(c) for c in (*by, *more)] for more in (["matrix"], ["station"], [])]
+    counted = results.groupingSets(groups, *by, "matrix", "station").agg(
+        F.grouping("matrix").alias("g_matrix"), F.grouping("station").alias("g_station"), _count("n"), _valid(),
+        _sum("ot_a", "a"), _sum("ot_b", "b"), _sum("ot_total", "ot"), *_failures(results))
+
+    def line(section: str, first: Column, second: Column, *cells: Column) -> Column:
+        """A row, which comes by ``first``, then ``second``, in its section."""
+        texts = [c.cast("string").alias(f"c{i}") for i, c in enumerate(cells, 1)]
+        return F.struct(F.lit(section).alias("section"), first.cast("bigint").alias("o1"), second.cast("string").alias("o2"), *texts)
+    blank, n = F.lit(""), F.col("n")
+    share = N.percent_tenths(F.col("valid"), n)
+    kpis = F.array(*[line("kpi", F.lit(i), blank, F.lit(m), c, blank, blank) for i, (m, c) in enumerate(_metrics(label_a, label_b))])
+    failed = F.transform(F.filter(_rule_rows(_active(results)), lambda r: r["failed"] > 0), lambda r: line(
+        "violations", -r["failed"], F.lpad(r["ord"].cast("string"), 3, "0"), r["rule"], r["failed"], N.percent_tenths(r["failed"], n), blank))
+    clean = F.array(line("violations", F.lit(0), blank, F.lit("All employees pass every active rule."), blank, blank, blank))
+    overall = F.concat(kpis, F.when(n == F.col("valid"), clean).otherwise(failed))
+    pattern = F.array(line("matrix", -n, F.col("matrix"), F.col("matrix"), n, F.col("valid"), share))
+    station = F.array(line("station", -n, F.col("station"), F.col("station"), n, F.col("valid"),
+                           F.concat(share, F.lit(" · "), F.col("ot").cast("string"), F.lit("h OT"))))
+    rows = counted.select(*by, F.inline(
+        F.when(F.col("g_matrix") == 0, pattern).when(F.col("g_station") == 0, station).otherwise(overall)))
+
     first_week = F.col("day_idx") < 7
     label = F.when(first_week, label_a).otherwise(label_b)
     start = F.when(first_week, F.lit(start_a).cast("date")).otherwise(F.lit(start_b).cast("date"))
-    none_failed = compliance_kpis(results).filter("invalid = 0").select(
-        F.lit("violations").alias("section"), F.lit(1).cast("bigint").alias("ordinal"),
-        F.lit("All employees pass every active rule.").alias("c1"), *[blank.alias(f"c{i}") for i in (2, 3, 4)])
-    return (
-        section("kpi", summary_kpis(results, label_a, label_b), ["ordinal"],
-                [F.col("metric"), F.col("value"), blank, blank])
-        .unionByName(section("matrix", matrix_distribution(results), [desc, "matrix"],
-                             [F.col("matrix"), F.col("headcount"), F.col("valid"), F.col("compliance")]))
-        .unionByName(section("station", coverage_by_station(results), [desc, "station"],
-                             [F.col("station"), F.col("headcount"), F.col("valid"), F.col("compliance_ot")]))
-        .unionByName(section("violations", top_violations(results), [F.col("failed").desc(), "ord"],
-                             [F.col("rule"), F.col("failed"), F.col("rate"), blank]))
-        .unionByName(none_failed)
-        .unionByName(section("headcount", headcount_long(results),
-                             ["day_idx", R.shift_order(F.col("shift")), "shift"],
-                             [R.day_label(F.col("day"), label, start), F.col("shift"), F.col("headcount"),
-                              F.col("shift_hours")]))
-    )
+    counts = long_form(results, *by).filter("code <> ''").groupBy(*by, "day_idx", "code").agg(_count())
+    code = F.col("code")
+    days = counts.select(*by, F.inline(F.array(line(
+        "headcount", F.col("day_idx") * 1000 + R.shift_order(code), code, R.day_label(R.day_key(F.col("day_idx")), label, start),
+        code, F.col("headcount"), R.shift_window_label(code)))))
+    ordinal = F.row_number().over(W.partitionBy(*by, "section").orderBy("o1", "o2"))
+    return rows.unionByName(days).select(*by, "section", ordinal.cast("bigint").alias("ordinal"), "c1", "c2", "c3", "c4")

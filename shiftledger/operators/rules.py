@@ -193,6 +193,38 @@ def register_rule(key: str, name: str, fn: RuleFunction) -> None:
     REGISTRY[key] = (name, fn)
 
 
+@dataclass(frozen=True)
+class ArrowRule:
+    """A rule in Python: a vectorised UDF over ``columns`` that returns struct<passed boolean, message string>."""
+
+    udf: Callable[..., Column]
+    columns: tuple[str, ...]
+
+
+ARROW_RULES: dict[str, ArrowRule] = {}
+
+
+def register_arrow_rule(key: str, name: str, udf: Callable[..., Column], *columns: str) -> None:
+    """Add a user rule that SQL cannot express, as an Arrow or pandas UDF over roster columns and columns of ``features``.
+
+    It stands beside the native rules, which stay compiled: one Arrow exchange hands it only its columns, and only where it is active. A
+    null answer passes. The message of a row that passes is not looked at.
+    """
+    ARROW_RULES[key] = ArrowRule(udf, columns)
+    passed = f"coalesce(_arrow_{key}.passed, true)"
+    REGISTRY[key] = (name, lambda p: Rule(passed, _verdict(passed, f"coalesce(_arrow_{key}.message, '')")))
+
+
+def unregister_rule(key: str) -> None:
+    """Take a user rule out again."""
+    REGISTRY.pop(key, None)
+    ARROW_RULES.pop(key, None)
+
+
+def registered_names() -> list[str]:
+    return [name for name, _ in REGISTRY.values()]
+
+
 def active_rules(keys: list[str] | None) -> list[str]:
     """None = every rule; a list is cut to registered keys and put into registry order."""
     return [k for k in REGISTRY if keys is None or k in keys]
@@ -266,6 +298,7 @@ def validate(roster: DataFrame, policy: dict | None = None, active: list[str] |
     """
     keys = active_rules(active)
     df = features(roster)
+    df = df.withColumns({f"_arrow_{k}": ARROW_RULES[k].udf(*ARROW_RULES[k].columns) for k in keys if k in ARROW_RULES})
     per_row = "policy_active_rule_keys" in df.columns
     rules = {k: REGISTRY[k][1](_policy(df, policy)) for k in keys}
 

@@ -139,8 +139,8 @@ LINES_SQL = Q.log_lines()
 @query("scan_logs", LINES_SQL + """
     select file, line_no, value, 'app' stream, substr(file, 9) date_label from lines""")
 def scan_logs(spark, sf):
-    lines = D.log_synth(spark, sf)
-    return SL.allowed_lines(lines)
+    folder = D.log_folder(spark, D.log_synth(spark, sf))
+    return SL.scan_logs(spark, folder, name=D.FILE_NAME).drop("path")
 
 
 @query("list_archives", LINES_SQL + """
@@ -927,6 +927,177 @@ def export_summary(spark, sf):
     return A.export_summary(_results(spark, sf))
 
 
+def _csv_files(spark, path):
+    """(file, row_idx, cells) of exported files, read as uploads are."""
+    return G.records(G.read_text(spark, path))
+
+
+ROSTER_OF = "cast(regexp_extract(file, '/roster_id=([0-9]+)/', 1) as bigint)"
+
+
+@query("export_schedule_files", PERIOD + f""", ro as ({Q.roster()}), st as (select roster_id, max(start_date) filter (week = 'A') a, max(start_date) filter (week = 'B') b from pe group by 1),
+    h as (select roster_id, list_concat(['Station/Designation', 'Employee Status', 'ID NO.', 'Operator''s Name:'],
+      list_transform(range(7), lambda i: case when a is null then {dims.WEEKDAYS}[i + 1] else concat({dims.WEEKDAYS}[i + 1], chr(10), month(cast(date_trunc('week', a) as date) + cast(i as int)), '/', day(cast(date_trunc('week', a) as date) + cast(i as int))) end), ['SPACER'],
+      list_transform(range(7), lambda i: case when b is null then {dims.WEEKDAYS}[i + 1] else concat({dims.WEEKDAYS}[i + 1], chr(10), month(cast(date_trunc('week', b) as date) + cast(i as int)), '/', day(cast(date_trunc('week', b) as date) + cast(i as int))) end)) cells from st)
+    select roster_id, array_to_string(cells, '|') line from h
+    union all select roster_id, array_to_string(list_concat([station, emp_status, id_no, name], codes[1:7], [''], codes[8:14]), '|') from ro""")
+def export_schedule_files(spark, sf):
+    """What the writer puts into files, read back; one header line for each roster."""
+    path = shared_dir(spark, "schedule")
+    K.export_schedule(_results(spark, sf), path, D.period(spark, sf))
+    return _csv_files(spark, path).select(F.expr(ROSTER_OF).alias("roster_id"), F.array_join("cells", "|").alias("line"))
+
+
+@query("export_details_files", RES + ' select roster_id, station "Station", name as "Name", msg_max_day "Daily Hours Check", msg_shift_gap "Mandatory Shift Gap", '
+       + """cast(ot_a + ot_b as varchar) "OT Hrs Total", case when pass then 'Valid' else 'Invalid' end "Status" from f6""")
+def export_details_files(spark, sf):
+    path = shared_dir(spark, "details")
+    K.export_details(_results(spark, sf), path)
+    read = spark.read.option("header", True).option("escape", '"').csv(path)
+    return read.select(F.col("roster_id").cast("bigint").alias("roster_id"), "Station", "Name", "Daily Hours Check", "Mandatory Shift Gap", "OT Hrs Total", "Status")
+
+
+@query("export_logs_files", REC + " select raw from rec")
+def export_logs_files(spark, sf):
+    path = shared_dir(spark, "log-export")
+    K.export_logs(_records(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("raw"))
+
+
+@query("export_changes_files", FEED + ' select ts "timestamp", user_id, action, summary, detail from feed')
+def export_changes_files(spark, sf):
+    path = shared_dir(spark, "change-export")
+    K.export_changes(_feed(spark, sf), path)
+    read = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("timestamp", "user_id", "action", "summary", "detail")])
+
+
+@query("week_label", f"""select {b('roster_id')}, week, concat(label, case when start_date is null then '' else concat(' (', month({MONDAY}), '/', day({MONDAY}), ' – ', month({MONDAY} + 6), '/', day({MONDAY} + 6), ')') end) label
+    from ({PERIOD} select * from pe) t""")
+def week_label(spark, sf):
+    p = D.period(spark, sf)
+    return p.select(F.col("roster_id").cast("bigint").alias("roster_id"), "week", F.concat(
+        R.week_label(F.col("week"), F.lit("Week A"), F.lit("Week B")), R.week_range(F.col("start_date"))).alias("label"))
+
+
+@query("check_documents", """select cast(s_suppkey as varchar) policy_id, case s_suppkey % 5 when 2 then 'thresholds must be a dict' when 3 then 'not a JSON document'
+    else 'thresholds must contain exactly these keys: [''max_rolling_7d_hrs'', ''max_week_hrs'', ''min_week_hrs'', ''nw_credit_hrs'']' end error from supplier""")
+def check_documents(spark, sf):
+    return SP.check_documents(D.policy_docs(spark, sf))
+
+
+NAMED = f"select * from ({Q.roster()}) where cast(id_no as bigint) % 7 <> 0"
+
+
+@query("run_metrics", Q.results(NAMED) + ", m as (select count(*) e, count(*) filter (pass) p, sum(ot_a + ot_b) o, " + ", ".join(
+    f"count(*) filter (not ok_{k}) x_{k}" for k in dims.RULE_KEYS) + f""" from f6), c as (select count(*) n from customer)
+    select 'rows' metric, n as "value" from c union all select 'blank_names', n - e from c, m union all select 'employees', e from m union all select 'odd_lengths', 0
+    union all select 'passed', p from m union all select 'pass_rate', {b('floor(100.0 * p / e)', 'r')} from m union all select 'overtime_hours', {b('o')} from m union all """ + " union all ".join(
+    f"select 'failed_{k}', x_{k} from m" for k in dims.RULE_KEYS))
+def run_metrics(spark, sf):
+    """What one run into a table observed; every seventh name is blank."""
+    r = D.roster_synth(spark, sf)
+    return A.run_metrics(r.withColumn("name", F.when(F.col("id_no").cast("bigint") % 7 != 0, F.col("name")).otherwise("")), shared_dir(spark, "validated"))
+
+
+HEADS = "roster_id, id_no, name, station, matrix, row_idx, rules, n_violations, structural, severity, failed_weeks"
+
+
+def _heads(cards):
+    return _big(cards.select(*HEADS.split(", ")), "row_idx", "n_violations", "structural")
+
+
+@query("violation_cards", Q.cards() + f" select roster_id, id_no, name, station, matrix, {b('row_idx')}, rules, n_violations, structural, severity, failed_weeks from cards")
+def violation_cards(spark, sf):
+    return _heads(A.violation_cards(A.explode_violations(_results(spark, sf))))
+
+
+@query("violation_cards_hot_key", Q.cards().replace(Q.roster(), HOT) + f" select roster_id, id_no, name, station, matrix, {b('row_idx')}, rules, n_violations, structural, severity, failed_weeks from cards")
+def violation_cards_hot_key(spark, sf):
+    hot = F.col("row_idx") % 3 == 0
+    r = D.roster_synth(spark, sf).withColumns({"name": F.when(hot, "Unspecified").otherwise(F.col("name")), "id_no": F.when(hot, "").otherwise(F.col("id_no"))})
+    return _heads(A.violation_cards(A.explode_violations(V.validate(r))))
+
+
+@query("card_page", Q.cards() + """, r as (select *, row_number() over (partition by roster_id order by structural desc, n_violations desc, row_idx, id_no, name) rank from cards)
+    select roster_id, id_no, name, rank, details from r where rank between 26 and 50""")
+def card_page(spark, sf):
+    v = A.explode_violations(_results(spark, sf))
+    return A.card_page(A.rank_violations(A.violation_cards(v)), v, 2).select("roster_id", "id_no", "name", F.col("rank").cast("bigint").alias("rank"), "details")
+
+
+@query("search_cards", Q.cards() + " select roster_id, id_no, name from cards where contains(search_blob, 'cross-week')")
+def search_cards(spark, sf):
+    v = A.explode_violations(_results(spark, sf))
+    return A.search_cards(A.violation_cards(v), v, "Cross-Week").select("roster_id", "id_no", "name")
+
+
+# One report for each roster.
+PER = "roster_id"
+BY_ROSTER = RES + f""", t as (select roster_id, count(*) n, count(*) filter (pass) v, cast(sum(ot_a) as bigint) a, cast(sum(ot_b) as bigint) b from f6 group by 1),
+    tv as (""" + " union all ".join(f"select roster_id, {i} ord, '{n}' as rule, count(*) filter (not ok_{k}) failed, count(*) total from f6 group by 1"
+                                     for i, (k, n) in enumerate(dims.RULES)) + f"""),
+    tm as (select roster_id, matrix, count(*) headcount, count(*) filter (pass) valid from f6 group by 1, 2),
+    ts as (select roster_id, station, count(*) headcount, count(*) filter (pass) valid, cast(sum(ot_a + ot_b) as bigint) ot from f6 group by 1, 2),
+    lg as (select roster_id, d, upper(trim(codes[d + 1])) code from f6, (select unnest(range(14)) d)),
+    hc as (select roster_id, d, code, count(*) n from lg where code <> '' group by all)"""
+
+
+@query("export_summary_by_roster", BY_ROSTER + f"""
+    select roster_id, 'kpi' section, {b('o', 'ordinal')}, m c1, x c2, '' c3, '' c4 from (
+      select roster_id, 1 o, 'Total Headcount' m, cast(n as varchar) x from t union all select roster_id, 2, 'Valid Schedules', cast(v as varchar) from t
+      union all select roster_id, 3, 'Invalid Schedules', cast(n - v as varchar) from t union all select roster_id, 4, 'Compliance Rate', {Q.tenths('v', 'n')} from t
+      union all select roster_id, 5, 'Week A — Total OT Hours', concat(a, 'h') from t union all select roster_id, 6, 'Week B — Total OT Hours', concat(b, 'h') from t
+      union all select roster_id, 7, '14-Day Total OT Hours', concat(a + b, 'h') from t
+      union all select roster_id, 8, 'Average OT / Employee', concat(cast({Q.MEAN.format(n='(a + b)', d='n')} as varchar), 'h') from t) k
+    union all select roster_id, 'matrix', row_number() over (partition by roster_id order by headcount desc, matrix), matrix, cast(headcount as varchar), cast(valid as varchar), {Q.tenths('valid', 'headcount')} from tm
+    union all select roster_id, 'station', row_number() over (partition by roster_id order by headcount desc, station), station, cast(headcount as varchar), cast(valid as varchar), concat({Q.tenths('valid', 'headcount')}, ' · ', ot, 'h OT') from ts
+    union all select roster_id, 'violations', row_number() over (partition by roster_id order by failed desc, ord), rule, cast(failed as varchar), {Q.tenths('failed', 'total')}, '' from tv where failed > 0
+    union all select roster_id, 'violations', 1, 'All employees pass every active rule.', '', '', '' from t where n = v
+    union all select roster_id, 'headcount', row_number() over (partition by roster_id order by d, {CODE_RANK}, code), concat({Q.DAY_LIST}[d + 1][1:3], ' Week ', {Q.DAY_LIST}[d + 1][5:5]), code, cast(n as varchar), {WINDOW_SQL} from hc""")
+def export_summary_by_roster(spark, sf):
+    return A.export_summary(_results(spark, sf), by=(PER,))
+
+
+@query("coverage_by_roster", BY_ROSTER + f""" select roster_id, 'matrix' kind, matrix as "value", headcount, valid, headcount - valid invalid, {Q.tenths('valid', 'headcount')} compliance from tm
+    union all select roster_id, 'station', station, headcount, valid, headcount - valid, concat({Q.tenths('valid', 'headcount')}, ' · ', ot, 'h OT') from ts""")
+def coverage_by_roster(spark, sf):
+    r = _results(spark, sf)
+    shown = [PER, "kind", "value", "headcount", "valid", "invalid", "compliance"]
+    matrix = A.matrix_distribution(r, (PER,)).withColumns({"kind": F.lit("matrix"), "value": F.col("matrix")})
+    station = A.coverage_by_station(r, (PER,)).withColumns({"kind": F.lit("station"), "value": F.col("station"), "compliance": F.col("compliance_ot")})
+    return matrix.select(*shown).unionByName(station.select(*shown))
+
+
+@query("overtime_by_roster", BY_ROSTER + f""" select roster_id, n employees, a ot_a, b ot_b, a + b ot_total,
+    {Q.MEAN.format(n='a', d='n')} avg_ot_a, {Q.MEAN.format(n='b', d='n')} avg_ot_b, {Q.MEAN.format(n='(a + b)', d='n')} avg_ot from t""")
+def overtime_by_roster(spark, sf):
+    return A.overtime_summary(_results(spark, sf), by=(PER,))
+
+
+@query("status_by_roster", RES + f""", t as (select roster_id, emp_status, count(*) total, count(*) filter (pass) valid, cast(sum(ot_a + ot_b) as bigint) ot from f6 group by 1, 2)
+    select roster_id, emp_status, total, valid, total - valid invalid, concat(cast(round_even(100.0 * valid / total, 0) as bigint), '%') pass_rate, ot from t""")
+def status_by_roster(spark, sf):
+    return A.status_summary(_results(spark, sf), (PER,))
+
+
+@query("headcount_by_roster", BY_ROSTER + f" select roster_id, code shift, {CELLS} from hc group by 1, 2 union all select roster_id, 'TOTAL', {CELLS} from hc group by 1")
+def headcount_by_roster(spark, sf):
+    return A.headcount_pivot(D.roster_synth(spark, sf), by=(PER,))
+
+
+@query("top_violations_by_roster", BY_ROSTER + f" select roster_id, rule, failed, {Q.tenths('failed', 'total')} rate, {b('ord')} from tv where failed > 0")
+def top_violations_by_roster(spark, sf):
+    return _big(A.top_violations(_results(spark, sf), (PER,)), "ord")
+
+
+@query("violation_types_by_roster", Q.violations() + f""", c as (select roster_id, type, count(distinct coalesce(nullif(id_no, ''), name)) employees from vio group by 1, 2)
+    select roster_id, type, employees from c qualify row_number() over (partition by roster_id order by employees desc,
+      list_position([{', '.join(f"'{n}'" for _, n in dims.RULES)}], type)) <= 4""")
+def violation_types_by_roster(spark, sf):
+    return A.violation_type_counts(A.explode_violations(_results(spark, sf)), by=(PER,))
+
+
 @query("export_logs", REC + " select file, line_no, raw from rec")
 def export_logs(spark, sf):
     return _records(spark, sf).select("file", "line_no", "raw")

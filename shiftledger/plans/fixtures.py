@@ -106,6 +106,13 @@ def change_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(lines).select("file", "line_no", "value")
 
 
+def log_folder(spark: SparkSession, lines: DataFrame) -> str:
+    """Lines (file, line_no, value) as text files, in folders whose names `FILE_NAME` reads."""
+    path = shared_dir(spark, "archives")
+    lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
 def roster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rosters from activity, one row per user and 14-day period with events: a day is a work code when events happened
     on it, else RD."""

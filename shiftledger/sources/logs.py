@@ -30,21 +30,23 @@ def allowed_lines(lines: DataFrame, stream: str | None = None, date: str | None
     return out if date is None else out.filter(F.col("date_label") == date)
 
 
-def scan_logs(spark: SparkSession, path: str, stream: str | None = None, date: str | None = None) -> DataFrame:
+def scan_logs(spark: SparkSession, path: str, stream: str | None = None, date: str | None = None,
+              name: str = "_metadata.file_name") -> DataFrame:
     """(path, file, line_no, value, stream, date_label) of every allowed log file under ``path``.
 
     Files of other names, streams or dates are not opened. Files are split like any text input, however large; a
     line's place is (start of its split, position in the split), and line numbers come from per-split counts, so no
-    file is read whole by one task. Files of equal names in two folders stay apart by ``path``.
+    file is read whole by one task. Files of equal names in two folders stay apart by ``path``. ``name`` is SQL text that makes the
+    name of a file from its metadata.
     """
-    name = F.col("_metadata.file_name")
-    wanted = name.rlike(ALLOWED)
+    file = F.expr(name)
+    wanted = file.rlike(ALLOWED)
     if stream is not None:
-        wanted = wanted & (stream_of(name) == stream)
+        wanted = wanted & (stream_of(file) == stream)
     if date is not None:
-        wanted = wanted & (date_label(name) == date)
+        wanted = wanted & (date_label(file) == date)
     raw = spark.read.option("recursiveFileLookup", "true").text(path).filter(wanted).select(
-        F.col("_metadata.file_path").alias("path"), name.alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_path").alias("path"), file.alias("file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_pos"), "value")
     labelled = raw.withColumns({"stream": stream_of(F.col("file")), "date_label": date_label(F.col("file"))})
     return number_rows(labelled, ["path"], [], F.col("_block"), ["_pos"], "line_no").drop("_block", "_pos")

@@ -41,17 +41,41 @@ def changes_frame(feed: DataFrame) -> DataFrame:
                        *[cell(c).alias(c) for c in ("user_id", "action", "summary", "detail")])
 
 
-def export_schedule(results: DataFrame, path: str) -> None:
-    """Schedule lines as CSV, one folder per roster; the header line repeats the upload layout.
+def schedule_headers(rosters: DataFrame, period: DataFrame | None = None) -> DataFrame:
+    """(roster_id, cells): the header line of each roster; weekday cells carry their date where ``period`` has one.
+
+    ``period`` holds (roster_id, week, start_date); any day of a week stands for it.
+    """
+    ids = rosters.select("roster_id").distinct()
+    if period is None:
+        starts = ids.withColumns({f"start_{x}": F.lit(None).cast("date") for x in "ab"})
+    else:
+        one = period.groupBy("roster_id").agg(*[F.max(F.when(F.col("week") == x.upper(), F.col("start_date"))).alias(f"start_{x}") for x in "ab"])
+        starts = ids.join(one, "roster_id", "left")
+
+    def week(start: str) -> list[Column]:
+        cells = []
+        for i, name in enumerate(dims.WEEKDAYS):
+            day = F.date_add(F.date_trunc("week", start).cast("date"), i)
+            dated = F.concat(F.lit(f"{name}\n"), F.month(day).cast("string"), F.lit("/"), F.day(day).cast("string"))
+            cells.append(F.coalesce(dated, F.lit(name)))
+        return cells
+    meta = [F.lit(c) for c in SCHEDULE_HEADER[:4]]
+    return starts.select("roster_id", F.array(*meta, *week("start_a"), F.lit("SPACER"), *week("start_b")).alias("cells"))
+
+
+def export_schedule(results: DataFrame, path: str, period: DataFrame | None = None) -> None:
+    """Schedule lines as CSV, one folder per roster; the first line is the header of the upload layout, with dates if known.
 
     Rows are range-partitioned by (roster, row), so a large roster is spread over several files, in order.
     """
     frame = schedule_frame(results)
     lines = frame.select(F.col("roster_id"), "row_idx", F.array(*[
         F.coalesce(F.col(c), F.lit("")) for c in frame.columns if c not in ("roster_id", "row_idx")]).alias("cells"))
-    ordered = lines.repartitionByRange("roster_id", "row_idx").sortWithinPartitions("roster_id", "row_idx")
+    heads = schedule_headers(results, period).select("roster_id", F.lit(-1).alias("row_idx"), "cells")
+    ordered = lines.unionByName(heads).repartitionByRange("roster_id", "row_idx").sortWithinPartitions("roster_id", "row_idx")
     columns = [F.get("cells", F.lit(i)).alias(f"c{i:02d}") for i in range(len(SCHEDULE_HEADER))]
-    ordered.select("roster_id", *columns).write.partitionBy("roster_id").option("emptyValue", "").csv(path)
+    ordered.select("roster_id", *columns).write.partitionBy("roster_id").option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def schedule_header_line() -> str:
@@ -59,7 +83,10 @@ def schedule_header_line() -> str:
 
 
 def export_details(results: DataFrame, path: str) -> None:
-    details_frame(results).drop("row_idx").write.partitionBy("roster_id").option("header", True).csv(path)
+    """Details as CSV with a header in each file, one folder per roster, in row order; a large roster has several files."""
+    order = ["roster_id", "row_idx"]
+    details_frame(results).repartitionByRange(*order).sortWithinPartitions(*order).drop("row_idx").write.partitionBy(
+        "roster_id").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def export_summary_table(results: DataFrame, path: str, **labels: str) -> None:

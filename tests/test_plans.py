@@ -81,3 +81,23 @@ def test_log_fields_are_parsed_once(spark):
     rec = L.parse_log(spark.createDataFrame([("f", 1, "x")], "file string, line_no bigint, value string"))
     p = plan(L.log_filter(rec, levels=["ERROR"], since="2024-01-01 00:00:00"))
     assert p.count("from_json") <= 2
+
+
+def test_cards_are_ranked_with_four_exchanges(spark, results):
+    """One for the wide side, three for the small table of counts; no list of details, and cards are read from their table."""
+    cards = A.violation_cards(A.explode_violations(results))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        tree = A.rank_violations(cards)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert tree.count("Exchange ") <= 4
+    assert "collect_" not in cards._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_reads_results_twice(spark):
+    tree = plan(A.export_summary(validate(D.roster_synth(spark, SF)))).split("\n\n")[0]
+    assert len(re.findall(r"Scan parquet", tree)) <= 2

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftledger import dims
+from shiftledger.operators import reports as A
 from shiftledger.operators import rules as V
+from shiftledger.operators import timeline as TI
+from shiftledger.operators.rules import validate
 from shiftledger.plans import fixtures
 
 X1 = "a A A A A XX RD A A A A A AWOL RD"
@@ -171,3 +174,83 @@ def test_user_rule(spark):
         assert r.msg_no_night == "❌ night" and not r._pass
     finally:
         V.REGISTRY.pop("no_night")
+
+
+# -- user rules in Python, calendars, cards --------------------------------------------------------------------------
+def test_arrow_rule_beside_native_ones(spark):
+    import pandas as pd
+
+    @F.pandas_udf("struct<passed:boolean,message:string>")
+    def no_triples(codes: pd.Series, matrix: pd.Series) -> pd.DataFrame:
+        found = [next((c for a, b, c in zip(x, x[1:], x[2:]) if a == b == c and c != "RD"), None) for x in codes]
+        return pd.DataFrame({"passed": [f is None for f in found], "message": [f"three {f} in a row ({m})" for f, m in zip(found, matrix)]})
+
+    rows = [("r", 1, "Ana", "S", "", "1", ["A", "B"] * 7), ("r", 2, "Bea", "S", "", "2", ["A", "A", "A"] + ["B", "RD"] * 5 + ["RD"])]
+    roster = spark.createDataFrame(rows, "roster_id string, row_idx int, name string, station string, emp_status string, id_no string, codes array<string>")
+    V.register_arrow_rule("no_triples", "No Triples", no_triples, "codes", "matrix")
+    try:
+        out = validate(roster, active=["valid_codes", "no_triples"])
+        got = {r.name: (r.ok_no_triples, r.msg_no_triples, r._pass) for r in out.collect()}
+        assert got == {"Ana": (True, "✅", True), "Bea": (False, "❌ three A in a row (6-1)", False)}
+        tree = out._jdf.queryExecution().executedPlan().toString()
+        assert tree.count("ArrowEvalPython") == 1 and "WholeStageCodegen" in out._jdf.queryExecution().toString() or "*(" in tree
+        without = validate(roster, active=["valid_codes"])._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in without
+        shown = A.explode_violations(validate(roster))
+        assert "No Triples" in {r.type for r in shown.collect()}
+        assert any("No Triples" in r.rules for r in A.violation_cards(shown).collect())
+    finally:
+        V.unregister_rule("no_triples")
+
+
+def test_calendar_rules_see_over_the_border_of_rosters(spark):
+    """Two rosters that are each in order; together they hold nine days in a row, 72 rolling hours and a gap of no hours."""
+    import datetime
+    first = ["RD"] * 9 + ["AOT"] * 4 + ["C"]
+    second = ["A"] + ["AOT"] * 3 + ["RD"] * 10
+    rows = [("7", datetime.date(2024, 1, 1), first), ("7", datetime.date(2024, 1, 15), second), (None, datetime.date(2024, 1, 1), first),
+            ("8", datetime.date(2024, 1, 1), first), ("8", datetime.date(2024, 1, 29), second)]
+    days = TI.day_rows(spark.createDataFrame(rows, "id string, start date, codes array<string>"), F.col("id"), F.col("start"))
+    hits = sorted((r.employee, r.rule, str(r.from_date), str(r.to_date), r.value, r.crosses) for r in TI.timeline_violations(days, 60, 6).collect())
+    assert hits == [("7", "max_consecutive", "2024-01-10", "2024-01-18", 9, True), ("7", "max_rolling_7d", "2024-01-09", "2024-01-19", 76, True),
+                    ("7", "shift_gap", "2024-01-14", "2024-01-15", 0, True)]
+    one = TI.day_rows(spark.createDataFrame(rows[:1], "id string, start date, codes array<string>"), F.col("id"), F.col("start"))
+    assert TI.timeline_violations(one, 60, 6).count() == 0
+
+
+def test_a_card_of_very_many_rows_keeps_a_state_of_fixed_size(spark):
+    n = 60_000
+    v = spark.range(n).select(F.lit(1).alias("roster_id"), F.col("id").cast("int").alias("row_idx"), F.lit(0).alias("ord"), F.lit("").alias("id_no"),
+                              F.lit("Unspecified").alias("name"), F.lit("S").alias("station"), F.lit("6-1").alias("matrix"),
+                              F.when(F.col("id") % 2 == 0, "Daily Hours Check").otherwise("Maximum Weekly Hours").alias("type"),
+                              F.concat(F.lit("Wk A: detail "), F.col("id").cast("string")).alias("details"))
+    cards = A.violation_cards(v)
+    assert "collect_" not in cards._jdf.queryExecution().executedPlan().toString()
+    [card] = cards.collect()
+    assert (card.rules, card.n_violations, card.structural, card.failed_weeks, card.row_idx) == (
+        "Daily Hours Check, Maximum Weekly Hours", 2, 1, "Week A", 0)
+
+
+def test_policy_documents(spark):
+    from shiftledger.sources.policy import check_documents
+    good = '"max_week_hrs": 60, "min_week_hrs": 48, "max_rolling_7d_hrs": 60, "nw_credit_hrs": 0'
+    docs = {"ok": f'{{"thresholds": {{{good}}}, "active_rule_keys": ["max_day"]}}', "null": f'{{"thresholds": {{{good}}}, "active_rule_keys": null}}',
+            "none": f'{{"thresholds": {{{good}}}}}', "empty": f'{{"thresholds": {{{good}}}, "active_rule_keys": []}}',
+            "bool": f'{{"thresholds": {{{good.replace("60,", "true,", 1)}}}}}', "text": f'{{"thresholds": {{{good.replace("48", chr(34) + "48" + chr(34))}}}}}',
+            "more": f'{{"thresholds": {{{good}, "x": 1}}}}', "less": '{"thresholds": {"max_week_hrs": 60}}', "list": '{"thresholds": [1]}',
+            "keys": f'{{"thresholds": {{{good}}}, "active_rule_keys": "all"}}', "mixed": f'{{"thresholds": {{{good}}}, "active_rule_keys": ["a", 1]}}', "broken": "{"}
+    got = {r.policy_id: r.error for r in check_documents(spark.createDataFrame(list(docs.items()), "policy_id string, doc string")).collect()}
+    names = "thresholds must contain exactly these keys: ['max_rolling_7d_hrs', 'max_week_hrs', 'min_week_hrs', 'nw_credit_hrs']"
+    assert got == {"ok": None, "null": None, "none": None, "empty": None, "bool": "thresholds['max_week_hrs'] must be numeric, got bool",
+                   "text": "thresholds['min_week_hrs'] must be numeric, got str", "more": names, "less": names, "list": "thresholds must be a dict",
+                   "keys": "active_rule_keys must be None or a list[str]", "mixed": "active_rule_keys must be None or a list[str]", "broken": "not a JSON document"}
+
+
+def test_saves_of_values_that_are_no_list(spark):
+    from shiftledger.operators import logs as L
+    head = "2024-05-01 10:00:00 | AUDIT | trace_id=t | "
+    texts = ["thresholds={'a': 1} active_rule_keys={'x': 1}", "active_rule_keys=5", "active_rule_keys=None", "thresholds={'a': 1}", "active_rule_keys=['max_day']"]
+    lines = [("audit.log", k, f'{head}action="admin_defaults_saved" user_id="u" {t}') for k, t in enumerate(texts)]
+    feed = L.change_feed(L.log_records(spark.createDataFrame(lines, "file string, line_no bigint, value string")))
+    got = [r.summary for r in feed.orderBy("line_no").collect()]
+    assert got[:4] == ["Thresholds updated", "Defaults saved", "Active rules set to code defaults", "Thresholds updated · Active rules set to code defaults"]
