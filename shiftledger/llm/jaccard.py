@@ -4,14 +4,15 @@ Documents with equal sets are one set from the start. Two similar sets have a to
 `n - ceil(PERCENT n / 100) + 1` of each, in any one order of all tokens; only sets that share such a token with
 another set go on. They are laid out by their least tokens, so that similar ones are neighbours, and cut into shards of
 bounded size. A signature tree over each shard joins it with itself; a set visits another shard only if its first tokens
-occur there, and is joined with that shard's tree (see `signature_tree`).
+occur there, and is joined with that shard's tree (see `signature_tree`, `shards`).
 
-The order puts frequent tokens last, so that a passage that very many documents share hardly brings them together. Frequencies
-come from a sketch of `CELLS` counters over all documents; its errors change the work, never the result.
+The order puts rare tokens first, and tokens that are in one set only bring nothing together, so a document that shares
+passages with others, but not most of its text, shares no first token. How rare a token is comes from the sets themselves:
+first one of `SAMPLED` tokens, by its hash, is looked up among all sets, then all tokens among the sets that are left.
+The answers are bitmaps of fixed size, whose errors change the work, never the result.
 
-`component_ids` needs no link within what is already connected: first, of each component in a shard and token, one set
-visits the first shard with this token; then every set visits every shard that holds another component with one of its first tokens.
-`links` makes every link between different sets.
+`component_ids` needs no link within what is already connected (see `shards`); `links` makes every link between
+different sets.
 
 Rows: a null or empty text has no words, an empty set and no links; a text of fewer than `RUN` words has one shingle;
 repeated rows are answered one by one; a null id comes last in the choice of the component id; other columns are
@@ -30,17 +31,24 @@ from pyspark.sql import functions as F
 from shiftledger.llm import signature_tree
 from shiftledger.llm import text as T
 from shiftledger.llm.common import row_key, saved
-from shiftledger.llm.components import components
+from shiftledger.llm.shards import Bits, Shards, chosen, in_several, sharing
 
 RUN, PERCENT = 4, 85
 SHARD = 1024  # sets of a shard
-CELLS = 1 << 16
-USUAL = 8  # times the mean of the cells, above which a token counts as frequent
+SAMPLED = 4
+OFTEN = (2, 6, 24, 96, 1536)  # sets of a token, from which on it comes later
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 
+def _grouped(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order by group, then value."""
+    order = np.argsort(values)
+    group = group[order]
+    return order[np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")]
+
+
 def token_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text in increasing order, text by text, and the shingles before each text."""
     data = _LOWER[data]
@@ -50,7 +58,7 @@ def token_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin = np.sort(np.concatenate([begin, counts[:-1][(n > 0) & (n < RUN)]]))
     doc = np.searchsorted(counts, begin, "right") - 1
     tokens = T.span_hashes(T.byte_hashes(data, starts, ends), begin, np.minimum(begin + RUN, counts[doc + 1]))
-    order = np.lexsort((tokens, doc))
+    order = _grouped(tokens, doc)
     tokens, doc = tokens[order], doc[order]
     new = np.append(True, (tokens[1:] != tokens[:-1]) | (doc[1:] != doc[:-1]))[:len(tokens)]
     return tokens[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
@@ -65,180 +73,148 @@ def _identity(tokens: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+def _is_sampled(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(40)) % np.uint64(SAMPLED) == 0
 
 
-def frequency_classes(rows: DataFrame) -> np.ndarray:
-    """For each cell of the sketch 0, or the doublings by which its count is above the usual. Reads the last column."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for _, _, data, at in T.segments(batch.column(0)):
-                seen += np.bincount(_cells(token_sets(data, at)[0]), minlength=CELLS)
-        found = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(found.astype(np.int32)), pa.array(seen[found])], ["cell", "n"])
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s1, token) for the sampled tokens of each set."""
+    for batch in batches:
+        for _, _, data, at in T.segments(batch.column(0)):
+            tokens, before = token_sets(data, at)
+            on = _is_sampled(tokens)
+            s1 = np.repeat(_identity(tokens, before)[0], np.diff(before))
+            yield pa.record_batch([pa.array(s1[on]), pa.array(tokens[on].view(np.int64))], ["s1", "token"])
+
+
+class SampledFirst:
+    """Sampled tokens that are in one set only come first."""
+
+    def __init__(self, several: Bits):
+        self.several = several
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        return 1 - (_is_sampled(tokens) & ~self.several(tokens)).astype(np.uint64)
+
+
+class RareFirst:
+    """Tokens come in the order of how many sets have them, in steps; 0 are those of one set."""
+
+    def __init__(self, counted: DataFrame):
+        self.bits = [Bits(counted.filter(F.col("n") >= n).select("token")) for n in OFTEN]
 
-    counts = np.zeros(CELLS)
-    for row in rows.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts[row["cell"]] = row["n"]
-    above = counts / max(1.0, USUAL * counts.mean())
-    return np.where(above > 1, np.ceil(np.log2(np.maximum(above, 1))), 0).astype(np.uint64)
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        return sum(b(tokens).astype(np.uint64) for b in self.bits)
 
 
-def _first_tokens(tokens: np.ndarray, before: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first tokens of each set in the order of all tokens (see above), and how many there are."""
+def _first_tokens(tokens: np.ndarray, before: np.ndarray, step: SampledFirst | RareFirst) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of each set in the order of all tokens, without those that are in one set only; and how many there are."""
     n = np.diff(before)
     doc = np.repeat(np.arange(len(n)), n)
-    rank = (classes[_cells(tokens)] << np.uint64(58)) | (T.mix(tokens) >> np.uint64(6))
-    order = np.lexsort((rank, doc))
+    steps = step(tokens)
+    order = _grouped(T.mix(tokens) >> np.uint64(4) | steps << np.uint64(60), doc)
     many = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
-    chosen = order[np.arange(len(order)) - before[doc] < many[doc]]
-    return tokens[chosen], many
+    chosen = order[(np.arange(len(order)) - before[doc] < many[doc]) & (steps[order] > 0)]
+    return tokens[chosen], np.bincount(doc[chosen], minlength=len(n))
 
 
 def _lists(flat: np.ndarray, many: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def _described(classes: np.ndarray):
+def _described(step: SampledFirst):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in T.segments(batch.column(2)):
                 tokens, before = token_sets(data, at)
                 yield pa.record_batch([
                     *(batch.column(k).slice(first, last - first) for k in (0, 1)), pa.array(np.diff(before)),
-                    *map(pa.array, _identity(tokens, before)), _lists(*_first_tokens(tokens, before, classes))],
+                    *map(pa.array, _identity(tokens, before)), _lists(*_first_tokens(tokens, before, step))],
                     ["key", "doc_id", "n", "s1", "s2", "first"])
 
     return describe
 
 
-def _with_tokens(classes: np.ndarray):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, at in T.segments(batch.column(0)):
-                tokens, before = token_sets(data, at)
-                some = np.flatnonzero(np.diff(before))
-                least = T.mix(tokens)
-                if len(some):
-                    doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
-                    order = np.lexsort((least, doc))
-                    one = least[order][before[some]] >> np.uint64(1)
-                    two = least[order][np.minimum(before[some] + 1, before[some + 1] - 1)] >> np.uint64(1)
-                else:
-                    one = two = np.zeros(0, np.uint64)
-                s1, s2 = (s[some] for s in _identity(tokens, before))
-                heads, many = _first_tokens(tokens, before, classes)
-                yield pa.record_batch([*map(pa.array, (s1, s2, one.view(np.int64), two.view(np.int64))),
-                                       _lists(tokens, np.diff(before)[some]), _lists(heads, many[some])],
-                                      ["s1", "s2", "least1", "least2", "tokens", "first"])
+def _with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each different set of a batch, with its two least tokens."""
+    for batch in batches:
+        for _, _, data, at in T.segments(batch.column(0)):
+            tokens, before = token_sets(data, at)
+            s1, s2 = _identity(tokens, before)
+            some = np.unique(np.stack([s1, s2]), axis=1, return_index=True)[1]
+            some = some[np.diff(before)[some] > 0]
+            least = T.mix(tokens)
+            least = least[_grouped(least, np.repeat(np.arange(len(s1)), np.diff(before)))] >> np.uint64(1)
+            one, two = least[before[some]], least[np.minimum(before[some] + 1, before[some + 1] - 1)]
+            sets = [tokens[before[k]:before[k + 1]].tobytes() for k in some]
+            yield pa.record_batch([*map(pa.array, (s1[some], s2[some], one.view(np.int64), two.view(np.int64))), pa.array(sets, pa.binary())],
+                                  ["s1", "s2", "least1", "least2", "tokens"])
 
-    return read
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a column of sets, and the tokens before each set."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+    return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
 
 
-def _sets(table: pa.Table) -> list[np.ndarray]:
-    column = table.column("tokens").combine_chunks()
-    flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+def _each_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, len(batch), 512):
+            part = batch.slice(k, 512)
+            tokens, before = _flat(part.column(1))
+            yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), np.diff(before))), pa.array(tokens.view(np.int64))], ["s1", "token"])
 
 
-def _links(left: pa.Table, right: pa.Table | None, every: bool) -> pa.Table:
-    """Links (a, b) of nodes, from tables of node, root and tokens."""
-    sides = [t for t in (left, right) if t is not None]
-    nodes = [t.column("node").to_pylist() for t in sides]
-    forests = [signature_tree.Forest(_sets(t), t.column("root").to_pylist()) for t in sides]
-    pairs = list(signature_tree.joined(forests[0], forests[1] if right is not None else None, PERCENT, every))
-    return pa.table({"a": pa.array([nodes[0][i] for i, _ in pairs], pa.int64()), "b": pa.array([nodes[-1][j] for _, j in pairs], pa.int64())})
+def _with_first(step: RareFirst):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                part = batch.slice(k, 512)
+                first = _lists(*_first_tokens(*_flat(part.column("tokens")), step))
+                yield pa.record_batch([*part.columns, first], [*part.schema.names, "first"])
 
+    return read
 
-LINKS = "a bigint, b bigint"
+
+def _link(left: pa.Table, right: pa.Table | None, every: bool) -> Iterator[tuple[int, int]]:
+    sides = [signature_tree.Forest([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")], t.column("root").to_pylist())
+             for t in (left, right) if t is not None]
+    return signature_tree.joined(sides[0], sides[1] if right is not None else None, PERCENT, every)
 
 
 class _Work:
-    """The sets that may be linked, in shards, and what their documents are."""
+    """What the documents are, and the sets that may be linked, in shards."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, every: bool = False):
         text = F.coalesce(F.col(text_col), F.lit(""))
         rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-        classes = frequency_classes(rows.select("text"))
-        self.seen = saved(rows.mapInArrow(_described(classes), "key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, first array<bigint>"), "sets")
+        sampled = SampledFirst(Bits(in_several(rows.select("text").mapInArrow(_sampled, "s1 bigint, token bigint"))))
+        self.seen = saved(rows.mapInArrow(_described(sampled), "key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, first array<bigint>"), "sets")
         some = self.seen.filter("n > 0")
         self.groups = saved(some.groupBy("s1", "s2").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id")), "groups")
-        heads = some.select("s1", "s2", F.explode("first").alias("token"))
-        ends = [f(s).alias(f"{n}{s}") for s in ("s1", "s2") for n, f in (("x", F.min), ("y", F.max))]
-        shared = heads.groupBy("token").agg(*ends).filter("xs1 < ys1 OR xs2 < ys2").select("token")
-        near = heads.join(shared, "token", "left_semi").groupBy("s1", "s2").agg(F.lit(1).alias("one"))
-        near = saved(self.groups.join(near, ["s1", "s2"], "left_semi"), "near")
-        texts = rows.join(near.select("key"), "key", "left_semi").select("text")
-        schema = "s1 bigint, s2 bigint, least1 bigint, least2 bigint, tokens array<bigint>, first array<bigint>"
-        sets = texts.mapInArrow(_with_tokens(classes), schema).dropDuplicates(["s1", "s2"]).join(near.select("s1", "s2"), ["s1", "s2"], "left_semi")
-        shards = max(1, -(-near.count() // SHARD))
-        order = [F.col(c) for c in ("least1", "least2", "s1", "s2")]
-        dealt = sets.repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
-        self.sets = saved(dealt.drop("least1", "least2").withColumn("shard", F.shiftright("node", 33)), "shards")
-        self.nodes = saved(self.sets.select("node", "shard", "s1", "s2").join(self.groups, ["s1", "s2"]).select("node", "shard", "s1", "s2", "doc_id"), "nodes")
-        # First tokens that occur in several shards; all others are settled inside theirs.
-        heads = self.sets.select("node", "shard", F.explode("first").alias("token"))
-        several = heads.groupBy("token").agg(F.min("shard").alias("x"), F.max("shard").alias("y")).filter("x < y").select("token")
-        self.heads = saved(heads.join(several, "token", "left_semi"), "heads")
-
-    def rooted(self, df: DataFrame, roots: DataFrame) -> DataFrame:
-        """`df` with the root of its nodes; a node that no link has reached is its own."""
-        return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def inside(self, every: bool = False) -> DataFrame:
-        """Links within shards."""
-        sets = self.sets.select("shard", "node", F.col("node").alias("root"), "tokens")
-        return sets.groupBy("shard").applyInArrow(lambda t: _links(t.sort_by("node"), None, every), LINKS)
-
-    def across(self, visits: DataFrame, roots: DataFrame, every: bool = False) -> DataFrame:
-        """Links between sets and the shards they visit (node, target); the visitors of a shard come in groups of bounded size."""
-        sets = self.rooted(self.sets.select("node", "shard", "tokens"), roots)
-        many = visits.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
-        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        guests = sets.drop("shard").join(visits, "node").join(many, "target").select("target", part.alias("part"), "node", "root", "tokens")
-        hosts = sets.withColumnRenamed("shard", "target").join(many, "target").select(
-            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(c) for c in ("target", "node", "root", "tokens")])
-
-        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-            return _links(a.sort_by("node"), b.sort_by("node"), every)
-
-        by = ["target", "part"]
-        return guests.groupBy(*by).cogroup(hosts.groupBy(*by)).applyInArrow(meet, LINKS)
-
-
-def _merged(roots: DataFrame, links: DataFrame, work: _Work) -> DataFrame:
-    """(node, root) of all nodes that a link has reached, with further links."""
-    ends = work.rooted(links.select(F.col("a").alias("node"), "b"), roots).select(F.col("root").alias("a"), F.col("b").alias("node"))
-    ends = work.rooted(ends, roots).select("a", F.col("root").alias("b")).filter("a != b")
-    moved = components(ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    known = roots.unionByName(moved.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), "root"))
-    return saved(known.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        near = saved(self.groups.join(sharing(some.select("s1", "first")), "s1", "left_semi"), "near")
+        # Bitmaps of fixed size keep most rows out of the exact joins.
+        texts = rows.select("key", "text").mapInArrow(chosen(Bits(near.select("key"))), "key bigint, text string")
+        texts = texts.join(near.select("key"), "key", "left_semi").select("text")
+        schema = "s1 bigint, s2 bigint, least1 bigint, least2 bigint, tokens binary"
+        sets = saved(texts.mapInArrow(_with_tokens, schema), "tokens")
+        counted = saved(in_several(sets.select("s1", "tokens").mapInArrow(_each_token, "s1 bigint, token bigint"), "n"), "counted")
+        sets = saved(sets.mapInArrow(_with_first(RareFirst(counted)), f"{schema}, first array<bigint>"), "first")
+        close = saved(sharing(sets.select("s1", "first")), "close")
+        # What the bitmap lets through in error meets nobody in its shard, so no exact join follows.
+        sets = sets.mapInArrow(chosen(Bits(close)), f"{schema}, first array<bigint>").withColumn("n", (F.octet_length("tokens") / 8).cast("bigint"))
+        self.shards = Shards(sets, close.count(), ["least1", "least2"], ["s1", "s2"], ["tokens"], PERCENT, _link, SHARD, every)
+        self.nodes = saved(self.shards.sets.select("node", "s1", "s2").join(self.groups, ["s1", "s2"]).drop("key"), "nodes")
 
 
 def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) of each row."""
     work = _Work(docs, id_col, text_col)
-    roots = saved(components(work.inside()), "roots")
-    for delegates in (True, False):
-        known = work.rooted(work.heads, roots)
-        open_ = known.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("shard").alias("target")).filter("x < y")
-        known = saved(known.join(open_.select("token", "target"), "token"), "open")
-        if delegates:
-            one = known.groupBy("token", "shard", "root").agg(F.min("node").alias("node"), F.min("target").alias("target"))
-            visits = one.filter("shard != target").select("node", "target").distinct()
-        else:
-            there = known.select("token", F.col("shard").alias("target"), F.col("root").alias("other")).distinct()
-            met = known.drop("target").join(there, "token").filter("shard < target AND root != other")
-            visits = met.select("node", "target").distinct()
-        links = saved(work.across(saved(visits, "visits"), roots), "links")
-        roots = _merged(roots, links, work)
-    placed = work.rooted(work.nodes, roots)
-    first = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = placed.join(first, "root").select("s1", "s2", "component_id")
+    roots, _ = work.shards.connected()
+    first = roots.join(work.nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = work.nodes.drop("doc_id").join(roots, "node").join(first, "root").select("s1", "s2", "component_id")
     own = work.groups.join(found, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return work.seen.join(own, ["s1", "s2"], "left").select(
+    return work.seen.select("doc_id", "n", "s1", "s2").join(own, ["s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -247,12 +223,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     The documents of one set are all linked with each other, and with all documents of a linked set.
     """
-    work = _Work(docs, id_col, text_col)
-    there = work.heads.select("token", F.col("shard").alias("target")).distinct()
-    visits = work.heads.join(there, "token").filter("shard < target").select("node", "target").distinct()
-    roots = work.nodes.select("node", F.col("node").alias("root"))
-    found = work.inside(every=True).unionByName(work.across(saved(visits, "visits"), roots, every=True))
+    work = _Work(docs, id_col, text_col, every=True)
     ids = work.nodes.select("node", "doc_id")
-    a = found.join(ids.select(F.col("node").alias("a"), F.col("doc_id").alias("id_a")), "a")
+    a = work.shards.all_links().join(ids.select(F.col("node").alias("a"), F.col("doc_id").alias("id_a")), "a")
     both = a.join(ids.select(F.col("node").alias("b"), F.col("doc_id").alias("id_b")), "b")
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))

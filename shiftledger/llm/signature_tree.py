@@ -11,13 +11,13 @@ and pairs of nodes that hold nothing but one label, are skipped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 FANOUT = 4
-PAIRS = 1 << 14  # pairs of nodes that are bounded at once
+PAIRS = 1 << 11  # pairs of nodes that are bounded at once
 LEAST_BITS, MOST_BITS = 512, 1 << 14
 
 
@@ -62,11 +62,12 @@ def bits_for(sizes: np.ndarray) -> int:
 def levels(sets: list[np.ndarray], bits: int, height: int) -> list[Level]:
     """The nodes of a tree, leaves first; neighbours in `sets` are put together."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    marks = np.zeros((len(sets), bits), bool)
-    for row, tokens in zip(marks, sets):
-        row[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
-    packed = np.packbits(marks, axis=1).view(np.uint64)
-    out = [Level(packed, sizes, sizes, sizes - marks.sum(axis=1))]
+    packed = np.zeros((len(sets), bits // 64), np.uint64)
+    for row, tokens in zip(packed, sets):
+        marks = np.zeros(bits, bool)
+        marks[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+        row[:] = np.packbits(marks).view(np.uint64)
+    out = [Level(packed, sizes, sizes, sizes - np.bitwise_count(packed).sum(axis=1, dtype=np.int64))]
     while len(out) < height:
         out.append(out[-1].above())
     return out
@@ -108,10 +109,11 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (both - common) and both > 0
 
 
-def joined(left: Forest, right: Forest | None, percent: int, every: bool = False) -> Iterator[tuple[int, int]]:
+def joined(left: Forest, right: Forest | None, percent: int, every: bool = False,
+           verify: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
     """Pairs (place in left, place in right) of similar sets; pairs within `left` if there is no `right`.
 
-    `every` yields all of them, else as many as connect what they connect. Both sides then share one union of labels.
+    `verify` decides on a pair that the bounds leave, by the similarity of the sets if it is not given. `every` yields all of them, else as many as connect what they connect. Both sides then share one union of labels.
     """
     own = right is None
     other = left if right is None else right
@@ -123,9 +125,11 @@ def joined(left: Forest, right: Forest | None, percent: int, every: bool = False
     a = levels(left.sets, bits, height)
     b = a if own else levels(other.sets, bits, height)
 
+    verified = verify or (lambda i, j: similar(left.sets[i], other.sets[j], percent))
+
     def test(i: int, j: int) -> bool:
         x, y = left.find(i), other.find(j)
-        if (x == y and not every) or not similar(left.sets[i], other.sets[j], percent):
+        if (x == y and not every) or not verified(i, j):
             return False
         left.parent[max(x, y)] = min(x, y)
         return True
