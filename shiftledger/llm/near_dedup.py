@@ -7,11 +7,10 @@ that can be similar, are candidates; a candidate pair is a link if the longest c
 sequences, within the band that the threshold leaves, makes at least `SIMILARITY` of their union.
 
 Documents with equal word sequences are one class from the start; sketches and links are between class
-representatives. Large groups are joined first: in each round a bucket offers a leader, and a member of each of its
-components takes the leader that most of its buckets offer. When a round links little, all that is left is tested
-at once: every pair of different components that shares a bucket. Buckets of many documents are not expanded for that;
-their pairs are found by the rare items that two similar documents must share (`_by_rare_items`). A class is a connected
-component of links.
+representatives. Those that share a sketch with another one are laid out by their least items, cut into shards of bounded
+size, and tested inside their shard and in the shards where one of their sketches occurs (see `shards`). A tree of signatures over a
+shard excludes pairs that have too few items in common for an alignment; all that it leaves are aligned, but for pairs that are already
+connected. A class is a connected component of links.
 
 Rows: null and empty texts have no words and are classes of their own; a text of fewer than `K` words is one item;
 rows equal in id and text are one document; a null id comes last in the choice of the class id; other columns are not
@@ -22,19 +21,20 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftledger.llm import signature_tree
 from shiftledger.llm import text as T
 from shiftledger.llm.common import row_key, saved
-from shiftledger.llm.components import components
+from shiftledger.llm.shards import Bits, Shards, chosen, sharing
 
-K, L, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
-FEW = 20  # a round that links under one of so many documents is the last before the rest is tested
-CROWD = 32  # members of a bucket up to which its pairs are formed directly
+K, L, SKETCHES, SIMILARITY, PERCENT = 5, 3, 16, 0.8, 80
+SHARD = 1024  # documents of a shard
 SKETCHED = "key bigint, doc_id bigint, n_words bigint, n_items bigint, same bigint, same2 bigint, sketches array<bigint>"
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIXERS = T.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -146,30 +146,37 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return common + len(x) - row.bit_count() >= need
 
 
-def _aligned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items of each text in their order, and its two least ones."""
     for batch in batches:
-        for first in range(0, len(batch), 256):
-            part = batch.slice(first, 256)
-            sides = []
-            for name in ("text_a", "text_b"):
-                data, at = T.utf8(part.column(name))
-                values, before, _ = items(data, at)
-                sides.append([values[x:y] for x, y in zip(before[:-1], before[1:])])
-            yield pa.record_batch([part.column("a"), part.column("b"), pa.array([aligned(x, y) for x, y in zip(*sides)])],
-                                  ["a", "b", "linked"])
+        for first, last, data, at in T.segments(batch.column(1)):
+            values, before, _ = items(data, at)
+            some = np.flatnonzero(np.diff(before))
+            mixed = T.mix(values)
+            least = mixed[np.lexsort((mixed, np.repeat(np.arange(last - first), np.diff(before))))] >> np.uint64(1)
+            one, two = least[before[some]], least[np.minimum(before[some] + 1, before[some + 1] - 1)]
+            yield pa.record_batch([batch.column(0).slice(first, last - first).take(pa.array(some)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                                   pa.array([values[before[k]:before[k + 1]].tobytes() for k in some], pa.binary())], ["key", "least1", "least2", "items"])
+
+
+def _labelled(values: np.ndarray) -> np.ndarray:
+    """The items with their occurrence numbers, as a sorted set."""
+    return np.sort(T.mix(values + _occurrences(values, np.zeros(len(values), np.int64)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _lengths(n: Column) -> Column:
-    """Length classes that two similar texts share one of."""
-    step = F.floor(F.log(n) / F.log(F.lit(1 / SIMILARITY)) + 1e-9)
-    return F.array(step, step + 1)
+def _link(left: pa.Table, right: pa.Table | None, every: bool) -> Iterator[tuple[int, int]]:
+    """Aligned pairs. Documents whose labelled items cannot have a long enough subsequence in common are not aligned."""
+    texts = [[np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("items")] for t in (left, right) if t is not None]
+    sides = [signature_tree.Forest([_labelled(x) for x in own], t.column("root").to_pylist()) for own, t in zip(texts, (left, right))]
+    return signature_tree.joined(sides[0], sides[1] if right is not None else None, PERCENT, every,
+                                 lambda i, j: aligned(texts[0][i], texts[-1][j]))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key (see `row_key`), doc_id, class_id (the smallest id of the class), is_first and n_links of each distinct row.
 
-    `is_first` marks the one document that stands for its class; `n_links` counts the verified links of the
-    representative of its word sequence.
+    `is_first` marks the one document that stands for its class; `n_links` counts the links that were verified for the
+    representative of its word sequence, as many as connect its class.
     """
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -181,120 +188,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = saved(copies.groupBy(own).agg(F.min(nulls_last).alias("o")).select(*own, F.col("o.key").alias("rep")), "groups")
     firsts = groups.select(F.col("rep").alias("key"))
 
-    entries = seen.join(firsts, "key").filter("n_items > 0").select(
-        "key", "n_items", F.explode(_lengths(F.col("n_items"))).alias("length"), "sketches").select(
-        "key", "n_items", F.posexplode("sketches"), "length").select(
-        F.xxhash64("pos", "col", "length").alias("bucket"), "key", "n_items", "length")
-    buckets = saved(_shared(entries), "buckets")
-    texts = saved(rows.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "text"), "texts")
-
-    nodes = buckets.select("key").distinct()
-    roots = saved(nodes.select(F.col("key").alias("node"), F.col("key").alias("root")), "roots")
-    total = roots.count()
-    tested: DataFrame | None = None
-    turn, last = 0, False
-    while True:
-        pairs = _rest(buckets, roots, tested, texts) if last else _candidates(buckets, roots, tested, turn)
-        fresh = saved(pairs, "pairs")
-        one = fresh.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        two = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        new = saved(two.mapInArrow(_aligned_rows, "a bigint, b bigint, linked boolean"), "tested")
-        tested = tested.unionByName(new) if tested else new
-        joined = new.filter("linked").join(fresh, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        n = joined.count()
-        if n:
-            moved = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
-            roots = saved(roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
-        if last:
-            return _classified(copies, groups, own, roots, tested)
-        last = n * FEW < total or n == 0
-        turn += 1
-
-
-def _shared(entries: DataFrame) -> DataFrame:
-    """The entries of buckets that hold several documents."""
-    several = entries.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("bucket")
-    return entries.join(several, "bucket", "left_semi")
-
-
-def _candidates(buckets: DataFrame, roots: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components (root_a, root_b): members of components with the leaders of their buckets."""
-    labelled = buckets.join(roots.withColumnRenamed("node", "key"), "key")
-    one = labelled.groupBy("bucket", "root").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n_items")).alias("r"))
-    offered = F.min(F.struct(F.xxhash64("r.key", F.lit(turn), F.lit(0)).alias("o"), "r.key", "r.n_items", "root"))
-    leader = one.groupBy("bucket").agg(offered.alias("lead"))
-    n, m = F.col("r.n_items"), F.col("lead.n_items")
-    pairs = one.join(leader, "bucket").filter((F.col("root") != F.col("lead.root")) & (F.least(n, m) >= SIMILARITY * F.greatest(n, m)))
-    x, y = F.struct(F.col("r.key").alias("key"), "root"), F.struct(F.col("lead.key").alias("key"), F.col("lead.root").alias("root"))
-    pairs = pairs.select(F.col("r.key").alias("own"), F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    votes = pairs.groupBy("own", "x", "y").agg(F.count(F.lit(1)).alias("n")).select(
-        "own", "n", F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
-    if tested is not None:
-        votes = votes.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return votes.groupBy("own").agg(F.max(F.struct("n", "a", "b", "root_a", "root_b")).alias("p")).select(
-        "p.a", "p.b", "p.root_a", "p.root_b").distinct()
-
-
-def _rest(buckets: DataFrame, roots: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame:
-    """All untested pairs of different components that share a bucket and that no exact bound excludes."""
-    labelled = buckets.join(roots.withColumnRenamed("node", "key"), "key")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y")
-    left = saved(labelled.join(mixed.select("bucket", "n"), "bucket"), "left")
-    direct = left.filter(F.col("n") <= CROWD).select("bucket", "key", "root", "n_items", F.lit(0).alias("at"))
-    rare = _by_rare_items(left.filter(F.col("n") > CROWD).select("key", "root").distinct(), texts)
-    pairs = _pairs(direct).unionByName(_pairs(rare)).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-
-
-def _pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket whose lengths, less the `at` items before the shared one, suffice."""
-    a = entries.select("bucket", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("n_items").alias("n"), F.col("at").alias("at_a"))
-    b = entries.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("n_items").alias("m"), F.col("at").alias("at_b"))
-    most = F.least(F.col("n") - F.col("at_a"), F.col("m") - F.col("at_b"))
-    enough = most >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("m")) - 1e-9
-    return a.join(b, "bucket").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough).select("a", "b", "root_a", "root_b")
-
-
-def _labelled_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, roots = (batch.column(name).to_numpy() for name in ("key", "root"))
-        for first, last, data, at in T.segments(batch.column(2)):
-            values, before, _ = items(data, at)
-            n = np.diff(before)
-            doc = np.repeat(np.arange(len(n)), n)
-            labelled = T.mix(values + _occurrences(values, doc).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.record_batch([pa.array(keys[first:last][doc]), pa.array(roots[first:last][doc]), pa.array(labelled.view(np.int64))],
-                                  ["key", "root", "item"])
-
-
-def _by_rare_items(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Entries (bucket, key, root, n_items, at) such that each similar pair of members shares a bucket at its `at`.
-
-    The items of a document are ordered by how many members have them. Two similar documents have their first common
-    item in this order so early that enough items are left behind it in both (`at` items are before it), so later items
-    make no entries. A frequent passage comes last: its items make entries only where little else is in a document.
-    """
-    rows = texts.join(members, "key").select("key", "root", "text")
-    placed = saved(rows.mapInArrow(_labelled_items, "key bigint, root bigint, item bigint"), "items")
-    known = placed.join(placed.groupBy("item").agg(F.count(F.lit(1)).alias("f")), "item")
-    own = known.groupBy("key", "root").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("i")).withColumn("n_items", F.size("i").cast("bigint"))
-    least = F.slice("i", 1, F.floor(F.col("n_items") * (1 - SIMILARITY) + 1e-9).cast("int") + 1)
-    entries = own.select("key", "root", "n_items", F.posexplode(least).alias("at", "x")).filter("x.f > 1").select(
-        "key", "root", "n_items", "at", F.col("x.item").alias("item"), F.explode(_lengths(F.col("n_items"))).alias("length"))
-    entries = saved(entries.select(F.xxhash64("item", "length").alias("bucket"), "key", "root", "n_items", "at"), "rare")
-    # With shares p and q of the items before the common one: m <= n (c - (1 + c) p) and n <= m (c - (1 + c) q) for c = 1 / SIMILARITY.
-    c = 1 / SIMILARITY
-    room = c - (1 + c) * F.col("at") / F.col("n_items")
-    most = entries.groupBy("bucket").agg(F.max(room).alias("room"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
-    return entries.join(most.select("bucket", "room"), "bucket").filter(room * F.col("room") >= 1 - 1e-9).drop("room")
-
-
-def _classified(copies: DataFrame, groups: DataFrame, own: list[str], roots: DataFrame, tested: DataFrame) -> DataFrame:
-    links = tested.filter("linked").select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    known = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left").select(
+    keys = F.transform("sketches", lambda s, i: F.xxhash64(i, s))
+    nodes = saved(seen.join(firsts, "key").filter("n_items > 0").select("key", F.col("n_items").alias("n"), keys.alias("first")), "nodes")
+    near = saved(sharing(nodes.select(F.col("key").alias("s1"), "first")).select(F.col("s1").alias("key")), "near")
+    texts = rows.select("key", "text").mapInArrow(chosen(Bits(near)), "key bigint, text string").join(near, "key", "left_semi")
+    found = saved(texts.mapInArrow(_item_rows, "key bigint, least1 bigint, least2 bigint, items binary"), "items")
+    shards = Shards(found.join(nodes, "key"), near.count(), ["least1", "least2"], ["key"], ["items"], PERCENT, _link, SHARD)
+    roots, across = shards.connected()
+    names = saved(shards.sets.select("node", "key"), "names")
+    tested = reduce(DataFrame.unionByName, [shards.inside(), *across])
+    ends = tested.select(F.explode(F.array("a", "b")).alias("node")).join(names, "node")
+    links = ends.groupBy(F.col("key").alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))
+    placed = roots.join(names, "node")
+    top = placed.groupBy("root").agg(F.min("key").alias("top"))
+    reps = placed.join(top, "root").select(F.col("key").alias("rep"), F.col("top").alias("root"))
+
+    known = groups.join(reps, "rep", "left").join(links, "rep", "left").select(
         *own, "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = copies.select("key", "doc_id", *own).join(known, own)
+    all_ = copies.select("key", "doc_id", *own).join(known, own)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    best = placed.groupBy("root").agg(F.min(order).alias("o"))
-    return placed.join(best, "root").select(
+    best = all_.groupBy("root").agg(F.min(order).alias("o"))
+    return all_.join(best, "root").select(
         "key", "doc_id", F.col("o.doc_id").alias("class_id"), (F.col("key") == F.col("o.key")).alias("is_first"), "n_links")

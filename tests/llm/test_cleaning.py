@@ -11,6 +11,7 @@ from helpers import brute_near_classes, prose, sentences
 from pyspark.sql import functions as F
 
 from shiftledger.llm import near_dedup, quality_rules, secrets, substrings
+from shiftledger.llm.shards import Shards
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -198,16 +199,23 @@ def test_near_dedup_without_words(docs_of):
     assert near_dedup.classes(docs_of([])).count() == 0
 
 
-def test_a_pair_with_one_common_bucket_is_a_candidate(spark):
-    buckets = spark.createDataFrame([(7, 1, 100, 20), (7, 2, 95, 20)], "bucket bigint, key bigint, n_items bigint, length bigint")
-    roots = spark.createDataFrame([(1, 1), (2, 2)], "node bigint, root bigint")
-    tested = spark.createDataFrame([(1, 3, False)], "a bigint, b bigint, linked boolean")
-    got = near_dedup._candidates(buckets, roots, tested, 1).collect()
-    assert [(x["a"], x["b"], x["root_a"], x["root_b"]) for x in got] == [(1, 2, 1, 2)]
+def test_a_pair_with_one_common_sketch_is_tested_wherever_it_is(spark):
+    """Two similar documents with one sketch in common, in shards of their own; a third shares a sketch and is not similar."""
+    words = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    texts = [words, np.concatenate([words[:45], words[55:]]), np.concatenate([words[:30], words[:70] * np.uint64(7)])]
+    rows = [(k + 1, len(t), [10 * k, 7], 1000 * k, 0, t.tobytes()) for k, t in enumerate(texts)]
+    sets = spark.createDataFrame(rows, "key bigint, n bigint, first array<bigint>, least1 bigint, least2 bigint, items binary")
+    shards = Shards(sets, 3, ["least1", "least2"], ["key"], ["items"], near_dedup.PERCENT, near_dedup._link, 1)
+    names = {r.node: (r.key, r.shard) for r in shards.sets.collect()}
+    assert len({s for _, s in names.values()}) == 3
+    roots = {names[r.node][0]: r.root for r in shards.connected()[0].collect()}
+    assert roots[1] == roots[2] != roots[3]
 
 
-def test_near_copies_in_a_crowded_bucket(docs_of):
+@pytest.mark.parametrize("shard", [16, 1024])
+def test_near_copies_in_a_crowded_bucket(docs_of, monkeypatch, shard):
     """A passage common to all documents, which are at 0.74 of each other; among them pairs at 0.82."""
+    monkeypatch.setattr(near_dedup, "SHARD", shard)
     passage = prose(1, 174)
     rows = [(k, " ".join(prose(1000 + k, 30) + passage)) for k in range(300)]
     rows += [(1000 + k, " ".join(prose(5000 + k, 20) + prose(1000 + k, 30)[20:] + passage)) for k in range(0, 300, 5)]
