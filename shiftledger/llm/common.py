@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftledger.shared import shared_dir
+
 #: Fixed value: what separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -20,16 +19,11 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows of `df`, written once as Parquet under ``spark.checkpoint.dir`` and read again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation. Tables stay until the folder is
-    emptied. A folder of this process is used only where the session names none, as in tests.
+    emptied. A folder of this machine is used only by a local session that names none; a cluster must name one.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, use) -> Column:
