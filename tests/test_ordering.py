@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shiftledger.operators.ordering import carry, number_rows, ordinal_bucket
+from shiftledger.operators.ordering import carry, global_ranks, number_rows, ordinal_bucket, running_sum
 
 
 def skewed(spark):
@@ -40,3 +40,20 @@ def test_null_group_survives(spark):
     df = spark.createDataFrame([(None, 1, 5), (None, 2, None), ("x", 1, 7)], "g string, at int, v int")
     out = carry(df, ["g"], [ordinal_bucket(F.col("at"), 1)], ["at"], F.col("v"), "last")
     assert {(r.g, r.at): r["last"] for r in out.collect()} == {(None, 1): None, (None, 2): 5, ("x", 1): None}
+
+
+def test_running_sum(spark):
+    df = skewed(spark)
+    got = running_sum(df, ["g"], ordinal_bucket(F.col("at"), 41), ["at"], F.coalesce("v", F.lit(0)), "total")
+    w = W.partitionBy("g").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    want = df.withColumn("total2", F.sum(F.coalesce("v", F.lit(0))).over(w)).select("g", "at", "total2")
+    assert got.join(want, ["g", "at"]).filter("total <> total2").count() == 0 and got.count() == 3000
+
+
+def test_global_ranks_with_many_equal_rows(spark):
+    df = skewed(spark).select("lead", F.when(F.col("at") % 3 == 0, 7).otherwise(F.col("at")).alias("at"))
+    rows = global_ranks(df, [F.col("lead").desc(), F.col("at")], "rank").collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 3001))
+    placed = sorted(rows, key=lambda r: r["rank"])
+    assert [(-r["lead"], r["at"]) for r in placed] == sorted((-r["lead"], r["at"]) for r in rows)
+    assert global_ranks(df.limit(0), [F.col("at")]).count() == 0
