@@ -200,8 +200,9 @@ class Shards:
                 visits = one.filter("shard != target").select("node", "target").distinct()
                 hosts = known.filter("shard = target").select("node").distinct()
             else:
-                there = known.groupBy("token", F.col("shard").alias("target"), F.col("root").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-                met = known.drop("target").join(there, "token").filter("shard < target AND root != other").filter(self._fits())
+                there = known.groupBy("token", F.col("shard").alias("target")).agg(
+                    F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
+                met = known.drop("target").join(there, "token").filter("shard < target AND (root != x OR root != y)").filter(self._fits())
                 visits, hosts = met.select("node", "target").distinct(), known.select("node").distinct()
             links = saved(self.across(saved(visits, "visits"), hosts, roots), "links")
             found.append(links)
