@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import IntegralType
 
 from shiftledger.operators.ordering import carry, running_sum
 
@@ -98,80 +99,136 @@ def _unpacked(blob: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(blob).read_pandas()
 
 
+def _gathered(rows: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The chunks of one key, put together up to `PIECE_ROWS` rows."""
+    some: list[pd.DataFrame] = []
+    for pdf in rows:
+        pdf.columns = names  # names that are no identifiers come in changed
+        if some and sum(map(len, some)) + len(pdf) > PIECE_ROWS:
+            yield pd.concat(some, ignore_index=True)
+            some = []
+        some.append(pdf)
+    if some:
+        yield pd.concat(some, ignore_index=True)
+
+
 class SlotLimiter(StatefulProcessor):
-    """Decides the attempts of a key slot by slot, in time order, when the watermark has passed a slot.
+    """Decides the attempts of a bucket of keys slot by slot, in time order, when the watermark has passed a slot.
 
-    Attempts wait in state as packed pieces, as they came in; pieces of a micro-batch are never put together. At the end of
-    a slot its times are sorted and decided, and its pieces are taken out one by one. So a task holds one piece and the times
-    of one slot, however many attempts a key has. The last ``limit`` admissions stay until they leave the window.
+    Attempts wait in state as packed pieces of at most `PIECE_ROWS` rows. At the end of a slot its times are sorted and decided,
+    key by key, and its pieces are taken out one by one. So a task holds two pieces and the times of one slot, however many
+    attempts a key has, and state is asked once for a piece, not for a key or a row. The last ``limit`` admissions of a key
+    stay until they leave the window.
     """
 
-    def __init__(self, order: str, kept: list[str], limit: int, window: int):
-        self.order, self.kept, self.limit, self.window = order, kept, limit, window
+    def __init__(self, key: str, order: str, kept: list[str], limit: int, window: int):
+        self.key, self.order, self.kept, self.limit, self.window = key, order, kept, limit, window
         self.slot = window  # microseconds of a slot
 
     def init(self, handle) -> None:
         self.handle = handle
         self.pieces = handle.getMapState("pieces", "slot bigint, piece bigint", "rows binary")
         self.counts = handle.getMapState("counts", "slot bigint", "n bigint")
-        self.held = handle.getValueState("held", "admitted array<bigint>")
+        self.held = handle.getValueState("held", "admitted binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            pdf.columns = [*self.kept, "_us"]  # names that are no identifiers come in changed
+        known = {k[0]: int(v[0]) for k, v in self.counts.iterator()}
+        counts = dict(known)
+        for pdf in _gathered(rows, [*self.kept, *_OWN]):
             for slot, part in pdf.groupby(pdf["_us"] // self.slot, sort=True):
                 slot = int(slot)
-                n = int(self.counts.getValue((slot,))[0]) if self.counts.containsKey((slot,)) else 0
-                if n == 0:
-                    self.handle.registerTimer(-(-(slot + 1) * self.slot // 1000))
-                self.pieces.updateValue((slot, n), (_packed(part),))
-                self.counts.updateValue((slot,), (n + 1,))
+                self.pieces.updateValue((slot, counts.get(slot, 0)), (_packed(part.drop(columns="_bucket")),))
+                counts[slot] = counts.get(slot, 0) + 1
+        for slot, n in counts.items():
+            if known.get(slot) != n:
+                self.counts.updateValue((slot,), (n,))
+        if counts and min(counts) not in known:  # one timer, for the first slot
+            self.handle.registerTimer(-(-(min(counts) + 1) * self.slot // 1000))
         yield pd.DataFrame()
 
+    def decided(self, asked: pd.DataFrame, held: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+        """Which of the attempts ``asked`` are allowed, seconds to wait, and the admissions to hold, by key and time."""
+        both = pd.concat([held[[self.key, "_nokey"]], asked[[self.key, "_nokey"]]], ignore_index=True)
+        codes = 2 * (pd.factorize(both[self.key])[0] + 1) + both["_nokey"].to_numpy(bool)
+        before, own = codes[:len(held)], codes[len(held):]
+        us, was = asked["_us"].to_numpy(np.int64), held["_us"].to_numpy(np.int64)
+        at = np.lexsort((asked[self.order].to_numpy(), asked["_noorder"].to_numpy(bool), us, own))
+        us, sorted_own, earlier = us[at], own[at], np.lexsort((was, before))
+        was, before = was[earlier], before[earlier]
+        starts = np.flatnonzero(np.append(True, sorted_own[1:] != sorted_own[:-1]))
+        now = sorted_own[starts]
+        lo, hi = np.searchsorted(before, now), np.searchsorted(before, now, "right")
+        allowed, wait = np.empty(len(at), bool), np.empty(len(at), np.int64)
+        rows, times = [earlier[~np.isin(before, now)]], [was[~np.isin(before, now)]]
+        for a, b, x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], lo.tolist(), hi.tolist()):
+            allowed[at[a:b]], wait[at[a:b]], last = decide(us[a:b], self.limit, self.window, was[x:y].tolist())
+            rows.append(np.full(len(last), len(held) + at[a]))
+            times.append(np.array(last, np.int64))
+        return allowed, wait, both.iloc[np.concatenate(rows)].assign(_us=np.concatenate(times))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = sorted(k[0] for k in self.counts.keys())
-        held = list(self.held.get()[0]) if self.held.exists() else []
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        counts = {k[0]: int(v[0]) for k, v in self.counts.iterator()}
+        waiting = sorted(counts)
+        held = _unpacked(self.held.get()[0]) if self.held.exists() else None
+        columns = list(dict.fromkeys([self.key, self.order, *_OWN[:-1]]))
         for slot in (s for s in waiting if (s + 1) * self.slot <= now):
-            n = int(self.counts.getValue((slot,))[0])
-            loaded = [_unpacked(self.pieces.getValue((slot, k))[0])[["_us", self.order]] for k in range(n)]
+            n = counts[slot]
+            piece = lambda k: _unpacked(self.pieces.getValue((slot, k))[0])  # noqa: B023, E731
+            first = piece(0)
+            loaded = [first[columns], *(piece(k)[columns] for k in range(1, n))]
             ends = np.cumsum([len(x) for x in loaded])
-            times = pd.concat(loaded, ignore_index=True)
-            at = np.lexsort((times[self.order].to_numpy(), times["_us"].to_numpy()))
-            allowed, wait = np.empty(len(at), bool), np.empty(len(at), np.int64)
-            allowed[at], wait[at], held = decide(times["_us"].to_numpy(np.int64)[at], self.limit, self.window, held)
+            asked = pd.concat(loaded, ignore_index=True)
+            allowed, wait, held = self.decided(asked, asked.iloc[:0] if held is None else held)
             for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
-                rows = _unpacked(self.pieces.getValue((slot, k))[0])[self.kept]
+                rows = (piece(k) if k else first)[[*self.kept, "_gone"]]
                 yield rows.assign(allowed=allowed[a:b], retry_after=wait[a:b])
                 self.pieces.removeKey((slot, k))
             self.counts.removeKey((slot,))
         # Admissions matter to what still waits, and to what may still come.
         left = [s * self.slot for s in waiting if (s + 1) * self.slot > now]
-        if held and held[-1] + self.window > min([now, *left]):
-            self.held.update((held,))
-            if not left:
-                self.handle.registerTimer(-(-(held[-1] + self.window) // 1000))
+        if held is not None:
+            last = held.groupby([self.key, "_nokey"], dropna=False)["_us"].transform("max")
+            held = held[last + self.window > min([now, *left])]
+        if held is not None and len(held):
+            self.held.update((_packed(held),))
         elif self.held.exists():
             self.held.clear()
+        if left:
+            self.handle.registerTimer(-(-(left[0] + self.slot) // 1000))
+        elif held is not None and len(held):
+            self.handle.registerTimer(-(-(int(held["_us"].max()) + self.window) // 1000))
         yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
+#: What `SlotLimiter` gets beside the columns of the attempts. Whole numbers come without nulls, which would make them floats.
+_OWN = ["_us", "_nokey", "_noorder", "_gone", "_bucket"]
+BUCKETS = 64  # of keys, each with a state of its own
+PIECE_ROWS = 65_536  # that a task puts together before it packs them, slot by slot
+
+
 def rate_limit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int = UPLOAD_LIMIT,
-                      window: int = WINDOW_SECONDS) -> DataFrame:
+                      window: int = WINDOW_SECONDS, buckets: int = BUCKETS) -> DataFrame:
     """The same decision on a stream, with every column of the attempts, once the watermark has passed them.
 
     ``events`` needs a watermark on ``ts``. Attempts within it may come in any order and any micro-batch: they are decided in
-    time order, as the batch form does. State needs the RocksDB provider, which is set for the session.
+    time order, as the batch form does. Keys are dealt to ``buckets``, which are the units of state and of work. State needs
+    the RocksDB provider, which is set for the session.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    whole = [f.name for f in events.schema.fields if isinstance(f.dataType, IntegralType)]
+    none = [F.when(F.col(c).isNull(), "1").otherwise("0") for c in whole]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    keyed = events.withColumn("_us", micros(ts))
-    return keyed.groupBy(key).transformWithStateInPandas(
-        SlotLimiter(order, events.columns, limit, window * MICROS), f"{fields}, allowed boolean, retry_after bigint", "append", "eventtime")
+    keyed = events.withColumns(dict(zip(_OWN, (
+        micros(ts), F.col(key).isNull(), F.col(order).isNull(), F.concat(F.lit(""), *none), F.pmod(F.xxhash64(key), F.lit(buckets))))))
+    keyed = keyed.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(events.schema[c].dataType)) for c in whole})
+    done = keyed.groupBy("_bucket").transformWithStateInPandas(
+        SlotLimiter(key, order, events.columns, limit, window * MICROS), f"{fields}, _gone string, allowed boolean, retry_after bigint", "append", "eventtime")
+    return done.withColumns({c: F.when(F.substring("_gone", k + 1, 1) == "0", F.col(c)) for k, c in enumerate(whole)}).drop("_gone")
 
 
 def attempt_rate(events: DataFrame, key: str, ts: str, window: int = WINDOW_SECONDS) -> DataFrame:

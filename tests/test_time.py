@@ -1,8 +1,10 @@
 """Rate limits and sessions: batch, stream and brute force agree."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from shiftledger.shared import shared_dir
@@ -70,6 +72,74 @@ def test_a_million_attempts_of_one_key_in_one_micro_batch(spark, tmp_path):
     assert allowed == {60_000 * k + j for k in range(17) for j in range(5) if 60_000 * k + j < n}
 
 
+class FakeState(dict):
+    """State of one bucket in memory, which counts how often it is asked."""
+
+    asked = 0
+
+    def _ask(self):
+        FakeState.asked += 1
+
+    def getValue(self, k):
+        self._ask()
+        return self[k]
+
+    def updateValue(self, k, v):
+        self._ask()
+        self[k] = v
+
+    def removeKey(self, k):
+        self._ask()
+        del self[k]
+
+    def iterator(self):
+        self._ask()
+        return iter(list(self.items()))
+
+    def exists(self):
+        self._ask()
+        return () in self
+
+    def get(self, k=(), other=None):
+        self._ask()
+        return super().get(k, other)
+
+    def update(self, v):
+        self.updateValue((), v)
+
+    def clear(self):
+        self.pop((), None)
+
+
+def test_state_is_asked_for_pieces_not_for_keys():
+    """2,000 keys in one bucket over 3 slots: a state call for each key would be 6,000."""
+    rng = random.Random(7)
+    rows = sorted(((i, rng.randrange(2000), rng.randrange(180_000_000)) for i in range(9000)), key=lambda r: (r[2], r[0]))
+    pdf = pd.DataFrame([(i, u, us, False, False, "00", 0) for i, u, us in rows], columns=["event_id", "user_id", *TL._OWN])
+    timers, states = [], {n: FakeState() for n in ("pieces", "counts", "held")}
+    handle = SimpleNamespace(getMapState=lambda n, *_: states[n], getValueState=lambda n, _: states[n], registerTimer=timers.append)
+    limiter = TL.SlotLimiter("user_id", "event_id", ["event_id", "user_id"], 2, 60_000_000)
+    limiter.init(handle)
+    FakeState.asked = 0
+    list(limiter.handleInputRows((0,), iter([pdf.sample(frac=1, random_state=k) for k, pdf in enumerate((pdf[:4000], pdf[4000:]))]), None))
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 300_000), SimpleNamespace(getExpiryTimeInMs=lambda: timers[0])
+    out = pd.concat(list(limiter.handleExpiredTimer((0,), *at)))
+    assert {r.event_id: (r.allowed, r.retry_after) for r in out.itertuples()} == brute_limit(rows, 2, 60_000_000)
+    assert FakeState.asked < 60 and timers == [60_000] and not any(states.values())
+
+
+def test_nulls_leave_other_numbers_of_their_bucket_as_they_are(spark, tmp_path):
+    big = (1 << 53) + 1
+    rows = [(big, big, 0), (big + 1, big + 1, 0), (None, big, 1), (0, None, 2), (5, None, 3), (6, 0, 4), (None, None, 5)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, s int").withColumn("ts", F.timestamp_seconds(F.col("s") + 6_000_000))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    build = lambda x: TL.rate_limit_stream(x.withWatermark("ts", "1 day"), "user_id", "ts", "event_id", 1, 60, buckets=1)
+    got = TV.drain_to_table(stream, build, {"ts": "2200-01-01"}, "n").collect()
+    assert {(r.event_id, r.user_id, r.s, r.allowed) for r in got} == {
+        (*r, r[2] in (0, 2, 4)) for r in rows} and len(got) == len(rows)
+
+
 def test_decide_jumps_over_a_million_attempts():
     times = np.arange(1_000_000, dtype=np.int64) * 1000  # one key, an attempt each millisecond
     allowed, wait, held = TL.decide(times, 5, 60_000_000, [])
