@@ -162,7 +162,9 @@ def grid_folder(spark: SparkSession, sf_dir: str, path: str | None = None, where
     named = lines.unionByName(tops).withColumn("file", F.concat(F.lit("roster_"), F.col("n").cast("string"), F.lit("."), ext))
     path = path or shared_dir(spark, "uploads")
     named = named if where is None else named.filter(where)
-    named.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.mode("append").partitionBy("file").text(path)
+    # Files are many and small: a number of tasks that is not lowered by bytes, and no renames by the driver at the end.
+    dealt = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "k")
+    dealt.select("file", "value").write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file").text(path)
     return path
 
 

@@ -13,13 +13,16 @@ Files of any size are read; the limits of an upload form are thresholds that a c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shiftledger import dims
 from shiftledger.functions.roster import lookup, strip
-from shiftledger.shared import shared_dir
+from shiftledger.shared import shared_dir, written
 
 # --- fixed values: words read as an empty cell, signatures, name filters -----------------------
 EMPTY_WORDS = [
@@ -40,12 +43,25 @@ NO_NAME = "No 'Name' column detected. Check your header row."
 FILE_NAME = "_metadata.file_path"
 
 
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """Inside, many folders are listed by as many tasks as a shuffle has; by default each folder is a task of its own."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(old), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, old)
+
+
 def list_files(spark: SparkSession, path: str, name: str = FILE_NAME) -> DataFrame:
     """(file, length, content) of every file under ``path`` that is not empty; the content is read of workbooks alone, to see their signature.
 
     ``name`` is SQL text that makes the name of a file from its path.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    with listing(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     file = F.expr(name)
     workbook = F.lower(file).rlike(r"\.xlsx?$")
     found = files.filter(workbook).select(file.alias("file"), "length", "content")
@@ -57,7 +73,8 @@ def read_text(spark: SparkSession, path: str, name: str = FILE_NAME, max_bytes:
 
     Other files, and files over ``max_bytes``, are not opened.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    with listing(spark):
+        lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
     if max_bytes is not None:
         lines = lines.filter(F.col("_metadata.file_size") <= max_bytes)
     return lines.filter(F.lower(F.expr(name)).endswith(".csv")).select(
@@ -290,6 +307,7 @@ def parse_roster_rows(lines: DataFrame, files: DataFrame) -> DataFrame:
         meta("station").alias("station"), meta("status").alias("emp_status"), meta("id").alias("id_no"),
         F.transform(F.sequence(F.lit(0), F.lit(13)), code).alias("codes"))
     skipped = F.lower("name").isin(*dims.SKIPPED_NAMES) | F.col("name").startswith("=") | F.lower("name").rlike(DATE_NAME)
+    skipped = skipped | F.forall("codes", lambda c: F.lower(c).rlike(DAY_CELL))  # the header once more
     return out.filter(~skipped)
 
 
@@ -311,7 +329,8 @@ def parse_files(spark: SparkSession, path: str, header_only: bool = False, max_b
     """(roster, rejects) of the files under ``path``. Workbooks (.xls*) are not decoded: convert them to CSV, or pass
     their cells to `parse_cells`. Files over ``max_bytes`` are listed but not opened."""
     files = guard_files(list_files(spark, path, name), max_bytes)
-    lines, scanned = scan_roster_grid(read_text(spark, path, name, max_bytes), max_cells)
+    # Files may be many and small, and opening one costs more than its lines: each is opened once.
+    lines, scanned = scan_roster_grid(written(read_text(spark, path, name, max_bytes), "lines"), max_cells)
     known = detect_meta_columns(lines, detect_header(lines), header_only)
     return parse_roster_rows(lines, known), rejects(files, scanned, known)
 
