@@ -4,10 +4,13 @@ import csv
 import io
 import random
 
+import pytest
+
 from shiftledger import dims
 from shiftledger.operators.rules import validate
 from shiftledger.sources import grid as G
 from shiftledger.sources import sinks
+from shiftledger.streaming import arrival
 from shiftledger.streaming.arrival import ingest_files
 
 HEAD = "Station/Designation,Employee Status,ID NO.,Operator's Name:,Mon,Tue,Wed,Thu,Fri,Sat,Sun,SPACER,Mon,Tue,Wed,Thu,Fri,Sat,Sun"
@@ -179,3 +182,38 @@ def test_files_arrive_in_batches_with_a_restart_between(spark, tmp_path):
     assert sorted(r.name for r in accepted.collect()) == ["Ana", "Bea", "Cid"] and rejected.count() == 2
     again, _ = ingest_files(spark, str(src), out)
     assert again.count() == 3
+
+
+def test_what_has_landed_is_parsed_at_once_and_after_a_failure_again(spark, tmp_path, monkeypatch):
+    src, out, calls = tmp_path / "in", str(tmp_path / "out"), []
+    for k, name in enumerate("abcd"):  # all have one name, in four batches
+        (src / name).mkdir(parents=True)
+        write(src / name, "r.csv", HEAD + "\n" + line(f"Emp{k}") + "\n")
+
+    def counted(lines, *limits):
+        calls.append(lines)
+        if len(calls) == 1:
+            raise RuntimeError("lost between landing and parsing")
+        return parse_batch(lines, *limits)
+
+    parse_batch = arrival.parse_batch
+    monkeypatch.setattr(arrival, "parse_batch", counted)
+    name = "element_at(split(_metadata.file_path, '/'), -1)"
+    with pytest.raises(RuntimeError):
+        ingest_files(spark, str(src), out, name=name, files_per_batch=1)
+    accepted, rejected = ingest_files(spark, str(src), out, name=name, files_per_batch=1)
+    assert len(calls) == 2 and rejected.count() == 0
+    assert sorted((r.roster_id, r.row_idx, r.name) for r in accepted.collect()) == [("r.csv", 1, f"Emp{k}") for k in range(4)]
+
+
+def test_files_are_opened_once_and_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    write(tmp_path, "a.csv", HEAD + "\n" + line("Ana") + "\n" + HEAD + "\n")
+    setting, seen, records = "spark.sql.sources.parallelPartitionDiscovery.parallelism", [], G.records
+    monkeypatch.setattr(G, "records", lambda lines: seen.append(lines._jdf.queryExecution().executedPlan().toString()) or records(lines))
+    rows, bad = parse(spark, tmp_path)
+    assert [r.name for r in rows.values()] == ["Ana"] and bad == {}  # a header that comes again is no employee
+    assert len(seen) == 1 and "FileScan parquet" in seen[0] and "FileScan text" not in seen[0]
+    old = spark.conf.get(setting)
+    with G.listing(spark):
+        assert int(spark.conf.get(setting)) == min(int(old), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert spark.conf.get(setting) == old
