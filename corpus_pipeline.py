@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftledger.llm import mixing, near_dedup, packing, quality_rules, secrets
-from shiftledger.llm.common import row_key, saved, table
+from shiftledger.llm.common import row_key, saved, small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,6 +32,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind of each secret in place of its text."""
+    small_batches(spark)
     masked = docs.withColumn("text", secrets.redacted("text"))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast("long"))

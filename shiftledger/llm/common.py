@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,17 +12,31 @@ from shiftledger.shared import shared_dir
 #: Fixed value: what separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on a batch that goes to Python has at most `BATCH_BYTES`; set for the session, unless it is set lower.
+
+    By default only rows and 64 MB bound it, so texts of a few kB make batches of tens of MB, on both sides and for each task.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", spark.conf.get(setting).strip().lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows of `df`, written once as Parquet under ``spark.checkpoint.dir`` and read again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation. Tables stay until the folder is
     emptied. A folder of this machine is used only by a local session that names none; a cluster must name one.
     """
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftledger.llm.common import saved
+from shiftledger.llm.common import saved, small_batches
 from shiftledger.llm.components import components
 
 #: Pairs of places of similar rows in two tables, or in one if there is no second; `every` asks for all of them, else
@@ -37,6 +37,7 @@ class Bits:
     def __init__(self, keys: DataFrame):
         at = F.pmod(F.col(keys.columns[0]), F.lit(self.SIZE))
         words = keys.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({keys.columns[0]}, 32) as int))")).alias("bits"))
+        small_batches(keys.sparkSession)
         found = words.toArrow()  # at most SIZE / 32 rows
         self.words = np.zeros(self.SIZE >> 5, np.uint32)
         self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)

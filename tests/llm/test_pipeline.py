@@ -1,12 +1,14 @@
 """The pipeline and the registered queries on the smallest tables."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import TABLES, compare
 from shiftledger.llm import queries, secrets
+from shiftledger.llm.common import BATCH_BYTES, saved, small_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +62,24 @@ def test_run_masks_every_secret(spark):
     assert masked.count() == docs.count()
     assert masked.filter(F.size(secrets.spans("text", secrets.BASE)) > 0).isEmpty()
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_batches_that_go_to_python_are_bounded_in_bytes(spark):
+    setting, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", "n bigint, bytes bigint"
+    old = spark.conf.get(setting)
+    texts = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+
+    def measured(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    try:
+        spark.conf.set(setting, "67108864b")
+        got = saved(texts.mapInArrow(measured, sizes), "sizes").collect()
+        assert sum(r.n for r in got) == 4000 and max(r.bytes for r in got) < BATCH_BYTES + 100_000
+        for was, then in (("1000000", "1000000"), ("900k", "900k"), ("64m", f"{BATCH_BYTES}b"), ("1g", f"{BATCH_BYTES}b")):
+            spark.conf.set(setting, was)
+            small_batches(spark)
+            assert spark.conf.get(setting) == then
+    finally:
+        spark.conf.set(setting, old)
