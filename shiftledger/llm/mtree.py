@@ -3,8 +3,8 @@
 Vectors are dealt into shards of bounded size; a task builds the M-tree of one shard and answers one block of queries
 on it, and the best of all shards are merged. Inner products become distances by one more coordinate, which brings all
 vectors of a shard to the same norm: the nearest then have the highest products. Nodes are pages with a covering
-radius and the distances of entries to their routing object; the search takes the node with the smallest lower bound
-first and skips entries by stored triangle-inequality bounds before it computes their distance. Bounds decide only
+radius and the distances of entries to their routing object; the queries of a block walk the tree together, nearest node
+first, and skip entries by stored triangle-inequality bounds before distances are computed. Bounds decide only
 what is looked at; scores are exact inner products.
 
 Rows: vectors that are null, or hold a null or a non-finite component, take no part; vectors of other lengths are
@@ -14,7 +14,6 @@ smaller id; a null id takes no part. Scores are exact below 2 ** 53. Other colum
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -81,48 +80,62 @@ class MTree:
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (score, id) of other ids, best first."""
-        if self.root is None:
-            return []
-        q = np.append(query, 0.0)
-        base = float(query @ query) + self.top
+        _, scores, ids = self.search_all(np.array([query_id]), query[None], k)
+        return list(zip(scores.tolist(), ids.tolist()))
+
+    def search_all(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the query, score and id of the k best of other ids for each query, best first.
+
+        All queries walk the tree together: a node is entered once, by those whose bounds do not exclude it.
+        """
+        m = len(queries)
+        best, ids = np.full((m, k), -np.inf), np.full((m, k), np.iinfo(np.int64).max)
+        q = np.column_stack([queries, np.zeros(m)])
+        base = np.einsum("ij,ij->i", queries, queries) + self.top
         slack = SLACK * (1 + np.sqrt(base))
-        best: list[tuple[float, int]] = []  # heap with the worst on top: (score, -id)
-        limit = np.inf
-        d = float(_distances(self.root.center[None], q)[0])
-        heap = [(max(0.0, d - self.root.radius), 0, d, self.root)]
-        count = 0
-        while heap:
-            bound, _, to_center, node = heapq.heappop(heap)
-            if bound > limit + slack:
-                break
-            apart = np.abs(to_center - node.apart)
-            if node.rows is not None:
-                rows = node.rows[apart <= limit + slack]
-                scores = self.vectors[rows] @ query
-                if len(best) == k:
-                    near = scores >= best[0][0]
-                    rows, scores = rows[near], scores[near]
-                for i, s in zip(rows.tolist(), scores.tolist()):
-                    entry = (s, -int(self.ids[i]))
-                    if -entry[1] == query_id:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-                if len(best) == k:
-                    limit = np.sqrt(max(0.0, base - 2 * best[0][0]))
+        limit = np.full(m, np.inf)  # distance of the worst kept, with the slack
+        stack = [(self.root, np.arange(m), _distances(q, self.root.center))] if self.root is not None else []
+        while stack:
+            node, asked, d = stack.pop()
+            near = d - node.radius <= limit[asked]
+            asked, d = asked[near], d[near]
+            if not len(asked):
                 continue
-            open_ = np.flatnonzero(apart - node.radii <= limit + slack)
-            if not len(open_):
+            apart = np.abs(d[:, None] - node.apart)
+            if node.rows is None:
+                open_ = apart - node.radii <= limit[asked][:, None]
+                found = []
+                for j in np.flatnonzero(open_.any(axis=0)).tolist():
+                    inside = asked[open_[:, j]]
+                    dj = _distances(q[inside], node.centers[j])
+                    found.append((float(dj.mean()), j, inside, dj))
+                found.sort(key=lambda x: (-x[0], x[1]))  # the nearest is taken next
+                stack += [(node.children[j], inside, dj) for _, j, inside, dj in found]
                 continue
-            d = _distances(node.centers[open_], q)
-            low = np.maximum(d - node.radii[open_], 0.0)
-            for j, dj, lj in zip(open_.tolist(), d.tolist(), low.tolist()):
-                if lj <= limit + slack:
-                    count += 1
-                    heapq.heappush(heap, (lj, count, dj, node.children[j]))
-        return [(int(s), -i) for s, i in sorted(best, reverse=True)]
+            rows = node.rows[(apart <= limit[asked][:, None]).any(axis=0)]
+            scores = np.ascontiguousarray((self.vectors[rows] @ queries[asked].T).T)
+            scores[query_ids[asked][:, None] == self.ids[rows]] = -np.inf
+            scores[scores < best[asked, -1:]] = -np.inf
+            better = np.flatnonzero((scores > -np.inf).any(axis=1))
+            asked = asked[better]
+            every = np.concatenate([best[asked], scores[better]], axis=1)
+            theirs = np.concatenate([ids[asked], np.broadcast_to(self.ids[rows], (len(asked), len(rows)))], axis=1)
+            first = np.lexsort((theirs, -every), axis=1)[:, :k]
+            best[asked], ids[asked] = np.take_along_axis(every, first, 1), np.take_along_axis(theirs, first, 1)
+            worst = best[asked, -1]
+            full = np.isfinite(worst)
+            limit[asked[full]] = np.sqrt(np.maximum(0.0, base[asked[full]] - 2 * worst[full])) + slack[asked[full]]
+        place, rank = np.nonzero(best > -np.inf)
+        return place, best[place, rank].astype(np.int64), ids[place, rank]
+
+
+def _filled(column: pd.Series, width: int) -> np.ndarray:
+    """The vectors as rows, filled with zeros up to `width`."""
+    sizes = column.map(len).to_numpy()
+    out = np.zeros((len(column), width))
+    if sizes.sum():
+        out[np.arange(width) < sizes[:, None]] = np.concatenate(column.to_list())
+    return out
 
 
 def valid(vector: Column) -> Column:
@@ -151,10 +164,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     def search(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         width = max([1, *map(len, points["v"]), *map(len, queries["v"])])
-        filled = lambda column: np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in column]).reshape(-1, width)
-        tree = MTree(points["id"].to_numpy(np.int64), filled(points["v"]))
-        out = [(q, i, s) for q, v in zip(queries["id"].tolist(), filled(queries["v"])) for s, i in tree.search(q, v, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        tree = MTree(points["id"].to_numpy(np.int64), _filled(points["v"], width))
+        asked = queries["id"].to_numpy(np.int64)
+        place, scores, ids = tree.search_all(asked, _filled(queries["v"], width), k)
+        return pd.DataFrame({"query_id": asked[place], "vec_id": ids, "score": scores})
 
     near = kept.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(search, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

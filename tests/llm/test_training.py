@@ -313,3 +313,21 @@ def test_bounds_skip_most_of_a_clustered_tree():
     best = int(np.argmax(points @ points[0]))
     assert tree.search(-1, points[0], 1)[0][1] in np.flatnonzero(points @ points[0] == points[best] @ points[0])
     assert sum(seen) < 1000
+
+
+def test_a_block_of_queries_enters_a_page_once():
+    r = np.random.default_rng(2)
+    points = np.floor(r.normal(0, 40, (1000, 8)))
+    tree = mtree.MTree(np.arange(1000), points)
+    entered = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            entered.append(len(self))
+            return np.asarray(self) @ other
+
+    tree.vectors = tree.vectors.view(Counted)
+    place, scores, ids = tree.search_all(np.arange(0, 1000, 5), points[::5], 3)
+    got = list(zip(place.tolist(), scores.tolist(), ids.tolist()))
+    assert got == [(q, -s, i) for q in range(200) for s, i in sorted((-int(points[5 * q] @ points[i]), i) for i in range(1000) if i != 5 * q)[:3]]
+    assert sum(entered) <= 1000
