@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftledger.llm.common import saved, small_batches
@@ -96,28 +96,40 @@ def _labels(n: int, pairs: list[tuple[int, int]]) -> np.ndarray:
     return np.array([find(v) for v in range(n)], np.int64)
 
 
-def _inside(link: Link, same: list[str], kept: list[str], every: bool):
-    """The different rows of a sorted shard, numbered, with the place of the first row they are connected with, and their links."""
+def _different(same: list[str]):
+    """The different rows of a sorted partition, numbered."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        table = pa.Table.from_batches(held) if held else None
-        if not table:
-            return
-        new = np.zeros(len(table), bool)
-        for c in same:
-            v = table.column(c).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        new[0] = True
-        table = table.filter(pa.array(new))
+        last, n = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = np.zeros(len(batch), bool)
+            for c in same:
+                v = batch.column(c).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            here = [batch.column(c)[0].as_py() for c in same]
+            new[0] = here != last
+            last = [batch.column(c)[len(batch) - 1].as_py() for c in same]
+            batch = batch.filter(pa.array(new))
+            yield batch.append_column("at", pa.array(np.arange(n, n + len(batch))))
+            n += len(batch)
+
+    return read
+
+
+def _inside(link: Link, kept: list[str], every: bool):
+    """The rows of a shard, numbered, with the place of the first row they are connected with, and their links."""
+    def read(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
         n = len(table)
         pairs = list(link(table.append_column("root", pa.array(range(n), pa.int64())), None, every))
         links: list[list[int]] = [[] for _ in range(n)]
         for i, j in pairs:
             links[i].append(j)
-        table = table.select(kept)
-        for name, column in (("at", pa.array(range(n), pa.int64())), ("top", pa.array(_labels(n, pairs))), ("links", pa.array(links, pa.list_(pa.int64())))):
-            table = table.append_column(name, column)
-        yield from table.combine_chunks().to_batches()
+        out = table.select(kept)
+        for name, column in (("at", pa.array(range(n), pa.int64())), ("top", pa.array(_labels(n, pairs))), ("links", pa.array(links, pa.list_(pa.int64()))), ("shard", table.column("shard"))):
+            out = out.append_column(name, column)
+        return out
 
     return read
 
@@ -125,6 +137,9 @@ def _inside(link: Link, same: list[str], kept: list[str], every: bool):
 class Shards:
     """`sets` with node, root (of their component in the shard) and links, and the keys that occur in several shards.
 
+    Shards are cut by the rank of a set in the order, whatever the partitions of the ranges are, so that as few as the size
+    allows are visited.
+
     `sets` has the columns `order`, `same` (equal in rows that are one set), `n` (its length), `first` (its keys) and what
     `link` reads (`payload`). `count` is about the number of rows, `size` that of a shard.
     """
@@ -134,11 +149,20 @@ class Shards:
         self.link, self.percent, self.size, self.every, self.payload = link, percent, size, every, payload
         kept = [*same, "n", "first", *payload]
         by = [F.col(c) for c in dict.fromkeys([*order, *same])]
-        dealt = sets.repartitionByRange(max(1, -(-count // size)), *by).sortWithinPartitions(*by)
         types = ", ".join(f"{c} {t}" for c, t in ((c, dict(sets.dtypes)[c]) for c in kept))
-        dealt = dealt.mapInArrow(_inside(link, same, kept, every), f"{types}, at bigint, top bigint, links array<bigint>")
+        parts = max(1, -(-count // size))
+        dealt = sets.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(*kept).mapInArrow(_different(same), f"{types}, at bigint")
+        dealt = saved(dealt.withColumn("part", F.spark_partition_id()), "dealt")
+        # One row for each range.
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+        starts = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+        place = F.col("start") + F.col("at")
+        placed = dealt.join(F.broadcast(starts), "part").withColumn("place", place).withColumn("shard", F.floor(F.col("place") / size).cast("long"))
+        dealt = placed.drop("part", "start", "at").repartition(parts, "shard").groupBy("shard").applyInArrow(
+            _inside(link, kept, every), f"{types}, at bigint, top bigint, links array<bigint>, shard bigint")
         node = lambda c: F.shiftleft(F.col("shard"), 33) + F.col(c)
-        dealt = dealt.withColumn("shard", F.spark_partition_id().cast("long")).withColumns({"node": node("at"), "root": node("top")})
+        dealt = dealt.withColumns({"node": node("at"), "root": node("top")})
         self.sets = saved(dealt, "shards")
         self.places = saved(self.sets.select("node", "shard"), "places")
         heads = self.sets.select("node", "shard", "n", F.explode("first").alias("token"))
