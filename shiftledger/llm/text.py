@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT_BYTES = 1 << 20
+#: Arrays of 64-bit hashes and powers for each byte of a segment stay in every worker, so it is small.
+SEGMENT_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SEEDS = (0x5DEECE66D, 0x2545F491)
 _IS_SPACE = np.zeros(256, bool)

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import brute_near_classes, prose, sentences
 from pyspark.sql import functions as F
@@ -231,3 +233,26 @@ def test_chained_components_are_tested_by_all_their_members(docs_of):
         rows += [(100 * c + k, " ".join(words[20 * k:20 * k + 200])) for k in range(10)]
     got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(docs_of(rows)).collect()}
     assert got == brute_near_classes(dict(rows))
+
+
+def test_shards_are_cut_by_rank_whatever_the_partitions(spark):
+    """Ranges for many more rows than there are; shards hold as many different sets as they may, in order."""
+    items = [np.arange(1 + 100 * k, 51 + 100 * k, dtype=np.uint64).tobytes() for k in range(40)]
+    rows = [(k, 50, [7], 1000 * k, 0, items[k]) for k in [*range(40), *range(40)]]
+    sets = spark.createDataFrame(rows, "key bigint, n bigint, first array<bigint>, least1 bigint, least2 bigint, items binary")
+    shards = Shards(sets, 800, ["least1", "least2"], ["key"], ["items"], near_dedup.PERCENT, near_dedup._link, 20)
+    assert sorted((r.shard, r.key) for r in shards.sets.collect()) == [(k // 20, k) for k in range(40)]
+    assert shards.connected()[0].filter("node = root").count() == 40
+
+
+def test_memory_of_a_sketch_follows_the_segment_not_the_batch():
+    """Peak of the arrays for 2 MB of short texts."""
+    texts = [" ".join(prose(k % 50, 300)) for k in range(1500)]
+    batch = pa.record_batch([pa.array(range(1500), pa.int64()), pa.array(range(1500), pa.int64()), pa.array(texts)], ["key", "doc_id", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in near_dedup._sketched(iter([batch]))) == 1500
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 << 20, peak
