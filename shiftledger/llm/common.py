@@ -13,6 +13,7 @@ from shiftledger.shared import shared_dir
 SPACES = r"[\x20\x09-\x0D]+"
 
 BATCH_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +34,29 @@ def small_batches(spark: SparkSession) -> None:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows of `df`, written once as Parquet under ``spark.checkpoint.dir`` and read again.
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation. Tables stay until the folder is
+    This cuts the lineage: a lost executor costs a reread, not a recomputation. So the shuffles that made the rows are of no
+    more use, and Spark deletes them at the end of the write. Tables stay until `drop` or until the folder is
     emptied. A folder of this machine is used only by a local session that names none; a cluster must name one.
     """
-    small_batches(df.sparkSession)
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    small_batches(spark)
+    path = shared_dir(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.saved_at = path
+    return found
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes the files of a table that `saved` returned and nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, use) -> Column:

@@ -1,15 +1,14 @@
 """N-gram Jaccard join: documents whose shingle sets have at least `PERCENT` of their union in common, by signature trees.
 
-Documents with equal sets are one set from the start. Two similar sets have a token in common among the first
-`n - ceil(PERCENT n / 100) + 1` of each, in any one order of all tokens; only sets that share such a token with
-another set go on. They are laid out by their least tokens, so that similar ones are neighbours, and cut into shards of
-bounded size. A signature tree over each shard joins it with itself; a set visits another shard only if its first tokens
-occur there, and is joined with that shard's tree (see `signature_tree`, `shards`).
+Documents with equal sets are one set from the start. The universe of tokens is cut into parts by a hash. Two similar sets differ
+in a bounded number of tokens, so with more parts than that they have a part in common: both hold the same tokens of it. The
+hash of such a part is a key, and only sets that share a key with another set go on. They are laid out by their
+least tokens, so that similar ones are neighbours, and cut into shards of bounded size. A signature tree over each shard joins it
+with itself; a set visits another shard only if one of its keys occurs there, and is joined with that shard's tree (see
+`signature_tree`, `shards`).
 
-The order puts rare tokens first, and tokens that are in one set only bring nothing together, so a document that shares
-passages with others, but not most of its text, shares no first token. How rare a token is comes from the sets themselves:
-first one of `SAMPLED` tokens, by its hash, is looked up among all sets, then all tokens among the sets that are left.
-The answers are bitmaps of fixed size, whose errors change the work, never the result.
+A key stands for several tokens at once, so tokens that meet by chance, of which there are the more the larger the input is, bring
+nothing together, and neither does a passage that two documents share, but for the few parts that hold nothing else.
 
 `component_ids` needs no link within what is already connected (see `shards`); `links` makes every link between
 different sets.
@@ -30,13 +29,27 @@ from pyspark.sql import functions as F
 
 from shiftledger.llm import signature_tree
 from shiftledger.llm import text as T
-from shiftledger.llm.common import row_key, saved
-from shiftledger.llm.shards import Bits, Shards, chosen, in_several, sharing
+from shiftledger.llm.common import drop, row_key, saved
+from shiftledger.llm.shards import Bits, Shards, chosen, in_several
 
 RUN, PERCENT = 4, 85
 SHARD = 1024  # sets of a shard
-SAMPLED = 4
-OFTEN = (2, 6, 24, 96, 1536)  # sets of a token, from which on it comes later
+
+
+def _classes() -> np.ndarray:
+    """The largest size of each class of sizes. A set that is similar to a smaller one is in its class or in the next."""
+    most = [1]
+    while most[-1] < 1 << 40:
+        most.append(max(most[-1] + 1, 100 * most[-1] // PERCENT))
+    return np.array(most, np.int64)
+
+
+MOST = _classes()
+#: Tokens in which two similar sets can differ, if the smaller one is of the class.
+DIFFER = (100 - PERCENT) * MOST // PERCENT
+#: Parts that a set may leave out, those with the fewest tokens.
+SPARE = np.maximum(2, DIFFER // 4)
+PARTS = np.where(DIFFER > 0, DIFFER + 1 + SPARE, 0)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -73,105 +86,88 @@ def _identity(tokens: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _is_sampled(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(40)) % np.uint64(SAMPLED) == 0
+def part_keys(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each set, of which two similar but different sets have one in common at least, and the set of each key.
 
-
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s1, token) for the sampled tokens of each set."""
+    A set has keys of its class and of the class below, so similar sets both have those of the smaller one's class. Of its
+    parts, `DIFFER` at most hold a token in which the two differ; `SPARE` + 1 or more are the same in both. Each set leaves out
+    its `SPARE` parts of fewest tokens (ties by key), so the fullest of the same parts is left in by both.
+    """
+    n = np.diff(before)
+    mixed, each = T.mix(tokens), np.repeat(np.arange(len(n)), n)
+    keys, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for below in (0, 1):
+        kind = np.maximum(np.searchsorted(MOST, n) - below, 0)
+        parts = np.where(n > 0, PARTS[kind], 0)
+        some = np.flatnonzero(parts)
+        on = parts[each] > 0
+        start = np.cumsum(parts) - parts
+        slot = start[each[on]] + (mixed[on] % parts[each[on]].astype(np.uint64)).astype(np.int64)
+        total = int(parts.sum())
+        sums, held = np.zeros(total, np.uint64), np.bincount(slot, minlength=total)
+        np.add.at(sums, slot, tokens[on])
+        owner = np.repeat(np.arange(len(n)), parts)
+        name = (kind[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(total) - start[owner]).astype(np.uint64)
+        key = T.mix(sums + T.mix(name))
+        rank = np.minimum(held, 0xFFFF).astype(np.uint64) << np.uint64(48) | key >> np.uint64(16)
+        least = np.zeros(len(n), np.uint64)
+        least[some] = rank[_grouped(rank, owner)][start[some] + SPARE[kind[some]]]
+        left = rank >= least[owner]
+        keys.append(key[left])
+        sets.append(owner[left])
+    return np.concatenate(keys), np.concatenate(sets)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s1, token) for the keys of each set."""
     for batch in batches:
         for _, _, data, at in T.segments(batch.column(0)):
             tokens, before = token_sets(data, at)
-            on = _is_sampled(tokens)
-            s1 = np.repeat(_identity(tokens, before)[0], np.diff(before))
-            yield pa.record_batch([pa.array(s1[on]), pa.array(tokens[on].view(np.int64))], ["s1", "token"])
+            keys, owner = part_keys(tokens, before)
+            yield pa.record_batch([pa.array(_identity(tokens, before)[0][owner]), pa.array(keys.view(np.int64))], ["s1", "token"])
 
 
-class SampledFirst:
-    """Sampled tokens that are in one set only come first."""
-
-    def __init__(self, several: Bits):
-        self.several = several
-
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        return 1 - (_is_sampled(tokens) & ~self.several(tokens)).astype(np.uint64)
-
-
-class RareFirst:
-    """Tokens come in the order of how many sets have them, in steps; 0 are those of one set."""
-
-    def __init__(self, counted: DataFrame):
-        self.bits = [Bits(counted.filter(F.col("n") >= n).select("token")) for n in OFTEN]
-
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        return sum(b(tokens).astype(np.uint64) for b in self.bits)
-
-
-def _first_tokens(tokens: np.ndarray, before: np.ndarray, step: SampledFirst | RareFirst) -> tuple[np.ndarray, np.ndarray]:
-    """The first tokens of each set in the order of all tokens, without those that are in one set only; and how many there are."""
-    n = np.diff(before)
-    doc = np.repeat(np.arange(len(n)), n)
-    steps = step(tokens)
-    order = _grouped(T.mix(tokens) >> np.uint64(4) | steps << np.uint64(60), doc)
-    many = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
-    chosen = order[(np.arange(len(order)) - before[doc] < many[doc]) & (steps[order] > 0)]
-    return tokens[chosen], np.bincount(doc[chosen], minlength=len(n))
+def _kept_keys(tokens: np.ndarray, before: np.ndarray, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each set that `bits` may hold, set by set, and how many there are."""
+    keys, owner = part_keys(tokens, before)
+    on = np.flatnonzero(bits(keys))
+    on = on[np.argsort(owner[on], kind="stable")]
+    return keys[on], np.bincount(owner[on], minlength=len(before) - 1)
 
 
 def _lists(flat: np.ndarray, many: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def _described(step: SampledFirst):
+def _described(shared: Bits):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in T.segments(batch.column(2)):
                 tokens, before = token_sets(data, at)
                 yield pa.record_batch([
                     *(batch.column(k).slice(first, last - first) for k in (0, 1)), pa.array(np.diff(before)),
-                    *map(pa.array, _identity(tokens, before)), _lists(*_first_tokens(tokens, before, step))],
+                    *map(pa.array, _identity(tokens, before)), _lists(*_kept_keys(tokens, before, shared))],
                     ["key", "doc_id", "n", "s1", "s2", "first"])
 
     return describe
 
 
-def _with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each different set of a batch, with its two least tokens."""
-    for batch in batches:
-        for _, _, data, at in T.segments(batch.column(0)):
-            tokens, before = token_sets(data, at)
-            s1, s2 = _identity(tokens, before)
-            some = np.unique(np.stack([s1, s2]), axis=1, return_index=True)[1]
-            some = some[np.diff(before)[some] > 0]
-            least = T.mix(tokens)
-            least = least[_grouped(least, np.repeat(np.arange(len(s1)), np.diff(before)))] >> np.uint64(1)
-            one, two = least[before[some]], least[np.minimum(before[some] + 1, before[some + 1] - 1)]
-            sets = [tokens[before[k]:before[k + 1]].tobytes() for k in some]
-            yield pa.record_batch([*map(pa.array, (s1[some], s2[some], one.view(np.int64), two.view(np.int64))), pa.array(sets, pa.binary())],
-                                  ["s1", "s2", "least1", "least2", "tokens"])
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of a column of sets, and the tokens before each set."""
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
-    return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
-
-
-def _each_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, len(batch), 512):
-            part = batch.slice(k, 512)
-            tokens, before = _flat(part.column(1))
-            yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), np.diff(before))), pa.array(tokens.view(np.int64))], ["s1", "token"])
-
-
-def _with_first(step: RareFirst):
+def _with_tokens(shared: Bits):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each different set of a batch, with its keys and its two least tokens."""
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.slice(k, 512)
-                first = _lists(*_first_tokens(*_flat(part.column("tokens")), step))
-                yield pa.record_batch([*part.columns, first], [*part.schema.names, "first"])
+            for _, _, data, at in T.segments(batch.column(0)):
+                tokens, before = token_sets(data, at)
+                s1, s2 = _identity(tokens, before)
+                some = np.unique(np.stack([s1, s2]), axis=1, return_index=True)[1]
+                some = some[np.diff(before)[some] > 0]
+                least = T.mix(tokens)
+                least = least[_grouped(least, np.repeat(np.arange(len(s1)), np.diff(before)))] >> np.uint64(1)
+                one, two = least[before[some]], least[np.minimum(before[some] + 1, before[some + 1] - 1)]
+                sets = [tokens[before[k]:before[k + 1]].tobytes() for k in some]
+                first = _lists(*_kept_keys(tokens, before, shared)).take(pa.array(some))
+                yield pa.record_batch([*map(pa.array, (s1[some], s2[some], np.diff(before)[some], one.view(np.int64), two.view(np.int64))),
+                                       pa.array(sets, pa.binary()), first], ["s1", "s2", "n", "least1", "least2", "tokens", "first"])
 
     return read
 
@@ -188,22 +184,21 @@ class _Work:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, every: bool = False):
         text = F.coalesce(F.col(text_col), F.lit(""))
         rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-        sampled = SampledFirst(Bits(in_several(rows.select("text").mapInArrow(_sampled, "s1 bigint, token bigint"))))
-        self.seen = saved(rows.mapInArrow(_described(sampled), "key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, first array<bigint>"), "sets")
+        shared = saved(in_several(rows.select("text").mapInArrow(_keys, "s1 bigint, token bigint")), "shared")
+        bits = Bits(shared, shared.count())
+        self.seen = saved(rows.mapInArrow(_described(bits), "key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, first array<bigint>"), "sets")
         some = self.seen.filter("n > 0")
         self.groups = saved(some.groupBy("s1", "s2").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id")), "groups")
-        near = saved(self.groups.join(sharing(some.select("s1", "first")), "s1", "left_semi"), "near")
-        # Bitmaps of fixed size keep most rows out of the exact joins.
+        sharing = some.select("s1", F.explode("first").alias("token")).join(shared, "token", "left_semi").select("s1").distinct()
+        near = saved(self.groups.join(sharing, "s1", "left_semi"), "near")
+        drop(shared)
+        # A bitmap keeps most rows out of the exact join.
         texts = rows.select("key", "text").mapInArrow(chosen(Bits(near.select("key"))), "key bigint, text string")
         texts = texts.join(near.select("key"), "key", "left_semi").select("text")
-        schema = "s1 bigint, s2 bigint, least1 bigint, least2 bigint, tokens binary"
-        sets = saved(texts.mapInArrow(_with_tokens, schema), "tokens")
-        counted = saved(in_several(sets.select("s1", "tokens").mapInArrow(_each_token, "s1 bigint, token bigint"), "n"), "counted")
-        sets = saved(sets.mapInArrow(_with_first(RareFirst(counted)), f"{schema}, first array<bigint>"), "first")
-        close = saved(sharing(sets.select("s1", "first")), "close")
-        # What the bitmap lets through in error meets nobody in its shard, so no exact join follows.
-        sets = sets.mapInArrow(chosen(Bits(close)), f"{schema}, first array<bigint>").withColumn("n", (F.octet_length("tokens") / 8).cast("bigint"))
-        self.shards = Shards(sets, close.count(), ["least1", "least2"], ["s1", "s2"], ["tokens"], PERCENT, _link, SHARD, every)
+        schema = "s1 bigint, s2 bigint, n bigint, least1 bigint, least2 bigint, tokens binary, first array<bigint>"
+        sets = saved(texts.mapInArrow(_with_tokens(bits), schema), "tokens")
+        self.shards = Shards(sets, near.count(), ["least1", "least2"], ["s1", "s2"], ["tokens"], PERCENT, _link, SHARD, every)
+        drop(sets)
         self.nodes = saved(self.shards.sets.select("node", "s1", "s2").join(self.groups, ["s1", "s2"]).drop("key"), "nodes")
 
 

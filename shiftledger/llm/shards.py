@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftledger.llm.common import saved, small_batches
+from shiftledger.llm.common import drop, saved, small_batches
 from shiftledger.llm.components import components
 
 #: Pairs of places of similar rows in two tables, or in one if there is no second; `every` asks for all of them, else
@@ -30,20 +30,21 @@ LINKS = "a bigint, b bigint"
 
 
 class Bits:
-    """A bitmap of fixed size over 64-bit keys: false for a key means that it was not put in."""
+    """A bitmap over 64-bit keys: false for a key means that it was not put in. With `count` keys it has about eight bits for each, within limits."""
 
-    SIZE = 1 << 25
+    LEAST, MOST = 1 << 25, 1 << 27
 
-    def __init__(self, keys: DataFrame):
-        at = F.pmod(F.col(keys.columns[0]), F.lit(self.SIZE))
+    def __init__(self, keys: DataFrame, count: int = 0):
+        self.size = min(self.MOST, max(self.LEAST, 1 << (8 * count).bit_length()))
+        at = F.pmod(F.col(keys.columns[0]), F.lit(self.size))
         words = keys.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({keys.columns[0]}, 32) as int))")).alias("bits"))
         small_batches(keys.sparkSession)
-        found = words.toArrow()  # at most SIZE / 32 rows
-        self.words = np.zeros(self.SIZE >> 5, np.uint32)
+        found = words.toArrow()  # at most MOST / 32 rows
+        self.words = np.zeros(self.size >> 5, np.uint32)
         self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = keys.view(np.int64) & (self.SIZE - 1)
+        at = keys.view(np.int64) & (self.size - 1)
         return (self.words[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
 
 
@@ -152,7 +153,7 @@ class Shards:
         types = ", ".join(f"{c} {t}" for c, t in ((c, dict(sets.dtypes)[c]) for c in kept))
         parts = max(1, -(-count // size))
         dealt = sets.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(*kept).mapInArrow(_different(same), f"{types}, at bigint")
-        dealt = saved(dealt.withColumn("part", F.spark_partition_id()), "dealt")
+        dealt = ranged = saved(dealt.withColumn("part", F.spark_partition_id()), "dealt")
         # One row for each range.
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
@@ -164,6 +165,7 @@ class Shards:
         node = lambda c: F.shiftleft(F.col("shard"), 33) + F.col(c)
         dealt = dealt.withColumns({"node": node("at"), "root": node("top")})
         self.sets = saved(dealt, "shards")
+        drop(ranged)
         self.places = saved(self.sets.select("node", "shard"), "places")
         heads = self.sets.select("node", "shard", "n", F.explode("first").alias("token"))
         several = heads.groupBy("token").agg(F.min("shard").alias("x"), F.max("shard").alias("y")).filter("x < y").select("token")

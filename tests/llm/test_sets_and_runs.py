@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from helpers import prose, sentences
 from pyspark.sql import functions as F
 
-from shiftledger.llm import jaccard, periodic, resample, signature_tree
+from shiftledger.llm import common, jaccard, periodic, resample, signature_tree
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -233,6 +235,61 @@ def test_join_without_words(docs_of):
     assert jaccard.component_ids(docs_of([])).count() == 0
 
 
+def test_similar_sets_share_a_key():
+    """Partners of each size that lack and add as many tokens as the threshold lets them."""
+    rng, r, seen = np.random.default_rng(5), random.Random(5), 0
+    fresh = lambda n, odd: np.unique(rng.integers(0, 2**62, n).astype(np.uint64) * np.uint64(2) + np.uint64(odd))
+    for n in [*range(1, 60), 150, 455, 2000]:
+        for _ in range(20):
+            base, lacks = fresh(n, 1), r.randint(0, n * 15 // 100)
+            most = 100 * (n - lacks) // 85 - n  # of those it adds
+            other = np.unique(np.concatenate([rng.permutation(base)[lacks:], fresh(r.choice([most, r.randint(0, most)]), 0)]))
+            if np.array_equal(base, other):
+                continue
+            assert 100 * len(np.intersect1d(base, other)) >= 85 * len(np.union1d(base, other))
+            keys, owner = jaccard.part_keys(np.concatenate([base, other]), np.cumsum([0, len(base), len(other)]))
+            assert len(np.intersect1d(keys[owner == 0], keys[owner == 1]))
+            seen += 1
+    assert seen > 800
+    assert len(jaccard.part_keys(np.zeros(0, np.uint64), np.zeros(3, np.int64))[0]) == 0
+
+
+def test_shared_tokens_alone_bring_no_sets_together(docs_of, monkeypatch):
+    """Nearly every shingle is in two documents, but no two documents have more than a tenth of theirs in common."""
+    class Stop(Exception):
+        pass
+
+    def shards(sets, count, *_):
+        raise Stop(count, sets.count())
+
+    monkeypatch.setattr(jaccard, "Shards", shards)
+    passage = [[" ".join(prose(10_000 + 10 * i + j, 40)) for j in range(10)] for i in range(10)]
+    rows = [(i, " ".join(passage[i])) for i in range(10)] + [(10 + j, " ".join(p[j] for p in passage)) for j in range(10)]
+    with pytest.raises(Stop) as stopped:
+        jaccard.component_ids(docs_of(rows))
+    assert max(stopped.value.args) <= 2
+
+
+def test_tables_leave_no_shuffles_and_can_be_dropped(spark):
+    def files():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for f in Path(d).rglob("shuffle_*")}
+
+    before, setting = files(), spark.conf.get(common.CLEANUP)
+    table = common.saved(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "sums")
+    assert sorted(map(tuple, table.collect())) == [(k, 100) for k in range(10)]
+    assert spark.conf.get(common.CLEANUP) == setting
+    for _ in range(100):  # Spark deletes them in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    path = Path(table.saved_at.removeprefix("file:"))
+    assert path.exists()
+    common.drop(table)
+    assert not path.exists()
+
+
 def test_trees_lose_no_pair():
     rng, r = np.random.default_rng(1), random.Random(3)
     fresh = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
